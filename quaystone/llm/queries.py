@@ -5,11 +5,15 @@ from __future__ import annotations
 from .decontaminate import op5_decontaminate
 from .quality import op1_quality
 from .secrets import op4_secret_scan
+from .sentencepiece import op9_sentencepiece
+from .simhash import op10_simhash
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
+    "op9_sentencepiece": op9_sentencepiece,
+    "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL of the queries that SQL can express on whole tables.
