@@ -7,11 +7,13 @@ from .quality import op1_quality
 from .secrets import op4_secret_scan
 from .sentencepiece import op9_sentencepiece
 from .simhash import op10_simhash
+from .word_dedup import op8_word_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
+    "op8_word_dedup": op8_word_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
 }

@@ -6,6 +6,7 @@ in blocks of a few MB, so its memory does not grow with the partition.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one block holds; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15 & ~7 | 3)  # 3 modulo 8: powers stay far from 1 modulo 2**64
-_INV = np.uint64(pow(int(_ODD), -1, 1 << 64))
+ODD = np.uint64(0x9E3779B97F4A7C15 & ~7 | 3)  # 3 modulo 8: powers stay far from 1 modulo 2**64
+INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
 _BYTE = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -26,19 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the folder that the cluster names.
-
-    ``spark.checkpoint.dir`` is read from the session; only where it is unset (tests) a folder is set.
-    """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; only where that is unset (tests) one of our own is set."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage as a Parquet table in the shared folder: compact, and columns can be left unread."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -88,18 +99,18 @@ def word_bounds(data: np.ndarray, offs: np.ndarray, member: np.ndarray) -> tuple
     return starts, ends, np.diff(np.searchsorted(starts, offs))
 
 
-_powers: list[np.ndarray] = []
+_kept: list[np.ndarray] = []
 
 
-def _power(base: np.uint64, n: int, slot: int) -> np.ndarray:
+def powers(base: np.uint64, n: int, slot: int) -> np.ndarray:
     """Powers of an odd base modulo 2**64, kept by each worker."""
-    while len(_powers) < 2:
-        _powers.append(np.ones(1, np.uint64))
-    if len(_powers[slot]) < n:
+    while len(_kept) < 2:
+        _kept.append(np.ones(1, np.uint64))
+    if len(_kept[slot]) < n:
         p = np.full(1 << max(16, (n - 1).bit_length()), base, np.uint64)
         p[0] = 1
-        _powers[slot] = np.multiply.accumulate(p)
-    return _powers[slot][:n]
+        _kept[slot] = np.multiply.accumulate(p)
+    return _kept[slot][:n]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -116,8 +127,8 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """64-bit hashes of byte spans, from one running polynomial sum over the block."""
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power(_ODD, n, 0), out=total[1:])
-    h = (total[ends] - total[starts]) * _power(_INV, n + 1, 1)[starts]
+    np.cumsum(_BYTE[data] * powers(ODD, n, 0), out=total[1:])
+    h = (total[ends] - total[starts]) * powers(INVERSE, n + 1, 1)[starts]
     return mixed(h + (ends - starts).astype(np.uint64))
 
 
