@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .html_text import op7_html_text
 from .quality import op1_quality
 from .secrets import op4_secret_scan
 from .sentencepiece import op9_sentencepiece
 from .simhash import op10_simhash
+from .vectors import op6_nearest
 from .word_dedup import op8_word_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
+    "op6_nearest": op6_nearest,
+    "op7_html_text": op7_html_text,
     "op8_word_dedup": op8_word_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
