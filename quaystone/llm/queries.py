@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .html_text import op7_html_text
+from .lm import op3_lm_score
 from .quality import op1_quality
 from .secrets import op4_secret_scan
 from .sentencepiece import op9_sentencepiece
@@ -13,6 +14,7 @@ from .word_dedup import op8_word_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op3_lm_score": op3_lm_score,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_nearest": op6_nearest,
