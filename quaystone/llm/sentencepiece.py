@@ -21,7 +21,6 @@ and comes back; columns named piece_ids, piece_score or decoded are replaced, ot
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,13 +33,22 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, St
 from .textblocks import map_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK = 1 << 15
+CHUNK = 1 << 16
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 300_000
+#: Longer units are solved when they come, and not remembered.
+LONGEST_UNIT = 32
 #: Characters whose units are looked up together.
 TOGETHER = 1 << 20
 SPACE = "▁"
-UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
+#: Units of a text, where no piece has a space after another character, where none holds a line end
+#: either, and where, further, none has a letter in front of another character.
+UNITS = (
+    re.compile(r" +[^ ]*|[^ ]+"),
+    re.compile(r"\n| +[^ \n]*|[^ \n]+"),
+    re.compile(r"\n| +(?:[^\w \n]|[\d_])*[^\W\d_]*|(?:[^\w \n]|[\d_])+[^\W\d_]*|[^\W\d_]+"),
+)
+AFTER_LETTER = re.compile(r"[^\W\d_][\W\d_]")
 LOW = -np.inf
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +67,9 @@ class Pieces:
                 node = node.setdefault(c, {})
             node[0] = s
         self.unknown = min(scores.values(), default=0.0) - 10.0
+        assert not any(" " in p.lstrip(" ") for p in ids), "a piece goes over a word's end"
         self.cuts_at_newline = not any("\n" in p for p in ids)
+        self.unit = UNITS[self.cuts_at_newline + (self.cuts_at_newline and not any(AFTER_LETTER.search(p) for p in ids))]
         self.known: dict[str, tuple[bytes, float]] = {}
         self._hashed = None
 
@@ -119,7 +129,7 @@ class Pieces:
             at = before
         return [i for piece in reversed(found) for i in self.spelt(piece)], best[stop][0]
 
-    def unit(self, text: str) -> tuple[bytes, float]:
+    def solved(self, text: str) -> tuple[bytes, float]:
         """Ids (32 bits each) and score of a unit."""
         got = self.known.get(text)
         if got is None:
@@ -133,58 +143,66 @@ class Pieces:
         if len(self.known) + len(missing) > REMEMBERED:
             self.known.clear()
             missing = wanted
-        by_length: dict[int, list[str]] = defaultdict(list)
-        for u in missing:
-            by_length[len(u)].append(u)
-        for n, units in by_length.items():
-            if n <= 32:
-                self._solve(n, units)
-
-    def _solve(self, n: int, units: list[str]) -> None:
-        code = np.array(units, f"U{n}").view(np.uint32).reshape(len(units), n).astype(np.uint64)
+        short = sorted((u for u in missing if len(u) <= LONGEST_UNIT), key=len, reverse=True)
+        if short:
+            self._solve(short)
+
+    def _solve(self, units: list[str]) -> None:
+        """The best way through each unit; all move on together, longest first, place after place."""
+        n = len(units[0])
+        code = np.array(units, f"U{n}").view(np.uint32).reshape(len(units), n).T.astype(np.uint64)
+        length = np.array([len(u) for u in units])
         best = np.full((n + 1, len(units)), LOW)
         back = np.zeros((n + 1, len(units)), np.int8)
+        piece = np.full((n + 1, len(units)), -1, np.int32)
         best[0] = 0.0
         for at in range(n):
-            h = np.zeros(len(units), np.uint64)
-            here = best[at]
+            rows = np.arange(int(np.searchsorted(-length, -at)))  # those longer than at
+            h = np.zeros(len(rows), np.uint64)
             for end in range(at + 1, min(n, at + self.longest) + 1):
-                h = (h + code[:, end - 1]) * _BASE
+                h = (h + code[end - 1, rows]) * _BASE
                 h ^= h >> np.uint64(29)
-                score = self._score(h)
+                score, ids = self._score(h)
+                going = ids > -2
                 if end == at + 1:
-                    score = np.where(score == LOW, self.unknown, score)
-                score += here
-                better = score > best[end]
-                if better.any():
-                    best[end] = np.where(better, score, best[end])
-                    back[end][better] = at
-        ids, spelt = self.ids.get, self.spelt
-        for u, way, score in zip(units, back.T.tolist(), best[n].tolist(), strict=True):
-            out: list[int] = []
-            at = n
-            while at > 0:
-                piece = u[way[at] : at]
-                i = ids(piece)
-                if i is None:
-                    out += spelt(piece)[::-1]
-                else:
-                    out.append(i)
-                at = way[at]
-            self.known[u] = np.array(out[::-1], np.int32).tobytes(), score
-
-    def _score(self, h: np.ndarray) -> np.ndarray:
-        """Scores of pieces by hash, LOW where there is none."""
+                    score[score == LOW] = self.unknown
+                    ids = np.maximum(ids, -1)
+                elif not going.any():
+                    break
+                new = score + best[at, rows]
+                better = new > best[end, rows]
+                r = rows[better]
+                best[end, r], back[end, r], piece[end, r] = new[better], at, ids[better]
+                rows, h = rows[going], h[going]
+        # back along all ways at once; a piece of -1 is a character spelt in bytes
+        at, rows, steps = length.copy(), np.arange(len(units)), []
+        while (at > 0).any():
+            steps.append(np.where(at > 0, piece[at, rows], -2))
+            at = np.where(at > 0, back[at, rows], 0)
+        way = np.array(steps[::-1]).T
+        total = best[length, rows].tolist()
+        flat, size = way[way > -2].astype(np.int32).tobytes(), 4 * np.cumsum((way > -2).sum(1))
+        bytes_needed = (way == -1).any(1)
+        for u, a, b, score, odd in zip(units, [0, *size[:-1].tolist()], size.tolist(), total, bytes_needed.tolist(), strict=True):
+            self.known[u] = (np.array(self.path(u, 0, len(u))[0], np.int32).tobytes() if odd else flat[a:b]), score
+
+    def _score(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of pieces by hash; where there is none LOW and -1, or -2 if none even begins so."""
         if self._hashed is None:
-            hashes, values = [], []
+            scores: dict[str, float] = {}
             for p, s in self.scores.items():
+                scores[p] = s
+                for k in range(1, len(p)):
+                    scores.setdefault(p[:k], LOW)
+            hashes = []
+            for p in scores:
                 x = 0
                 for c in p:
                     x = (x + ord(c)) * int(_BASE) & (1 << 64) - 1
                     x ^= x >> 29
                 hashes.append(x)
-                values.append(s)
-            keys, values = np.array([*hashes, 0], np.uint64), np.array([*values, LOW])
+            keys, values = np.array([*hashes, 0], np.uint64), np.array([*scores.values(), LOW])
+            ids = np.array([*(self.ids.get(p, -1) for p in scores), -2], np.int32)
             assert len(np.unique(keys)) == len(keys)
             place, left = [], np.arange(len(keys) - 1)
             while len(left):  # what finds its slot taken goes to the next table
@@ -192,20 +210,21 @@ class Pieces:
                 slots[self._slot(keys[left], len(place))] = left
                 left = left[slots[self._slot(keys[left], len(place))] != left]
                 place.append(slots)
-            self._hashed = keys, values, place
-        keys, values, place = self._hashed
+            self._hashed = keys, values, ids, place
+        keys, values, ids, place = self._hashed
         found = np.full(len(h), len(keys) - 1)
         for k, slots in enumerate(place):
             i = slots[self._slot(h, k)]
-            found = np.where(keys[i] == h, i, found)
-        return values[found]
+            hit = keys[i] == h
+            found[hit] = i[hit]
+        return values[found], ids[found]
 
     @staticmethod
     def _slot(h: np.ndarray, k: int) -> np.ndarray:
-        return (h >> np.uint64(46 - 9 * k)) & np.uint64((1 << 18) - 1)
+        return (h >> np.uint64(46 - 11 * k)) & np.uint64((1 << 18) - 1)
 
     def units(self, text: str) -> list[str]:
-        return UNIT.findall(text) if self.cuts_at_newline else re.findall(r" +[^ ]*|[^ ]+", text)
+        return self.unit.findall(text)
 
     def encode(self, text: str) -> tuple[np.ndarray, float]:
         return self.encode_all([text])[0]
@@ -215,7 +234,7 @@ class Pieces:
         self.remember({u for units in cut for u in units})
         known, out = self.known.get, []
         for units in cut:
-            got = [known(u) or self.unit(u) for u in units]
+            got = [known(u) or self.solved(u) for u in units]
             out.append((np.frombuffer(b"".join([x[0] for x in got]), np.int32), sum([x[1] for x in got])))
         return out
 
@@ -252,7 +271,7 @@ class Pieces:
             head = np.array([self.reach(text, k, a, 1)[0] for k in range(states)])
             units = self.units(text[a:b])
             self.remember(set(units))
-            middle = sum(self.unit(u)[1] for u in units)
+            middle = sum(self.solved(u)[1] for u in units)
             m = head[:, None] + middle + self.reach(text, b, length, states)[None, :]
         for k in range(length + 1, states):  # a piece that goes over the whole chunk
             m[k] = LOW
@@ -269,7 +288,7 @@ class Pieces:
         a, b = found
         units = self.units(text[a:b])
         self.remember(set(units))
-        middle = [i for u in units for i in np.frombuffer(self.unit(u)[0], np.int32).tolist()]
+        middle = [i for u in units for i in np.frombuffer(self.solved(u)[0], np.int32).tolist()]
         return self.path(text, left, a)[0] + middle + (self.path(text, b, length + right, length)[0] if b < length + right else [])
 
 
