@@ -383,151 +383,6 @@ def _decoded(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], names=[*part.schema.names, "decoded"])
 
 
-def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.out.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if text[:1] == " " else text
-
-    def cuts(self, text: str, first: int, last: int) -> tuple[int, int] | None:
-        """The first and last places of first..last that no piece goes over, if there are two."""
-        at = [m.start() for m in re.finditer(r"(?<=[^ ]) |(?<=\n)[^\n]|\n" if self.cuts_at_newline else r"(?<=[^ ]) ", text) if first <= m.start() <= last]
-        return (at[0], at[-1]) if len(at) > 1 else None
-
-    def reach(self, text: str, start: int, length: int, states: int) -> np.ndarray:
-        """Best sums from ``start`` to length + 0 .. length + states - 1, with pieces that begin before ``length``."""
-        best = np.full(length + states + self.longest, LOW)
-        best[start] = 0.0
-        for at in range(start, length):
-            if best[at] > LOW:
-                for end, s in self.matches(text, at):
-                    if best[at] + s > best[end]:
-                        best[end] = best[at] + s
-        return best[length : length + states]
-
-    def matrix(self, text: str, length: int) -> np.ndarray:
-        """Transfer matrix of a chunk: ``length`` characters of its own, then those a piece may take from the next."""
-        states = self.longest
-        m = np.full((states, states), LOW)
-        found = self.cuts(text, min(states, length), length)
-        if found is None:
-            for k in range(min(states, length + 1)):
-                m[k] = self.reach(text, k, length, states)
-        else:
-            a, b = found
-            head = np.array([self.reach(text, k, a, 1)[0] for k in range(states)])
-            units = self.units(text[a:b])
-            self.remember(set(units))
-            middle = sum(self.solved(u)[1] for u in units)
-            m = head[:, None] + middle + self.reach(text, b, length, states)[None, :]
-        for k in range(length + 1, states):  # a piece that goes over the whole chunk
-            m[k] = LOW
-            m[k, k - length] = 0.0
-        return m
-
-    def trace(self, text: str, length: int, left: int, right: int) -> list[int]:
-        """Ids of the pieces that begin in the chunk, between two known states."""
-        if left >= length:
-            return []
-        found = self.cuts(text, min(self.longest, length), length)
-        if found is None or not left <= found[0]:
-            return self.path(text, left, length + right, length)[0]
-        a, b = found
-        units = self.units(text[a:b])
-        self.remember(set(units))
-        middle = [i for u in units for i in np.frombuffer(self.solved(u)[0], np.int32).tolist()]
-        return self.path(text, left, a)[0] + middle + (self.path(text, b, length + right, length)[0] if b < length + right else [])
-
-
-def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Max-plus product; associative, with the transfer matrices of neighbouring chunks."""
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
-
-
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """Border states of the best path, the first and the last being 0."""
-    size = len(matrices[0])
-    forward = [np.where(np.arange(size) == 0, 0.0, LOW)[None, :]]
-    for m in matrices:
-        forward.append(product(forward[-1], m))
-    out = [0]
-    for f, m in zip(forward[-2::-1], matrices[::-1], strict=True):
-        out.append(int(np.argmax(f[0] + m[:, out[-1]])))
-    return out[::-1]
-
-
-def _small(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, _, _ in blocks(batches, "text", TOGETHER):
-        got = pieces.encode_all([t or "" for t in part.column("text").to_pylist()])
-        at = np.concatenate([[0], np.cumsum([len(x) for x, _ in got])])
-        ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([x for x, _ in got])))
-        yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([float(x) for _, x in got])], names=[*part.schema.names, "piece_ids", "piece_score"])
-
-
-def _cut(chunk: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for d, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
-            t = " " + t
-            starts = range(0, len(t), chunk)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([d] * len(starts), pa.int64()), pa.array([h] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([min(chunk, len(t) - s) for s in starts], pa.int32()), pa.array([t[s : s + chunk + overlap] for s in starts])],
-                names=["doc_id", "text_hash", "chunk", "length", "part"],
-            )
-
-
-def _matrices(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        m = [pieces.matrix(t, n).tobytes() for t, n in zip(batch.column("part").to_pylist(), batch.column("length").to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text_hash", "chunk")] + [pa.array(m, pa.binary())], names=["doc_id", "text_hash", "chunk", "matrix"])
-
-
-def _border_states(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("chunk")
-    size = int(round((len(rows["matrix"].iloc[0]) // 8) ** 0.5))
-    ms = [np.frombuffer(m, np.float64).reshape(size, size) for m in rows["matrix"]]
-    s = states(ms)
-    return pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "chunk": rows["chunk"], "left": s[:-1], "right": s[1:], "sum": [m[a, b] for m, a, b in zip(ms, s[:-1], s[1:], strict=True)]})
-
-
-def _traced(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [pieces.trace(t, n, a, b) for t, n, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "length", "left", "right")), strict=True)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "chunk", "sum")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "chunk", "sum", "ids"])
-
-
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """``docs`` (any columns) with ``piece_ids`` array<int> and ``piece_score`` double.
-
-    Texts up to ``chunk`` characters: one map, no shuffle. Longer ones: their chunks are dealt out,
-    one 2 KB matrix for each chunk meets the others of its document, and the ids are joined again.
-    """
-    docs = docs.drop("piece_ids", "piece_score")
-    pieces = Pieces.load(model)
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
-    n = F.coalesce(F.char_length("text"), F.lit(0))
-    schema = StructType([*docs.schema.fields]).add("piece_ids", ArrayType(IntegerType())).add("piece_score", DoubleType())
-    small = docs.filter(n <= chunk).mapInArrow(lambda it: _small(sent.value, it), schema)
-    giant = docs.filter(n > chunk)
-    key, overlap = ["doc_id", "text_hash"], pieces.longest
-    one = giant.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(key)
-    parts = map_batches(one, lambda it: _cut(chunk, overlap, it), "doc_id bigint, text_hash bigint, chunk int, length int, part string").repartition(*key, "chunk")
-    ms = map_batches(parts, lambda it: _matrices(sent.value, it), "doc_id bigint, text_hash bigint, chunk int, matrix binary")
-    borders = ms.groupBy(*key).applyInPandas(_border_states, "doc_id bigint, text_hash bigint, chunk int, left int, right int, sum double")
-    at = [parts[k].eqNullSafe(borders[k]) for k in (*key, "chunk")]
-    both = parts.join(borders, at).select(*(parts[k] for k in (*key, "chunk", "length", "part")), "left", "right", "sum")
-    traced = map_batches(both, lambda it: _traced(sent.value, it), "doc_id bigint, text_hash bigint, chunk int, sum double, ids array<int>")
-    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]))
-    whole = traced.groupBy(*key).agg(ids.alias("piece_ids"), F.sum("sum").alias("piece_score"))
-    mine = giant["doc_id"].eqNullSafe(whole["doc_id"]) & (F.xxhash64(giant["text"]) == whole["text_hash"])
-    return small.unionByName(giant.join(whole, mine).select(*(giant[c] for c in docs.columns), "piece_ids", "piece_score"))
-
-
-def _decoded(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        col = batch.column("piece_ids").fill_null([]) if batch.column("piece_ids").null_count else batch.column("piece_ids")
-        at, values = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-        text = [pieces.decode(values[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], names=[*batch.schema.names, "decoded"])
-
-
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """``encoded`` (any columns, with piece_ids) and ``decoded``: the text of the ids; one map."""
     encoded = encoded.drop("decoded")
