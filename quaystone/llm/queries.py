@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .byte_dedup import op2_byte_dedup
 from .decontaminate import op5_decontaminate
 from .html_text import op7_html_text
 from .lm import op3_lm_score
@@ -14,6 +15,7 @@ from .word_dedup import op8_word_dedup
 
 QUERIES = {
     "op1_quality": op1_quality,
+    "op2_byte_dedup": op2_byte_dedup,
     "op3_lm_score": op3_lm_score,
     "op4_secret_scan": op4_secret_scan,
     "op5_decontaminate": op5_decontaminate,
