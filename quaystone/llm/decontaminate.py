@@ -15,16 +15,16 @@ have no window; equal windows of several items count for each; other columns are
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .textblocks import FOLD, blocks, map_batches, member_table, span_hashes, table, text_bytes, word_bounds
+from .textblocks import FOLD, blocks, member_table, span_hashes, table, text_bytes, word_bounds
 
 WINDOW = 10
 SAMPLE_RATE = 8
@@ -246,25 +246,60 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BENCHMARK_BYTES, keep: Column | None = None) -> DataFrame:
     """doc_id, n_words, n_hit, spans (in words, merged, end exclusive), items of every document, with its text.
 
+    keep: one more column to hand through, as ``kept``.
+
     No shuffle of documents: one map over the scan for each ``max_bytes`` of benchmark text.
     """
     sc = docs.sparkSession.sparkContext
     items = benchmark.select("item_id", "text").dropna()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // max_bytes))
-    out = docs.select("doc_id", "text")
+    out = docs.select("doc_id", "text") if keep is None else docs.select("doc_id", "text", keep.alias("kept"))
+    more = out.schema.fields[1:]
     for p in range(parts):
         of = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         sent = sc.broadcast(Phrases([(r["item_id"], r["text"]) for r in of.collect()]))
-        out = map_batches(out, lambda it, sent=sent: _search(sent.value, it), SCHEMA + ", text string")
+        out = out.mapInArrow(lambda it, sent=sent: _search(sent.value, it), StructType([*StructType.fromDDL(SCHEMA).fields, *more]))
     return out
 
 
-def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without their hit words, and what stands between hit words of one span."""
+    for part, data, offs in blocks(batches, "text"):
+        spans = part.column("spans").to_pylist()
+        hit = [i for i, x in enumerate(spans) if x]
+        texts = part.column("text").to_pylist()
+        if hit:
+            s, e, n = word_bounds(FOLD[data], offs, WORD)
+            begin = np.concatenate([[0], np.cumsum(n)])
+            for i in hit:
+                at, rest = int(offs[i]), []
+                for x in spans[i]:
+                    rest.append(data[at : s[begin[i] + x["start"]]].tobytes())
+                    at = int(e[begin[i] + x["end"] - 1])
+                texts[i] = b"".join([*rest, data[at : offs[i + 1]].tobytes()]).decode("utf-8", "replace")
+        k = part.schema.get_field_index("text")
+        yield part.set_column(k, "text", pa.array(texts, pa.string()))
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs``, all columns, without the words that benchmark windows cover; ``n_chars`` follows the text.
+
+    Documents without a hit stay as they are; so do null texts.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    found = find_contamination(docs, benchmark, keep=F.struct(*others))
+    cut = found.select("text", "spans", "kept")
+    cut = cut.mapInArrow(_without, cut.schema)
+    hit = F.size("spans") > 0
+    out = {c: F.col("kept")[c] for c in others} | {"text": F.col("text")}
+    if "n_chars" in out:
+        kind = docs.schema["n_chars"].dataType
+        out["n_chars"] = F.when(hit, F.char_length("text").cast(kind)).otherwise(out["n_chars"])
+    return cut.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

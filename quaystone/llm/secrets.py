@@ -19,6 +19,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .textblocks import map_batches, table, text_bytes
 
@@ -172,8 +173,14 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """Every span replaced by the name of its kind in brackets; null texts stay null, all columns stay."""
-    return docs.mapInArrow(_redact, docs.schema)
+    """Every span replaced by the name of its kind in brackets, of overlapping ones the first.
+
+    All columns stay; ``n_chars`` follows the text; null texts stay null.
+    """
+    out = docs.mapInArrow(_redact, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def op4_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
-from .textblocks import checkpointed, map_batches, table, text_bytes
+from .textblocks import map_batches, row_key, table, text_bytes, written
 
 SHINGLE = 3
 SEED = 42
@@ -59,12 +59,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         data, offs = text_bytes(batch.column("text"))
         whole = data.tobytes()
         fp = [fingerprint(whole[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64-bit) of every row; one map over the scan."""
-    return map_batches(docs.select("doc_id", "text"), _fingerprints, "doc_id bigint, fp bigint")
+    """doc_id, text_hash and fp (signed 64-bit) of every row; one map over the scan."""
+    return map_batches(row_key(docs), _fingerprints, "doc_id bigint, text_hash bigint, fp bigint")
 
 
 def _within(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,15 +143,32 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return map_batches(sorted_.select("bucket", "fp"), _linked, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id of the component) of every row."""
-    prints = checkpointed(fingerprints(docs))
+def _members(prints: DataFrame) -> DataFrame:
+    """fp and the root of its component, with the smallest row of each fp."""
     alone = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = connected(links(alone.select("fp")))  # of linked fingerprints only
-    grouped = alone.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return alone.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id (smallest doc_id of the component) of every row."""
+    prints = written(fingerprints(docs))
+    grouped = _members(prints.select("doc_id", "fp"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     members = grouped.join(least, "root").select("fp", "component_id")
-    return prints.join(members, "fp")
+    return prints.select("doc_id", "fp").join(members, "fp")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest doc_id (nulls last)."""
+    prints = written(fingerprints(docs))
+    roots = _members(prints.select("doc_id", "fp")).select("fp", "root")
+    rows = prints.join(roots, "fp")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    keepers = rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_doc"), F.col("k.text_hash").alias("k_hash"))
+    kept = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["k_doc"]) & (F.xxhash64(docs["text"]) == keepers["k_hash"]), "left_semi")
+    twice = prints.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id", "text"]) if twice else kept  # rows that agree in both have no order
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
