@@ -66,15 +66,14 @@ def map_columns(df: DataFrame, mappings: dict[str, tuple[str, str]], keep_rest:
     return df.select(*out)
 
 
-def flatten_struct(schema: StructType, prefix: str = "") -> list[Column]:
-    """Leaves of nested structs under dotted names; arrays and maps are leaves."""
+def flatten_struct(schema: StructType, at: str, name: str = "") -> list[Column]:
+    """Leaves of the nested structs in column ``at`` under dotted names; arrays and maps are leaves."""
     out = []
     for f in schema.fields:
-        path = f"{prefix}`{f.name}`"
         if isinstance(f.dataType, StructType):
-            out += flatten_struct(f.dataType, f"{path}.")
+            out += flatten_struct(f.dataType, f"{at}.`{f.name}`", f"{name}{f.name}.")
         else:
-            out.append(F.col(path).alias(path.replace("`", "")))
+            out.append(F.col(f"{at}.`{f.name}`").alias(f"{name}{f.name}"))
     return out
 
 
@@ -83,7 +82,7 @@ def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     parsed = df.withColumn(column, F.from_json(column, schema))
     kind = parsed.schema[column].dataType
     rest = [F.col(f"`{c}`") for c in df.columns if c != column]
-    return parsed.select(*rest, *flatten_struct(kind, f"`{column}`."))
+    return parsed.select(*rest, *flatten_struct(kind, f"`{column}`"))
 
 
 def flatten_unknown(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -93,7 +92,7 @@ def flatten_unknown(df: DataFrame, key: str, column: str) -> DataFrame:
     for _ in range(8):
         rows.createOrReplaceTempView("_variant_rows")
         next_ = rows.sparkSession.sql(f"select r.{key}, case when path = '' then x.key else path || '.' || x.key end path, x.value v from _variant_rows r, lateral variant_explode(r.v) x where schema_of_variant(r.v) like 'OBJECT%'")
-        flat = next_.filter("schema_of_variant(v) not like 'OBJECT%'").select(key, "path", F.expr("to_json(v)").alias("value"))
+        flat = next_.filter("schema_of_variant(v) not like 'OBJECT%'").select(key, "path", F.expr("try_variant_get(v, '$', 'string')").alias("value"))
         leaves = flat if leaves is None else leaves.unionByName(flat)
         rows = next_.filter("schema_of_variant(v) like 'OBJECT%'")
     return leaves
