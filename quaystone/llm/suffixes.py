@@ -20,6 +20,8 @@ import numpy as np
 
 LIMIT = 64 << 20
 FAR = np.int32(1 << 28)
+#: Names must recur this often on average, else a string of names is sorted by prefix doubling.
+SYMBOL_SHARE = 200
 
 
 class Queue:
@@ -85,7 +87,11 @@ def refined(rank: np.ndarray, active: np.ndarray, key: np.ndarray) -> np.ndarray
 
     A rank is the place where its group begins in the order.
     """
-    order = np.lexsort((key, rank[active]))
+    top = int(key.max()) + 1 if len(key) else 1
+    if top < (1 << 62) // (len(rank) + 1):
+        order = np.argsort(rank[active] * top + key)
+    else:
+        order = np.argsort(key, kind="stable") if len(active) == len(rank) and not rank.any() else np.lexsort((key, rank[active]))
     a = active[order]
     r, k = rank[a], key[order]
     group = np.ones(len(a), bool)
@@ -146,7 +152,7 @@ def suffix_ranks(names: np.ndarray, limit: int) -> np.ndarray:
     n = len(names)
     if len(dense) == n:
         return names
-    if len(dense) * 16 > n:  # too many symbols for a pass over queues
+    if len(dense) * SYMBOL_SHARE > n:  # too many symbols for passes over queues
         count = np.bincount(names)
         return doubled((np.cumsum(count) - count)[names])
     t = np.append(names + 1, 0)
