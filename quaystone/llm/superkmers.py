@@ -87,7 +87,7 @@ def run_batch(part: pa.RecordBatch, found: tuple[np.ndarray, ...]) -> pa.RecordB
 
 
 #: Distinct runs of an anchor from which they are split by two further minimisers.
-HOT = 2000
+HOT = 256
 
 
 def merged_runs(found: DataFrame) -> DataFrame:

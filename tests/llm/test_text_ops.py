@@ -52,7 +52,7 @@ def brute_words(rows, k):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 2])
+@pytest.mark.parametrize("hot", [256, 2])
 def test_bytes_and_words_removed(spark, monkeypatch, hot):
     monkeypatch.setattr(superkmers, "HOT", hot)
     rows = [(d, t if t is None or len(t) < 5000 else t[:3000]) for d, t in texts(hot)]
