@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, fitted with FTRL-proximal.
 
 A text's features are the shares of its hashed 1- and 2-grams (words are runs of letters and digits,
-other visible characters form words of their own); its score is a sparse dot product with the
+other visible characters form words of their own; a word that comes again at once counts once more,
+in a slot that all such words share); its score is a sparse dot product with the
 weights. Scores read the text alone. An empty or null text has no n-grams and gets the bias.
 
 The fit takes at most about ``sample_docs`` labelled rows, chosen by a hash of doc_id (documented
@@ -26,6 +27,8 @@ THRESHOLD = 0.7
 SCALE = 16.0
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.02, 0.5, 4
 
+#: Slots of "the same word again" next to it and after one other.
+AGAIN = (12345, 54321)
 LETTERS = member_table(lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128)
 MARKS = member_table(lambda b: 33 <= b <= 126 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122))
 
@@ -43,8 +46,10 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     pair = mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
     inside = doc[:-1] == doc[1:]
     shift = np.uint64(64 - BITS)
-    index = np.concatenate([h >> shift, pair[inside] >> shift]).astype(np.int64)
-    owner = np.concatenate([doc, doc[:-1][inside]])
+    # a word that comes again at once, or after one other, is an n-gram of its own whatever the word
+    again = [np.flatnonzero((h[:-k] == h[k:]) & (doc[:-k] == doc[k:])) for k in (1, 2)]
+    index = np.concatenate([(h >> shift).astype(np.int64), (pair[inside] >> shift).astype(np.int64), *(np.full(len(a), AGAIN[k]) for k, a in enumerate(again))])
+    owner = np.concatenate([doc, doc[:-1][inside], *(doc[a] for a in again)])
     order = np.argsort(owner, kind="stable")
     return index[order], np.searchsorted(owner[order], np.arange(len(offs)))
 
