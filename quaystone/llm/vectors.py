@@ -8,8 +8,8 @@ are merged by rank. Nearness is the inner product, which becomes a Euclidean dis
 coordinate (the length that is missing to the longest vector of the shard).
 
 Vectors that are null, empty, zero, or hold a null or non-finite component take no part, neither do
-rows without an id; vectors of another length than a shard's are not compared with it; no row with
-the query's own id is its candidate; repeated rows are one query; other columns are ignored.
+rows without an id; vectors are compared with those of their own length; no row with the query's own
+id is its candidate; repeated rows are one query; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -179,6 +179,7 @@ def _build(batches: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "shard": [rows["shard"].iloc[0]],
+            "dim": [rows["dim"].iloc[0]],
             "n": [len(rows)],
             "vectors": [vectors.tobytes()],
             "layers": [[x.tobytes() for x in g.layers]],
@@ -198,8 +199,6 @@ def _search(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             ids = np.frombuffer(r["ids"], np.int64)
             query_ids = np.array([x["vec_id"] for x in r["queries"]], np.int64)
             queries = np.array([x["vector"] for x in r["queries"]], np.float64).reshape(len(query_ids), -1)
-            if queries.shape[1] != vectors.shape[1]:
-                continue
             near = g.search(queries, top + 1)
             out_q, out_v, out_s = [], [], []
             for k, q in enumerate(query_ids.tolist()):
@@ -224,12 +223,13 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
     few = few.withColumn("r", F.row_number().over(merged)).filter(f"r <= {top + 1}")
     points = written(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     shards = max(1, -(-points.count() // SHARD))
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("head", F.xxhash64("vector", F.lit(1)))
-    graphs = written(dealt.groupBy("shard").applyInPandas(_build, "shard int, n int, vectors binary, layers array<binary>, ids binary, n_ids binary"))
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("head", F.xxhash64("vector", F.lit(1))).withColumn("dim", F.size("vector"))
+    graphs = written(dealt.groupBy("shard", "dim").applyInPandas(_build, "shard int, dim int, n int, vectors binary, layers array<binary>, ids binary, n_ids binary"))
     asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"])
-    blocks = asked.groupBy(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, -(-asked.count() // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
-    met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, "shard")
-    found = map_batches(met.repartition("shard", "block").select("n", "vectors", "layers", "ids", "n_ids", "queries"), lambda it: _search(top, it), "query_id bigint, vec_id bigint, score double")
+    block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, -(-asked.count() // BLOCK))))
+    blocks = asked.groupBy(block.alias("block"), F.size("vector").alias("dim")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+    met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "dim"])
+    found = map_batches(met.select("n", "vectors", "layers", "ids", "n_ids", "queries"), lambda it: _search(top, it), "query_id bigint, vec_id bigint, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {top}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

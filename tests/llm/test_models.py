@@ -219,7 +219,7 @@ def brute_nearest(rows, every, top):
 def test_small_index_is_exact(spark):
     r = np.random.default_rng(5)
     rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(60)]
-    rows += [(100 + i, rows[3][1]) for i in range(40)] + [(200, None), (201, []), (202, [0.0] * 8), (203, [math.nan] * 8), (204, [math.inf] * 8), (205, [None] * 8), (None, [1.0] * 8)]
+    rows += [(100 + i, rows[3][1]) for i in range(40)] + [(300 + i, r.normal(size=3).astype(np.float32).tolist()) for i in range(30)] + [(200, None), (201, []), (202, [0.0] * 8), (203, [math.nan] * 8), (204, [math.inf] * 8), (205, [None] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id bigint, embedding array<float>, vector string, rank int")
     want = brute_nearest([(i, v) for i, v in rows], 20, 20)
     got = {}
