@@ -309,12 +309,13 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-def _small(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small(pieces: Pieces, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, _, _ in blocks(batches, "text", TOGETHER):
         got = pieces.encode_all([t or "" for t in part.column("text").to_pylist()])
         at = np.concatenate([[0], np.cumsum([len(x) for x, _ in got])])
         ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([x for x, _ in got])))
-        yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([float(x) for _, x in got])], names=[*part.schema.names, "piece_ids", "piece_score"])
+        back = [pa.array([pieces.decode(x) for x, _ in got], pa.string())] if with_text else []
+        yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([float(x) for _, x in got], pa.float64()), *back], names=[*part.schema.names, "piece_ids", "piece_score", *["decoded"] * with_text])
 
 
 def _cut(chunk: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,18 +349,22 @@ def _traced(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "chunk", "sum")), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "chunk", "sum", "ids"])
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, with_text: bool = False) -> DataFrame:
     """``docs`` (any columns) with ``piece_ids`` array<int> and ``piece_score`` double.
 
+    with_text: and ``decoded``, the text of the ids, without a second pass over small texts.
+
     Texts up to ``chunk`` characters: one map, no shuffle. Longer ones: their chunks are dealt out,
     one 2 KB matrix for each chunk meets the others of its document, and the ids are joined again.
     """
-    docs = docs.drop("piece_ids", "piece_score")
+    docs = docs.drop("piece_ids", "piece_score", *["decoded"] * with_text)
     pieces = Pieces.load(model)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     n = F.coalesce(F.char_length("text"), F.lit(0))
     schema = StructType([*docs.schema.fields]).add("piece_ids", ArrayType(IntegerType())).add("piece_score", DoubleType())
-    small = docs.filter(n <= chunk).mapInArrow(lambda it: _small(sent.value, it), schema)
+    if with_text:
+        schema = schema.add("decoded", StringType())
+    small = docs.filter(n <= chunk).mapInArrow(lambda it: _small(sent.value, with_text, it), schema)
     giant = docs.filter(n > chunk)
     key, overlap = ["doc_id", "text_hash"], pieces.longest
     one = giant.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(key)
@@ -372,7 +377,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]))
     whole = traced.groupBy(*key).agg(ids.alias("piece_ids"), F.sum("sum").alias("piece_score"))
     mine = giant["doc_id"].eqNullSafe(whole["doc_id"]) & (F.xxhash64(giant["text"]) == whole["text_hash"])
-    return small.unionByName(giant.join(whole, mine).select(*(giant[c] for c in docs.columns), "piece_ids", "piece_score"))
+    back = giant.join(whole, mine).select(*(giant[c] for c in docs.columns), "piece_ids", "piece_score")
+    return small.unionByName(decode(back, model) if with_text else back)
 
 
 def _decoded(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +398,7 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_ids, score, ids_sha256 (of the comma-joined ids) and whether decoding gives the text back."""
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    both = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=True)
     return both.select(
         "doc_id",
         F.size("piece_ids").cast("bigint").alias("n_ids"),

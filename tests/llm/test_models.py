@@ -190,6 +190,8 @@ def test_giant_documents_in_spark(spark):
     rows = [(i, t) for i, t in enumerate(ODD)] + texts(8, 20) + [(None, "giant one " * 30), (500, "giant two " * 40), (500, "giant two " * 40)]
     docs = frame(spark, rows)
     got = sentencepiece.decode(sentencepiece.encode(docs, chunk=64))
+    again = sentencepiece.encode(docs, chunk=64, with_text=True)
+    assert again.columns == got.columns and again.select("text", "decoded", "piece_ids").exceptAll(got.select("text", "decoded", "piece_ids")).count() == 0
     whole = {(r["doc_id"], r["text"]): r["piece_score"] for r in sentencepiece.encode(docs).collect()}
     out = got.collect()
     assert len(out) == len(rows) and got.columns == [*docs.columns, "piece_ids", "piece_score", "decoded"]
