@@ -465,7 +465,7 @@ def latency_histogram(s, d):
     return ag.latency_histogram(table(s, d, "events"), "value")
 
 
-@query("with a as (select count(*) n_done, date_diff('second', min(ts), max(ts)) s from events) select n_done, n_done * 4 as n_total, round(25.0, 4)::double as percent, round(n_done / greatest(s, 1), 6) as per_second, round((n_done * 3) / (n_done / greatest(s, 1)), 4) as eta_seconds from a")
+@query("with a as (select count(*) n_done, date_diff('microsecond', min(ts), max(ts)) // 1000000 s from events) select n_done, n_done * 4 as n_total, round(25.0, 4)::double as percent, round(n_done / greatest(s, 1), 6) as per_second, round((n_done * 3) / (n_done / greatest(s, 1)), 4) as eta_seconds from a")
 def progress_eta(s, d):
     p = ag.progress_eta(table(s, d, "events"), "ts", F.count("*") * 4)
     return p.withColumn("percent", F.col("percent").cast("double"))
