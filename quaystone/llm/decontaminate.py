@@ -29,7 +29,7 @@ from .textblocks import FOLD, blocks, member_table, span_hashes, table, text_byt
 WINDOW = 10
 SAMPLE_RATE = 8
 MAX_BENCHMARK_BYTES = 8 << 20
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 #: Word bytes once A-Z are lower-cased: digits, a-z and everything outside ASCII.
 WORD = member_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<start:int,end:int>>, items array<bigint>"
@@ -246,10 +246,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BENCHMARK_BYTES, keep: Column | None = None) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BENCHMARK_BYTES, keep: Column | None = None, cut: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, spans (in words, merged, end exclusive), items of every document, with its text.
 
-    keep: one more column to hand through, as ``kept``.
+    keep: one more column to hand through, as ``kept``. cut: the text without its hit words, in the same pass.
 
     No shuffle of documents: one map over the scan for each ``max_bytes`` of benchmark text.
     """
@@ -262,7 +262,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
     for p in range(parts):
         of = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         sent = sc.broadcast(Phrases([(r["item_id"], r["text"]) for r in of.collect()]))
-        out = out.mapInArrow(lambda it, sent=sent: _search(sent.value, it), StructType([*StructType.fromDDL(SCHEMA).fields, *more]))
+        end = cut and p == parts - 1
+        out = out.mapInArrow(lambda it, sent=sent, end=end: _without(_search(sent.value, it)) if end else _search(sent.value, it), StructType([*StructType.fromDDL(SCHEMA).fields, *more]))
     return out
 
 
@@ -291,15 +292,13 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Documents without a hit stay as they are; so do null texts.
     """
     others = [c for c in docs.columns if c != "text"]
-    found = find_contamination(docs, benchmark, keep=F.struct(*others))
-    cut = found.select("text", "spans", "kept")
-    cut = cut.mapInArrow(_without, cut.schema)
+    found = find_contamination(docs, benchmark, keep=F.struct(*others), cut=True)
     hit = F.size("spans") > 0
     out = {c: F.col("kept")[c] for c in others} | {"text": F.col("text")}
     if "n_chars" in out:
         kind = docs.schema["n_chars"].dataType
         out["n_chars"] = F.when(hit, F.char_length("text").cast(kind)).otherwise(out["n_chars"])
-    return cut.select(*(out[c].alias(c) for c in docs.columns))
+    return found.select(*(out[c].alias(c) for c in docs.columns))
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

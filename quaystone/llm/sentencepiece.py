@@ -35,7 +35,7 @@ from .textblocks import blocks, map_batches, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
 #: Units that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Longer units are solved when they come, and not remembered.
 LONGEST_UNIT = 32
 #: Bytes of text whose units are looked up together.

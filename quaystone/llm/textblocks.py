@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one block holds; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 ODD = np.uint64(0x9E3779B97F4A7C15 & ~7 | 3)  # 3 modulo 8: powers stay far from 1 modulo 2**64
 INVERSE = np.uint64(pow(int(ODD), -1, 1 << 64))
@@ -123,8 +123,27 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Bytes whose running sum is held at once; a longer block is worked off in such parts.
+SUM_BYTES = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, from one running polynomial sum over the block."""
+    """64-bit hashes of byte spans (ordered by start), from a running polynomial sum.
+
+    The value of a span depends on its bytes alone, wherever it stands.
+    """
+    if len(data) > SUM_BYTES and len(starts):
+        cuts = np.searchsorted(starts, np.arange(0, len(data) + SUM_BYTES, SUM_BYTES))
+        parts = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                lo = int(starts[a])
+                parts.append(_span_hashes(data[lo : int(ends[a:b].max())], starts[a:b] - lo, ends[a:b] - lo))
+        return np.concatenate(parts)
+    return _span_hashes(data, starts, ends)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers(ODD, n, 0), out=total[1:])
