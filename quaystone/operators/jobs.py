@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.transforms import apply_masking
-from ..plans.partitions import plan_key_ranges, range_filter
+from ..plans.partitions import assign_partition, key_bounds, plan_key_ranges
 from ..sources.scans import CHECKPOINT, checkpoint_scan, chunk_checksums, dlq_scan, manifest_scan
 from ..sources.sinks import backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write
 from .aggregates import verify_counts
@@ -39,41 +40,60 @@ def migrate(
     table: str = "table",
     units: int | None = None,
 ) -> DataFrame:
-    """Moves a table in units of planned partitions, each written once and then marked Done.
+    """Moves a table by planned key ranges; a range is marked Done once its folder is written.
 
-    A unit's rows go to its own folder (overwritten if an earlier try broke off), so a restart with
-    the same operation skips what is Done and repeats nothing. units: stop after so many (tests).
-    Returns the target as a DataFrame.
+    All ranges that aren't Done go in one scan of the source: a row's range is arithmetic, and the
+    write overwrites those ranges' folders alone, so what an earlier try left is replaced and a
+    restart with the same operation repeats nothing. units: only so many ranges (to spread a
+    migration over several runs). Rows without a key are in no range, as in any range scan
+    (``key_uniqueness_check`` counts them). Returns the target as a DataFrame.
     """
     spark = source.sparkSession
     state = f"{root}/state"
-    plan = plan_key_ranges(source, key, partitions)
     try:
         seen = checkpoint_scan(spark, state, operation)
-    except Exception as e:  # the first run has no state yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # the first run has no state yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         seen = spark.createDataFrame([], CHECKPOINT)
-    todo = plan_with_progress(plan, seen).filter("status != 'Done' and start < end").orderBy("start").collect()  # n rows of the plan
-    for r in todo[:units]:
-        part = apply_masking(source.filter(range_filter(key, r["start"], r["end"])), masks or [])
-        good, bad = isolate_bad_rows(part, checks or {}) if checks else (part, None)
-        good.write.mode("overwrite").parquet(f"{root}/data/{r['partition_id']}")
-        failed = 0
+    plan = plan_key_ranges(source, key, partitions)
+    todo = plan_with_progress(plan, seen).filter("status != 'Done' and start < end").orderBy("start").collect()[:units]  # n rows of the plan
+    if todo:
+        bounds = key_bounds(source, key).first()
+        n = plan.count()
+        part = assign_partition(apply_masking(source, masks or []), key, n, bounds["min_key"], bounds["max_key"], UNIT)
+        part = part.withColumn(UNIT, F.concat(F.lit("p"), F.col(UNIT))).filter(F.col(UNIT).isin([r["partition_id"] for r in todo]))
+        good, bad = isolate_bad_rows(part, checks) if checks else (part, None)
+        _write_units(good, "parquet", f"{root}/data")
         if bad is not None:
-            letters = dead_letters(bad, table, F.col(key).cast("string"), F.lit(_now()))
-            letters.write.mode("overwrite").json(f"{root}/failed/{r['partition_id']}")
-            failed = spark.read.schema("record_id string").json(f"{root}/failed/{r['partition_id']}").count()
-        done = spark.read.parquet(f"{root}/data/{r['partition_id']}").agg(F.max(key).cast("bigint").alias("last_committed"), F.count("*").alias("rows_written"))
+            letters = dead_letters(bad, table, F.col(key).cast("string"), F.lit(_now()), keep=F.col(UNIT))
+            _write_units(letters, "json", f"{root}/failed")
+        rows = spark.createDataFrame([(r["partition_id"],) for r in todo], "partition_id string")
+        done = _unit_counts(spark.read.schema(StructType([*source.schema.fields]).add(UNIT, "string")).parquet(f"{root}/data"), F.max(key).cast("bigint").alias("last_committed"), "rows_written")
+        failed = _unit_counts(spark.read.schema(f"record_id string, {UNIT} string").json(f"{root}/failed"), F.lit(0).alias("_"), "error_count") if bad is not None else spark.createDataFrame([], "partition_id string, error_count bigint")
+        states = rows.join(done, "partition_id", "left").join(failed.select("partition_id", "error_count"), "partition_id", "left")
         checkpoint_write(
-            done.select(F.lit(operation).alias("operation_id"), F.lit(r["partition_id"]).alias("partition_id"), F.lit("Done").alias("status"), "last_committed", "rows_written", F.lit(failed).cast("bigint").alias("error_count"), F.lit(_now()).alias("updated_at")),
+            states.select(F.lit(operation).alias("operation_id"), "partition_id", F.lit("Done").alias("status"), "last_committed", F.coalesce("rows_written", F.lit(0)).alias("rows_written"), F.coalesce("error_count", F.lit(0)).alias("error_count"), F.lit(_now()).alias("updated_at")),
             state,
         )
     return migrated(spark, root, source.schema)
 
 
+#: Partition column of the target's folders.
+UNIT = "_unit"
+
+
+def _write_units(df: DataFrame, kind: str, path: str) -> None:
+    """Overwrites the folders of the units in ``df`` and no others."""
+    df.write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(UNIT).save(path)
+
+
+def _unit_counts(df: DataFrame, extra: Column, count: str) -> DataFrame:
+    return df.groupBy(F.col(UNIT).alias("partition_id")).agg(extra, F.count("*").alias(count))
+
+
 def migrated(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/data")
+    return spark.read.schema(schema).parquet(f"{root}/data").drop(UNIT)
 
 
 def status(spark: SparkSession, root: str, operation: str) -> DataFrame:

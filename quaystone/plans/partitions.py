@@ -90,10 +90,10 @@ def range_filter(key: str | Column, start, end) -> Column:
     return cond
 
 
-def assign_partition(df: DataFrame, key: str, n: int, low: int, high: int) -> DataFrame:
+def assign_partition(df: DataFrame, key: str, n: int, low: int, high: int, into: str = "partition_id") -> DataFrame:
     """The number of each row's equal range, by arithmetic: no join, no shuffle."""
     step = max(1, (high - low) // n)
-    return df.withColumn("partition_id", F.least(F.expr(f"cast(({key} - {low}) div {step} as int)"), F.lit(n - 1)))
+    return df.withColumn(into, F.least(F.expr(f"cast(({key} - {low}) div {step} as int)"), F.lit(n - 1)))
 
 
 #: Rows of a plan up to which it is broadcast; a larger plan is joined by buckets of the key.

@@ -36,9 +36,10 @@ def backup_ndjson(df: DataFrame, path: str, key: str, partitions: int) -> None:
     df.repartitionByRange(partitions, key).sortWithinPartitions(key).write.option("ignoreNullFields", "false").json(path, compression="gzip")
 
 
-def dead_letters(bad: DataFrame, table: str, record: Column, at: Column, attempts: int = 1) -> DataFrame:
-    """Failed rows (with ``_errors``) in the dead-letter form."""
+def dead_letters(bad: DataFrame, table: str, record: Column, at: Column, attempts: int = 1, keep: Column | None = None) -> DataFrame:
+    """Failed rows (with ``_errors``) in the dead-letter form; keep: one more column to hand through."""
     rest = [c for c in bad.columns if c != "_errors"]
+    more = [] if keep is None else [keep]
     return bad.select(
         record.alias("record_id"),
         F.lit(table).alias("table"),
@@ -46,6 +47,7 @@ def dead_letters(bad: DataFrame, table: str, record: Column, at: Column, attempt
         F.lit(attempts).alias("attempts"),
         at.cast("timestamp_ntz").alias("timestamp"),
         F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("payload"),
+        *more,
     )
 
 

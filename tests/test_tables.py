@@ -107,6 +107,14 @@ def test_failed_rows_are_letters(spark):
     assert sum(r["error_count"] for r in jobs.status(spark, root, "op").collect()) == 10
 
 
+def test_units_without_good_rows(spark):
+    root = scratch(spark)
+    df = spark.createDataFrame([(i, 0) for i in range(10)], "k bigint, v int")
+    assert jobs.migrate(df, root, "op", "k", 2, checks={"v": F.col("v") > 0}).count() == 0
+    assert [(r["rows_written"], r["error_count"]) for r in jobs.status(spark, root, "op").collect()] == [(0, 4), (0, 6)]  # the step is 9 div 2
+    assert jobs.migrate(df.limit(0), scratch(spark), "op", "k", 2).count() == 0
+
+
 def test_backup_and_tampering(spark, small):
     c = spark.read.parquet(f"{small}/customer.parquet")
     root = scratch(spark)
