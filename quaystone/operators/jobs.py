@@ -76,6 +76,8 @@ def migrate(
             states.select(F.lit(operation).alias("operation_id"), "partition_id", F.lit("Done").alias("status"), "last_committed", F.coalesce("rows_written", F.lit(0)).alias("rows_written"), F.coalesce("error_count", F.lit(0)).alias("error_count"), F.lit(_now()).alias("updated_at")),
             state,
         )
+    elif plan.isEmpty():
+        return source.limit(0)
     return migrated(spark, root, source.schema)
 
 
