@@ -161,11 +161,6 @@ NOT_SPACE = member_table(lambda b: b != 32 and not 9 <= b <= 13)
 FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def fold(column: str) -> F.Column:
-    """A-Z lower-cased, nothing else."""
-    return F.translate(F.coalesce(F.col(column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def row_key(df: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone, with ``text_hash``: rows that agree in all three are alike."""
     return df.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
