@@ -13,6 +13,9 @@ worked off, and it gives one row for each member, not for each pair.
 
 Null and empty texts have fingerprint zero and link like any other; a null doc_id keeps its row but
 gives no component number; repeated rows and ids share a component; other columns are ignored.
+
+``keep_one`` drops near copies by their shingle sets (see jaccard): fingerprints of texts with a
+similarity of 0.8 lie 5 to 11 bits apart in the small tables, and no radius is sure to find all of them.
 """
 
 from __future__ import annotations
@@ -26,11 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected
+from .jaccard import set_prints, set_roots
 from .textblocks import map_batches, row_key, table, text_bytes, written
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
+#: What ``keep_one`` calls a near copy, whatever op10_simhash reports.
+KEEP_SHINGLE = 5
+KEEP_SIMILARITY = 0.8
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 63, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -159,11 +166,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.select("doc_id", "fp").join(members, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs``, all columns, with one row of each component: that of the smallest doc_id (nulls last)."""
-    prints = written(fingerprints(docs))
-    roots = _members(prints.select("doc_id", "fp")).select("fp", "root")
-    rows = prints.join(roots, "fp")
+def keep_one(docs: DataFrame, shingle: int = KEEP_SHINGLE, similarity: float = KEEP_SIMILARITY) -> DataFrame:
+    """``docs``, all columns, with one row of each component: that of the smallest doc_id (nulls last).
+
+    Rows link when their sets of ``shingle`` words have a Jaccard similarity of ``similarity`` at least;
+    null and empty texts link to each other.
+    """
+    prints = written(set_prints(docs, shingle, similarity))
+    roots = set_roots(docs, prints, shingle, similarity)
+    rows = prints.join(roots, "sid", "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     keepers = rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_doc"), F.col("k.text_hash").alias("k_hash"))
     kept = docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["k_doc"]) & (F.xxhash64(docs["text"]) == keepers["k_hash"]), "left_semi")

@@ -40,6 +40,18 @@ def test_stages(spark, small):
     assert whole.columns == after.columns and whole.select("doc_id", "text", "piece_ids").exceptAll(after.select("doc_id", "text", "piece_ids")).count() == 0
 
 
+def test_near_copies_of_five_words(spark, small):
+    docs = table(spark, small, "documents")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
+    sets = [set() if not w else {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} for w in ((t or "").encode().lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert sorted(r["doc_id"] for r in cp.near_copies(spark, docs, small).collect()) == sorted(rows[x][0] for x in set(root))
+
+
 @pytest.mark.parametrize("rows", [[], texts(9, 20)])
 def test_stages_on_odd_documents(spark, small, rows):
     docs = frame(spark, rows)

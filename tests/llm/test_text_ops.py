@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quaystone.llm import byte_dedup, decontaminate, secrets, simhash, suffixes, superkmers, word_dedup
+from quaystone.llm import byte_dedup, decontaminate, jaccard, secrets, simhash, suffixes, superkmers, word_dedup
 from quaystone.llm.queries import QUERIES
 
 from .data import frame, ordered, texts
@@ -156,6 +156,44 @@ def test_one_of_each_group_stays(spark):
     assert kept.count() == 3
 
 
+def changed_copies():
+    r = random.Random(12)
+    rows = []
+    for _ in range(12):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.choice([5, 30, 60, 200]))]
+        rows.append(base)
+        for _ in range(r.randint(0, 8)):
+            x = list(r.choice(rows[-3:]))
+            for _ in range(r.randint(1, 3)):
+                x[r.randrange(len(x))] = r.choice(["new", "X", "é"])
+            rows.append(x)
+    rows += [["common", "line", "of", "many", "texts", "here", f"n{i}"] for i in range(10)] + [list("abcdefgh")] * 2
+    return [(i, " ".join(x)) for i, x in enumerate(rows)]
+
+
+def brute_copies(rows, shingle, similarity):
+    sets = []
+    for _, t in rows:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(len(w) - shingle + 1, 1))})
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 10 * len(sets[a] & sets[b]) >= round(10 * similarity) * len(sets[a] | sets[b]):
+                root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    return {rows[x][0] for x in root}
+
+
+@pytest.mark.parametrize(("shingle", "similarity"), [(5, 0.8), (3, 0.6)])
+@pytest.mark.parametrize("large", [256, 2])
+def test_copies_with_changed_words_go(spark, monkeypatch, shingle, similarity, large):
+    monkeypatch.setattr(jaccard, "LARGE", large)
+    rows = changed_copies()
+    want = brute_copies(rows, shingle, similarity)
+    assert len(want) < len(rows) - 2
+    assert {r["doc_id"] for r in simhash.keep_one(frame(spark, rows), shingle, similarity).collect()} == want
+
+
 # --- benchmark decontamination
 
 BENCH_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
