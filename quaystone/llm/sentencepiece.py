@@ -1,10 +1,13 @@
-"""SentencePiece encoding and decoding as a max-plus problem, giant documents by a parallel scan.
+"""SentencePiece encoding and decoding, giant documents in parallel.
 
-An encoding is the segmentation into vocabulary pieces with the largest sum of piece scores, as the
-SentencePiece unigram model defines it; characters that no piece holds fall back to their bytes.
-Scores are those of the given model file, whatever it was trained for: a file of merges is read as
-pieces with scores, so the result is the best sum and not the outcome of its merges. Of equally good
-segmentations the one whose last piece is longest wins, at every place.
+The ids are those of the given model. A model of merges (BPE) is encoded by the library's own merges;
+no piece goes over a border between a visible character and a following space, nor over a line end,
+so merges on both sides of a border don't touch, and a text above ``CHUNK`` characters is cut at such
+borders (a stretch without one stays whole) and its chunks are encoded apart.
+
+A unigram model is a max-plus problem: the segmentation into pieces with the largest sum of scores;
+characters that no piece holds fall back to their bytes. Of equally good segmentations the one whose
+last piece is longest wins, at every place. What follows is about such models.
 
 A text up to ``CHUNK`` characters is encoded where it lies: no piece goes over a border between a
 visible character and a following space, so it falls into units that a worker remembers. A longer
@@ -48,6 +51,8 @@ UNITS = (
     re.compile(r"\n| +[^ \n]*|[^ \n]+"),
     re.compile(r"\n| +(?:[^\w \n]|[\d_])*[^\W\d_]*|(?:[^\w \n]|[\d_])+[^\W\d_]*|[^\W\d_]+"),
 )
+#: Places that no piece goes over, where none holds a line end.
+BORDER = re.compile(r"(?<=[^ ]) |(?<=\n)[^\n]|\n")
 AFTER_LETTER = re.compile(r"[^\W\d_][\W\d_]")
 LOW = -np.inf
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -244,7 +249,7 @@ class Pieces:
 
     def cuts(self, text: str, first: int, last: int) -> tuple[int, int] | None:
         """The first and last places of first..last that no piece goes over, if there are two."""
-        at = [m.start() for m in re.finditer(r"(?<=[^ ]) |(?<=\n)[^\n]|\n" if self.cuts_at_newline else r"(?<=[^ ]) ", text) if first <= m.start() <= last]
+        at = [m.start() for m in re.finditer(BORDER if self.cuts_at_newline else r"(?<=[^ ]) ", text) if first <= m.start() <= last]
         return (at[0], at[-1]) if len(at) > 1 else None
 
     def reach(self, text: str, start: int, length: int, states: int) -> np.ndarray:
@@ -309,7 +314,93 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     return out[::-1]
 
 
-def _small(pieces: Pieces, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Merges:
+    """A model of merges: the library's own merges are the ids, from the bytes of the model file.
+
+    U+2581 in a text, which the library takes for a space, is spelt in bytes instead.
+    """
+
+    def __init__(self, proto: bytes, pieces: Pieces):
+        from sentencepiece import SentencePieceProcessor
+
+        self.proto, self.pieces = proto, pieces
+        self.model = SentencePieceProcessor(model_proto=proto)
+        self.scores = np.array([self.model.get_score(i) for i in range(self.model.get_piece_size())])
+        self.mark = [pieces.byte_ids[b] for b in SPACE.encode()]
+        self.lead = self.model.encode("\n")
+        # no piece goes over a line end: what stands behind one is encoded as if nothing stood before it
+        assert pieces.cuts_at_newline and all(self.model.encode("\n" + t)[: len(self.lead)] == self.lead for t in ("", "a", " a", "\n"))
+
+    def __reduce__(self):
+        return Merges, (self.proto, self.pieces)
+
+    def inner(self, text: str) -> list[int]:
+        """Ids of a text that begins at a border: without the space that the library puts before a text."""
+        out: list[int] = []
+        for k, t in enumerate(text.split(SPACE)):
+            out += self.mark * (k > 0)
+            if t:
+                out += self.model.encode("\n" + t, num_threads=1)[len(self.lead) :]
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, float]]:
+        plain = iter(self.model.encode([t for t in texts if t and SPACE not in t], num_threads=1))
+        ids = [np.array([] if not t else self.inner(" " + t) if SPACE in t else next(plain), np.int32) for t in texts]
+        return [(x, float(self.scores[x].sum())) for x in ids]
+
+    def decode(self, ids: np.ndarray) -> str:
+        return self.pieces.decode(ids)
+
+    def borders(self, text: str, chunk: int) -> list[int]:
+        """Ends of the chunks: the last border of each ``chunk`` characters, or else the next one behind them."""
+        at, out = 0, []
+        places = np.array([m.start() for m in BORDER.finditer(text)] + [len(text)])
+        while at < len(text):
+            k = int(np.searchsorted(places, at + chunk, "right"))
+            if k == 0 or places[k - 1] <= at:
+                k += 1
+            at = int(places[k - 1])
+            out.append(at)
+        return out
+
+
+def is_merges(proto: bytes) -> bool:
+    """Whether a model file's trainer_spec (field 2) has model_type (field 3) 2, that is BPE."""
+
+    def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            x = shift = 0
+            while True:
+                b = raw[at]
+                at += 1
+                x |= (b & 127) << shift
+                shift += 7
+                if b < 128:
+                    return x
+
+        while at < len(raw):
+            key = number()
+            if key & 7 == 0:
+                yield key >> 3, number()
+            else:
+                n = {1: 8, 5: 4}.get(key & 7) or number()
+                yield key >> 3, raw[at : at + n]
+                at += n
+
+    return any(k == 2 and (3, 2) in list(fields(spec)) for k, spec in fields(proto))
+
+
+def load(path: str) -> Pieces | Merges:
+    pieces = Pieces.load(path)
+    with open(path, "rb") as f:
+        proto = f.read()
+    return Merges(proto, pieces) if is_merges(proto) else pieces
+
+
+def _small(pieces: Pieces | Merges, with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, _, _ in blocks(batches, "text", TOGETHER):
         got = pieces.encode_all([t or "" for t in part.column("text").to_pylist()])
         at = np.concatenate([[0], np.cumsum([len(x) for x, _ in got])])
@@ -318,17 +409,26 @@ def _small(pieces: Pieces, with_text: bool, batches: Iterator[pa.RecordBatch]) -
         yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([float(x) for _, x in got], pa.float64()), *back], names=[*part.schema.names, "piece_ids", "piece_score", *["decoded"] * with_text])
 
 
-def _cut(chunk: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(pieces: Pieces | Merges, chunk: int, overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for d, h, t in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text")), strict=True):
             t = " " + t
-            starts = range(0, len(t), chunk)
+            ends = pieces.borders(t, chunk) if isinstance(pieces, Merges) else [min(s + chunk, len(t)) for s in range(0, len(t), chunk)]
+            starts = [0, *ends[:-1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([d] * len(starts), pa.int64()), pa.array([h] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([min(chunk, len(t) - s) for s in starts], pa.int32()), pa.array([t[s : s + chunk + overlap] for s in starts])],
+                [pa.array([d] * len(starts), pa.int64()), pa.array([h] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([e - s for s, e in zip(starts, ends, strict=True)], pa.int32()), pa.array([t[s : e + overlap] for s, e in zip(starts, ends, strict=True)])],
                 names=["doc_id", "text_hash", "chunk", "length", "part"],
             )
 
 
+def _merged(merges: Merges, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids and their scores of chunks that end at borders."""
+    for batch in batches:
+        ids = [np.array(merges.inner(t), np.int32) for t in batch.column("part").to_pylist()]
+        sums = [float(merges.scores[x].sum()) for x in ids]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "text_hash", "chunk")), pa.array(sums, pa.float64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "text_hash", "chunk", "sum", "ids"])
+
+
 def _matrices(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         m = [pieces.matrix(t, n).tobytes() for t, n in zip(batch.column("part").to_pylist(), batch.column("length").to_pylist(), strict=True)]
@@ -358,7 +458,8 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, with_text: b
     one 2 KB matrix for each chunk meets the others of its document, and the ids are joined again.
     """
     docs = docs.drop("piece_ids", "piece_score", *["decoded"] * with_text)
-    pieces = Pieces.load(model)
+    pieces = load(model)
+    merges = isinstance(pieces, Merges)
     sent = docs.sparkSession.sparkContext.broadcast(pieces)
     n = F.coalesce(F.char_length("text"), F.lit(0))
     schema = StructType([*docs.schema.fields]).add("piece_ids", ArrayType(IntegerType())).add("piece_score", DoubleType())
@@ -366,14 +467,18 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, with_text: b
         schema = schema.add("decoded", StringType())
     small = docs.filter(n <= chunk).mapInArrow(lambda it: _small(sent.value, with_text, it), schema)
     giant = docs.filter(n > chunk)
-    key, overlap = ["doc_id", "text_hash"], pieces.longest
+    key, overlap = ["doc_id", "text_hash"], 0 if merges else pieces.longest
     one = giant.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").dropDuplicates(key)
-    parts = map_batches(one, lambda it: _cut(chunk, overlap, it), "doc_id bigint, text_hash bigint, chunk int, length int, part string").repartition(*key, "chunk")
-    ms = map_batches(parts, lambda it: _matrices(sent.value, it), "doc_id bigint, text_hash bigint, chunk int, matrix binary")
-    borders = ms.groupBy(*key).applyInPandas(_border_states, "doc_id bigint, text_hash bigint, chunk int, left int, right int, sum double")
-    at = [parts[k].eqNullSafe(borders[k]) for k in (*key, "chunk")]
-    both = parts.join(borders, at).select(*(parts[k] for k in (*key, "chunk", "length", "part")), "left", "right", "sum")
-    traced = map_batches(both, lambda it: _traced(sent.value, it), "doc_id bigint, text_hash bigint, chunk int, sum double, ids array<int>")
+    parts = map_batches(one, lambda it: _cut(sent.value, chunk, overlap, it), "doc_id bigint, text_hash bigint, chunk int, length int, part string").repartition(*key, "chunk")
+    traced_schema = "doc_id bigint, text_hash bigint, chunk int, sum double, ids array<int>"
+    if merges:
+        traced = map_batches(parts, lambda it: _merged(sent.value, it), traced_schema)
+    else:
+        ms = map_batches(parts, lambda it: _matrices(sent.value, it), "doc_id bigint, text_hash bigint, chunk int, matrix binary")
+        borders = ms.groupBy(*key).applyInPandas(_border_states, "doc_id bigint, text_hash bigint, chunk int, left int, right int, sum double")
+        at = [parts[k].eqNullSafe(borders[k]) for k in (*key, "chunk")]
+        both = parts.join(borders, at).select(*(parts[k] for k in (*key, "chunk", "length", "part")), "left", "right", "sum")
+        traced = map_batches(both, lambda it: _traced(sent.value, it), traced_schema)
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"]))
     whole = traced.groupBy(*key).agg(ids.alias("piece_ids"), F.sum("sum").alias("piece_score"))
     mine = giant["doc_id"].eqNullSafe(whole["doc_id"]) & (F.xxhash64(giant["text"]) == whole["text_hash"])

@@ -201,6 +201,18 @@ def test_giant_documents_in_spark(spark):
     assert sentencepiece.encode(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [64, 1 << 16])
+def test_ids_are_the_library_s(spark, small, chunk):
+    from sentencepiece import SentencePieceProcessor
+
+    m = SentencePieceProcessor(model_file=sentencepiece.MODEL)
+    odd = [t for t in ODD if "▁" not in t] + ["line\n  two\n\nthree " * 20, "x" * 200 + " y" * 200, "<s> </s> <0x0A> <unk>"]
+    docs = frame(spark, list(enumerate(odd))).select("doc_id", "text").union(spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"))
+    for r in sentencepiece.encode(docs, chunk=chunk).collect():
+        assert r["piece_ids"] == m.encode(r["text"] or "")
+        assert r["piece_score"] == pytest.approx(sum(m.get_score(r["piece_ids"])) if r["piece_ids"] else 0.0)
+
+
 def test_sentencepiece_query(spark, small):
     assert QUERIES["op9_sentencepiece"](spark, small).filter("not round_trip or n_ids <= 0").count() == 0
 
