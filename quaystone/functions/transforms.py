@@ -18,6 +18,12 @@ def epoch_ms(c: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
+def json_text(c: Column) -> Column:
+    """A value's own JSON: a text in quotes, a map or struct in braces, null as null."""
+    whole = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)  # what stands between '{"v":' and '}'
+
+
 def _uuid(c: Column) -> Column:
     return F.when(F.regexp_like(F.replace(c.cast("string"), F.lit("-"), F.lit("")), F.lit("^[0-9a-fA-F]{32}$")), c)
 
@@ -25,7 +31,7 @@ def _uuid(c: Column) -> Column:
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "none": lambda c: c,
     "": lambda c: c,
-    "to_json_string": lambda c: F.to_json(F.struct(c.alias("value")), {"ignoreNullFields": "false"}),
+    "to_json_string": json_text,
     "from_json_string": lambda c: F.try_parse_json(c),
     "to_unix_ms": lambda c: epoch_ms(c.try_cast("timestamp_ntz")),
     "from_unix_ms": lambda c: F.timestamp_millis(c.try_cast("bigint")),
@@ -85,17 +91,41 @@ def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return parsed.select(*rest, *flatten_struct(kind, f"`{column}`"))
 
 
+def json_depth(c: Column) -> Column:
+    """How deep the objects of a JSON text nest: the largest surplus of opening braces outside its strings."""
+    braces = F.regexp_replace(F.regexp_replace(c, r'"(?:[^"\\\\]|\\\\.)*"', ""), "[^{}]+", "")
+    level = F.aggregate(
+        F.split(braces, ""),
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda x, b: F.struct(
+            (x["now"] + F.when(b == "{", 1).when(b == "}", -1).otherwise(0)).alias("now"),
+            F.greatest(x["most"], x["now"] + F.when(b == "{", 1).otherwise(0)).alias("most"),
+        ),
+    )
+    return level["most"]
+
+
 def flatten_unknown(df: DataFrame, key: str, column: str) -> DataFrame:
-    """(key, path, value) rows of a JSON text column whose keys aren't known; one level a round, eight at most."""
-    rows = df.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v"))
-    leaves = None
-    for _ in range(8):
-        rows.createOrReplaceTempView("_variant_rows")
-        next_ = rows.sparkSession.sql(f"select r.{key}, case when path = '' then x.key else path || '.' || x.key end path, x.value v from _variant_rows r, lateral variant_explode(r.v) x where schema_of_variant(r.v) like 'OBJECT%'")
-        flat = next_.filter("schema_of_variant(v) not like 'OBJECT%'").select(key, "path", F.expr("try_variant_get(v, '$', 'string')").alias("value"))
-        leaves = flat if leaves is None else leaves.unionByName(flat)
-        rows = next_.filter("schema_of_variant(v) like 'OBJECT%'")
-    return leaves
+    """(key, path, value) rows of a JSON text column whose keys aren't known, whatever its depth.
+
+    A text is parsed once; every level is one more step of the same scan, leaves pass through. The number
+    of levels is the deepest text's, taken in a pass of its own. Texts that aren't objects have no rows,
+    neither has an empty object; lists are leaves, as JSON.
+    """
+    spark = df.sparkSession
+    levels = df.agg(F.max(json_depth(F.col(column)))).first()[0] or 0
+    is_object = lambda c: F.schema_of_variant(c).startswith("OBJECT")
+    rows = df.select(F.col(key), F.lit(None).cast("string").alias("_path"), F.try_parse_json(column).alias("_v"))
+    rows = rows.filter(is_object(F.col("_v")))
+    for _ in range(levels):
+        below = spark.tvf.variant_explode_outer(F.when(is_object(F.col("_v")), F.col("_v")).outer())
+        found, inner = rows.lateralJoin(below), is_object(F.col("_v"))
+        rows = found.filter(~inner | F.col("pos").isNotNull()).select(
+            F.col(key),
+            F.when(inner, F.concat_ws(".", "_path", found["key"])).otherwise(F.col("_path")).alias("_path"),
+            F.when(inner, found["value"]).otherwise(F.col("_v")).alias("_v"),
+        )
+    return rows.select(F.col(key), F.col("_path").alias("path"), F.try_variant_get("_v", "$", "string").alias("value"))
 
 
 MASKS: dict[str, Callable[[Column], Column]] = {
@@ -129,22 +159,49 @@ def record_id(*keys: str) -> Column:
     return F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
 
 
-def canonical_text(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """Columns by name as text that other engines write alike: doubles in cents, dates as days, null as \\N."""
+def canonical_text(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> list[Column]:
+    """Columns by name as text, null as null.
+
+    Values that differ have different texts: doubles with all their digits (NaN is NaN, -0.0 is 0.0), times with
+    microseconds, bytes in hex, nested values as JSON with maps in key order. cents: doubles rounded to
+    hundredths and times cut to seconds, for engines that write them otherwise.
+    """
     kinds = dict(df.dtypes)
     out = []
     for c in sorted(columns or df.columns):
-        x = F.col(c)
-        if kinds[c] in ("double", "float"):
-            x = F.round(x * 100).cast("bigint")
-        elif kinds[c].startswith("timestamp"):
-            x = F.date_format(x, "yyyy-MM-dd HH:mm:ss")
-        out.append(F.coalesce(x.cast("string"), F.lit("\\N")))
+        x, kind = F.col(f"`{c}`"), kinds[c]
+        if kind in ("double", "float"):
+            x = F.when(~F.isnan(x) & (F.abs(x) < 9e16), F.round(x * 100).cast("bigint").cast("string")).otherwise(x.cast("string")) if cents else (x + 0.0).cast("string")
+        elif kind.startswith("timestamp"):
+            x = F.date_format(x, "yyyy-MM-dd HH:mm:ss") if cents else x.cast("string")
+        elif kind == "binary":
+            x = F.hex(x)
+        elif kind.startswith("map<"):
+            x = F.to_json(F.array_sort(F.map_entries(x)), {"ignoreNullFields": "false"})
+        elif kind.startswith(("array<", "struct<", "variant")):
+            x = F.to_json(x, {"ignoreNullFields": "false"})
+        out.append(x.cast("string"))
     return out
 
 
-def record_checksum(df: DataFrame, columns: list[str] | None = None) -> Column:
-    return F.sha2(F.concat_ws("|", *canonical_text(df, columns)), 256)
+def row_text(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> Column:
+    """A row as one text that no other row has: each value behind its length, null as N."""
+    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("N")) for x in canonical_text(df, columns, cents)]
+    return F.concat_ws("|", *parts)
+
+
+def record_checksum(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> Column:
+    """SHA-256 of ``row_text``: equal only where every value is equal."""
+    return F.sha2(row_text(df, columns, cents), 256)
+
+
+def normalize_uuids(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Columns of 16-byte values (all binary ones by default) as UUID text; values of another length as plain hex."""
+    for c, kind in df.dtypes:
+        if c in columns if columns is not None else kind == "binary":
+            x = F.lower(F.hex(F.col(f"`{c}`")))
+            df = df.withColumn(c, F.regexp_replace(x, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    return df
 
 
 def normalize_utc(c: Column, zone: str) -> Column:

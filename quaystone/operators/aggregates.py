@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.transforms import canonical_text
+from ..functions.transforms import row_text
 from ..session import token
 
 # The usual upper bounds of latency buckets, in seconds.
@@ -33,9 +33,12 @@ def find_duplicates(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def table_checksum(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Fingerprint of a table that doesn't depend on the order of its rows: sum of row tokens and row count."""
-    row = token(*[F.coalesce(x, F.lit("\\N")) for x in canonical_text(df, columns)])
+def table_checksum(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> DataFrame:
+    """Fingerprint of a table that doesn't depend on the order of its rows: sum of row tokens and row count.
+
+    A row's token is taken from ``row_text``, so any change of any value shows. Every row counts, copies too.
+    """
+    row = token(row_text(df, columns, cents))
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 
@@ -64,9 +67,14 @@ def throughput(df: DataFrame, ts: str, by: str) -> DataFrame:
     return df.groupBy(F.date_trunc("MINUTE", F.col(ts)).alias("minute"), by).agg(F.count("*").alias("n"), F.round(F.count("*") / 60.0, 6).alias("per_second"))
 
 
-def latency_quantiles(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
-    """Exact 50 %, 95 % and 99 % quantiles."""
-    q = F.expr(f"percentile({value}, array(0.5, 0.95, 0.99))").alias("q")
+def latency_quantiles(df: DataFrame, value: str, by: str | None = None, accuracy: int = 10_000, exact: bool = False) -> DataFrame:
+    """50 %, 95 % and 99 % quantiles.
+
+    From a sketch whose rank error is at most 1 / accuracy of the rows, in bounded memory; exact: interpolated
+    from a count for each distinct value.
+    """
+    points = "array(0.5, 0.95, 0.99)"
+    q = F.expr(f"percentile({value}, {points})" if exact else f"percentile_approx({value}, {points}, {accuracy})").alias("q")
     out = df.groupBy(*([by] if by else [])).agg(q)
     return out.select(*([by] if by else []), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p50", "p95", "p99"))])
 

@@ -7,16 +7,16 @@ from collections.abc import Callable
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.transforms import apply_masking
-from ..plans.partitions import assign_partition, key_bounds, plan_key_ranges
+from ..plans.partitions import key_bounds, plan_key_ranges
 from ..sources.scans import CHECKPOINT, checkpoint_scan, chunk_checksums, dlq_scan, manifest_scan
 from ..sources.sinks import backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write
 from .aggregates import verify_counts
-from .joins import plan_with_progress, verify_rows
+from .joins import verify_rows
 from .schemas import errors_of, split_bad
 
 
@@ -24,11 +24,57 @@ def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+#: Uncompressed bytes that make a chunk file of a backup.
+CHUNK_BYTES = 512 << 20
+
+
 def isolate_bad_rows(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Good rows and rows that fail a check, in one pass over the checks."""
     return split_bad(df.withColumn("_errors", errors_of(checks)))
 
 
+PLAN = "operation_id string, partition_id string, start bigint, `end` bigint"
+#: Partition column of the target's folders.
+UNIT = "_unit"
+#: Units that one scan of the source writes before they are marked Done.
+GROUP = 16
+
+
+def _read_or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -> DataFrame:
+    try:
+        return read()
+    except AnalysisException as e:  # the first run has nothing yet
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def stored_plan(source: DataFrame, root: str, operation: str, key: str, partitions: int) -> list[Row]:
+    """The operation's ranges, which never change once they are stored.
+
+    The first run plans them from the key bounds. Where the bounds have moved since, only what lies
+    outside the stored ranges is planned anew and added, so "range p3 is Done" keeps its meaning.
+    """
+    spark, path = source.sparkSession, f"{root}/plan"
+    known = _read_or_empty(spark, PLAN, lambda: spark.read.schema(PLAN).json(path)).filter(F.col("operation_id") == operation).collect()  # one row for each range
+    if known:
+        b = key_bounds(source, key).first()
+        low, high = min(r["start"] for r in known), max(r["end"] for r in known)
+        outside = [(lo, hi) for lo, hi in ((b["min_key"], low), (high, None if b["max_key"] is None else b["max_key"] + 1)) if lo is not None and hi is not None and lo < hi]
+        width = max(1, -(-(high - low) // len(known)))
+        new, number = [], len(known)
+        for lo, hi in outside:
+            for start in range(lo, hi, max(width, -(-(hi - lo) // partitions))):
+                new.append((operation, f"p{number}", start, min(hi, start + max(width, -(-(hi - lo) // partitions)))))
+                number += 1
+    else:
+        ranges = plan_key_ranges(source, key, partitions).collect()
+        new = [(operation, r["partition_id"], r["start"], r["end"]) for r in ranges if r["start"] < r["end"]]
+    if new:
+        spark.createDataFrame(new, PLAN).coalesce(1).write.mode("append").json(path)
+    return sorted([*known, *(Row("operation_id", "partition_id", "start", "end")(*r) for r in new)], key=lambda r: r["start"])
+
+
 def migrate(
     source: DataFrame,
     root: str,
@@ -39,50 +85,53 @@ def migrate(
     checks: dict[str, Column] | None = None,
     table: str = "table",
     units: int | None = None,
+    group: int = GROUP,
 ) -> DataFrame:
-    """Moves a table by planned key ranges; a range is marked Done once its folder is written.
+    """Moves a table by planned key ranges; ranges are marked Done as soon as their group is written.
 
-    All ranges that aren't Done go in one scan of the source: a row's range is arithmetic, and the
-    write overwrites those ranges' folders alone, so what an earlier try left is replaced and a
-    restart with the same operation repeats nothing. units: only so many ranges (to spread a
-    migration over several runs). Rows without a key are in no range, as in any range scan
-    (``key_uniqueness_check`` counts them). Returns the target as a DataFrame.
+    The plan is stored with the operation (``stored_plan``). Ranges that aren't Done go in groups of
+    ``group`` in key order: one scan of the source, filtered to the group's keys (a filter that files and
+    databases can use), written to one folder for each range, then one checkpoint row for each. So a run
+    that fails leaves every earlier group Done, what it left of its own group is overwritten, and
+    a restart with the same operation repeats at most one group.
+
+    units: only so many ranges (to spread a migration over several runs). Rows without a key are in no
+    range, as in any range scan (``key_uniqueness_check`` counts them); rows that appear later inside a range that is
+    Done are not looked for again. Returns the target as a DataFrame, empty if nothing was written.
     """
-    spark = source.sparkSession
-    state = f"{root}/state"
-    try:
-        seen = checkpoint_scan(spark, state, operation)
-    except AnalysisException as e:  # the first run has no state yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        seen = spark.createDataFrame([], CHECKPOINT)
-    plan = plan_key_ranges(source, key, partitions)
-    todo = plan_with_progress(plan, seen).filter("status != 'Done' and start < end").orderBy("start").collect()[:units]  # n rows of the plan
-    if todo:
-        bounds = key_bounds(source, key).first()
-        n = plan.count()
-        part = assign_partition(apply_masking(source, masks or []), key, n, bounds["min_key"], bounds["max_key"], UNIT)
-        part = part.withColumn(UNIT, F.concat(F.lit("p"), F.col(UNIT))).filter(F.col(UNIT).isin([r["partition_id"] for r in todo]))
-        good, bad = isolate_bad_rows(part, checks) if checks else (part, None)
-        _write_units(good, "parquet", f"{root}/data")
-        if bad is not None:
-            letters = dead_letters(bad, table, F.col(key).cast("string"), F.lit(_now()), keep=F.col(UNIT))
-            _write_units(letters, "json", f"{root}/failed")
-        rows = spark.createDataFrame([(r["partition_id"],) for r in todo], "partition_id string")
-        done = _unit_counts(spark.read.schema(StructType([*source.schema.fields]).add(UNIT, "string")).parquet(f"{root}/data"), F.max(key).cast("bigint").alias("last_committed"), "rows_written")
-        failed = _unit_counts(spark.read.schema(f"record_id string, {UNIT} string").json(f"{root}/failed"), F.lit(0).alias("_"), "error_count") if bad is not None else spark.createDataFrame([], "partition_id string, error_count bigint")
-        states = rows.join(done, "partition_id", "left").join(failed.select("partition_id", "error_count"), "partition_id", "left")
-        checkpoint_write(
-            states.select(F.lit(operation).alias("operation_id"), "partition_id", F.lit("Done").alias("status"), "last_committed", F.coalesce("rows_written", F.lit(0)).alias("rows_written"), F.coalesce("error_count", F.lit(0)).alias("error_count"), F.lit(_now()).alias("updated_at")),
-            state,
-        )
-    elif plan.isEmpty():
-        return source.limit(0)
+    spark, state = source.sparkSession, f"{root}/state"
+    seen = _read_or_empty(spark, CHECKPOINT, lambda: checkpoint_scan(spark, state, operation))
+    done = {r["partition_id"] for r in seen.filter("status = 'Done'").select("partition_id").collect()}  # one row for each range
+    todo = [r for r in stored_plan(source, root, operation, key, partitions) if r["partition_id"] not in done][:units]
+    masked = apply_masking(source, masks or [])
+    for k in range(0, len(todo), group):
+        _move(masked, source.schema, root, operation, key, todo[k : k + group], checks, table)
     return migrated(spark, root, source.schema)
 
 
-#: Partition column of the target's folders.
-UNIT = "_unit"
+def _move(source: DataFrame, schema: StructType, root: str, operation: str, key: str, ranges: list[Row], checks: dict[str, Column] | None, table: str) -> None:
+    """Writes the ranges' rows and letters, then their checkpoints."""
+    spark, k = source.sparkSession, F.col(key)
+    unit = F.lit(None).cast("string")
+    for r in reversed(ranges):
+        unit = F.when((k >= r["start"]) & (k < r["end"]), F.lit(r["partition_id"])).otherwise(unit)
+    part = source.filter((k >= ranges[0]["start"]) & (k < ranges[-1]["end"])).withColumn(UNIT, unit).filter(F.col(UNIT).isNotNull())
+    good, bad = isolate_bad_rows(part, checks) if checks else (part, None)
+    names = [r["partition_id"] for r in ranges]
+    _write_units(good, "parquet", f"{root}/data")
+    of_group = F.col(UNIT).isin(names)  # folders of other units aren't read
+    written_rows = spark.read.schema(StructType([*schema.fields]).add(UNIT, "string")).parquet(f"{root}/data").filter(of_group)
+    states = spark.createDataFrame([(n,) for n in names], "partition_id string")
+    states = states.join(_unit_counts(written_rows, F.max(key).cast("bigint").alias("last_committed"), "rows_written"), "partition_id", "left")
+    failed = F.lit(0)
+    if bad is not None:
+        _write_units(dead_letters(bad, table, k.cast("string"), F.lit(_now()), keep=F.col(UNIT)), "json", f"{root}/failed")
+        letters = spark.read.schema(f"record_id string, {UNIT} string").json(f"{root}/failed").filter(of_group)
+        states = states.join(_unit_counts(letters, F.lit(0).alias("_"), "error_count"), "partition_id", "left")
+        failed = F.coalesce("error_count", F.lit(0))
+    now = F.lit(_now())
+    row = [F.lit(operation).alias("operation_id"), "partition_id", F.lit("Done").alias("status"), "last_committed"]
+    checkpoint_write(states.select(*row, F.coalesce("rows_written", F.lit(0)).alias("rows_written"), failed.cast("bigint").alias("error_count"), now.alias("updated_at")), f"{root}/state")
 
 
 def _write_units(df: DataFrame, kind: str, path: str) -> None:
@@ -95,21 +144,31 @@ def _unit_counts(df: DataFrame, extra: Column, count: str) -> DataFrame:
 
 
 def migrated(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{root}/data").drop(UNIT)
+    return _read_or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(f"{root}/data").drop(UNIT))
 
 
 def status(spark: SparkSession, root: str, operation: str) -> DataFrame:
     return checkpoint_scan(spark, f"{root}/state", operation).select("partition_id", "status", "rows_written", "error_count", "updated_at").orderBy("partition_id")
 
 
-def backup(df: DataFrame, root: str, operation: str, table: str, key: str, partitions: int = 8, rows_per_file: int = 1_000_000, kind: str = "parquet") -> None:
-    """Chunks, then their hashes and row counts, then the manifest: where there is one the backup is whole."""
+def rows_per_chunk(df: DataFrame, chunk_bytes: int) -> int:
+    """How many rows of average size, taken as JSON over all rows, come to ``chunk_bytes``; files are smaller, being compressed."""
+    size = df.agg(F.avg(F.octet_length(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})))).first()[0]
+    return max(1, int(chunk_bytes / max(1.0, size or 1.0)))
+
+
+def backup(df: DataFrame, root: str, operation: str, table: str, key: str, partitions: int = 8, rows_per_file: int | None = None, kind: str = "parquet", chunk_bytes: int = CHUNK_BYTES) -> None:
+    """Chunks, then their hashes and row counts, then the manifest: where there is one the backup is whole.
+
+    A file ends after ``rows_per_file`` rows; without that number, after as many as come to ``chunk_bytes``.
+    """
     spark, path = df.sparkSession, f"{root}/{operation}/chunks"
+    rows = rows_per_file or rows_per_chunk(df, chunk_bytes)
     if kind == "parquet":
-        backup_parquet(df, path, key, partitions, rows_per_file)
+        backup_parquet(df, path, key, partitions, rows)
         back = spark.read.schema(df.schema).parquet(path)
     else:
-        backup_ndjson(df, path, key, partitions)
+        backup_ndjson(df, path, key, partitions, rows)
         back = spark.read.schema(df.schema).json(path)
     counts = back.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("row_count"))
     rows = counts.join(chunk_checksums(spark, [path]), "file").orderBy("file").collect()  # one row for each chunk file
@@ -168,13 +227,37 @@ def verify_migration(source: DataFrame, target: DataFrame, keys: list[str], colu
 
 
 def replay(spark: SparkSession, letters: str, payload_schema: str, fix: Callable[[DataFrame], DataFrame], checks: dict[str, Column], record: Column, again: str) -> DataFrame:
-    """Dead letters through a correction and the checks once more: good rows; what fails again goes to ``again``."""
+    """Dead letters through a correction and the checks once more: good rows; what fails again goes to ``again``.
+
+    Without letters there are no rows and nothing is written.
+    """
     old = dlq_scan(spark, letters, payload_schema)
     good, bad = isolate_bad_rows(fix(old.select("record.*")), checks)
-    dlq_write(dead_letters(bad, old.select("table").limit(1).first()["table"], record, F.lit(_now()), attempts=2), again)
+    first = old.select("table").limit(1).first()
+    if first is not None:
+        dlq_write(dead_letters(bad, first["table"], record, F.lit(_now()), attempts=2), again)
     return good
 
 
 def expire_backups(kept: DataFrame) -> DataFrame:
-    """Backups that go (rows of ``retention_keep``); their manifests stay as tombstones."""
+    """Backups that go (rows of ``retention_keep``)."""
     return kept.filter(~F.col("keep"))
+
+
+def delete_backups(spark: SparkSession, root: str, operations: list[str]) -> list[str]:
+    """Deletes the chunks of backups; each manifest stays as ``tombstone.json``, for audits.
+
+    The manifest is renamed first, so a backup that is half deleted is none any more. Returns those that were deleted
+    now; unknown ones and those that are gone already are left out. operations: one short name for each backup that goes.
+    """
+    gone = []
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for operation in operations:
+        manifest, tombstone, chunks = (hadoop.Path(f"{root}/{operation}/{x}") for x in ("manifest.json", "tombstone.json", "chunks"))
+        fs = manifest.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(manifest):
+            fs.rename(manifest, tombstone)
+            gone.append(operation)
+        if fs.exists(tombstone):
+            fs.delete(chunks, True)  # also what an earlier try left
+    return gone

@@ -8,13 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.transforms import record_checksum
 from ..session import token
 
-#: Rows of a plan or checkpoint table up to which it is broadcast.
+#: Rows of a checkpoint table up to which it is broadcast, and tasks that share a partition beyond it.
 SMALL = 100_000
-
-
-def small_side(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only what is known to be small."""
-    return F.broadcast(df) if rows <= SMALL else df
+SALT = 32
 
 
 def plan_with_progress(plan: DataFrame, checkpoints: DataFrame) -> DataFrame:
@@ -29,9 +25,19 @@ def skip_done(plan: DataFrame, checkpoints: DataFrame) -> DataFrame:
 
 
 def resume_filter(df: DataFrame, checkpoints: DataFrame, partition: str, key: str) -> DataFrame:
-    """Rows strictly after their partition's last committed key; all rows of partitions without one."""
+    """Rows strictly after their partition's last committed key; all rows of partitions without one.
+
+    Checkpoints have one row for each partition of a plan. They are counted: up to SMALL of them are
+    broadcast, so the table isn't shuffled; beyond that both sides meet by (partition, salt), as a
+    partition of the table is large and must not be one task.
+    """
     cp = checkpoints.select(F.col("partition_id").alias("_p"), F.col("last_committed").alias("_l"))
-    return df.join(cp, df[partition] == cp["_p"], "left").filter(F.col("_l").isNull() | (F.col(key) > F.col("_l"))).drop("_p", "_l")
+    after = F.col("_l").isNull() | (F.col(key) > F.col("_l"))
+    if cp.limit(SMALL + 1).count() <= SMALL:
+        return df.join(F.broadcast(cp), df[partition] == cp["_p"], "left").filter(after).drop("_p", "_l")
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(key), F.lit(SALT)).cast("int"))
+    dealt = cp.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return salted.join(dealt, (salted[partition] == dealt["_p"]) & (salted["_s"] == dealt["_t"]), "left").filter(after).drop("_p", "_l", "_s", "_t")
 
 
 def conflict_skip(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,12 +52,24 @@ def conflict_error(source: DataFrame, target: DataFrame, keys: list[str]) -> Dat
     return there.unionByName(twice)
 
 
+def single_version(source: DataFrame, keys: list[str]) -> DataFrame:
+    """``source``, whose keys must be unique: a key that comes twice is an error when the rows are read."""
+    rest = [c for c in source.columns if c not in keys]
+    one = source.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*[F.lit(0).alias("_"), *rest])).alias("_r"))
+    checked = F.when(F.col("_n") == 1, F.col("_r")).otherwise(F.raise_error(F.concat(F.lit("several source rows for one key and no version: "), F.to_json(F.struct(*keys)))))
+    one = one.withColumn("_r", checked)
+    return one.select(*[F.col("_r")[c].alias(c) if c in rest else F.col(c) for c in source.columns])
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], version: list[Column] | None = None) -> DataFrame:
-    """Target rows without a replacement, and the source's; of several for a key the first by ``version``."""
+    """Target rows without a replacement, and the source's; of several for a key the first by ``version``.
+
+    Without ``version`` the source must have each key once, else reading the result is an error.
+    """
     from .windows import dedupe_latest
 
-    new = dedupe_latest(source, keys, version) if version else source.dropDuplicates(keys)
-    return target.join(new.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
+    new = dedupe_latest(source, keys, version) if version else single_version(source, keys)
+    return target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
 
 
 def verify_rows(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], percent: float = 100.0) -> DataFrame:

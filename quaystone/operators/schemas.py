@@ -18,7 +18,7 @@ FROM_SOURCE = {
     },
     "mongo": {"int64": "int32 int64", "bool": "bool", "float64": "float64 Decimal128", "timestamp": "DateTime", "map": "bson.M bson.D", "array": "bson.A", "blob": "[]byte", "null": "nil"},
     "cassandra": {"int64": "int bigint smallint tinyint", "bool": "boolean", "float64": "float double decimal", "timestamp": "timestamp", "map": "map", "array": "list set", "blob": "blob"},
-    "iceberg": {"int64": "int long", "bool": "boolean", "float64": "float double", "timestamp": "date time timestamp timestamptz", "map": "struct map", "array": "list", "blob": "binary fixed"},
+    "iceberg": {"int64": "int long", "bool": "boolean", "float64": "float double decimal", "timestamp": "date time timestamp timestamptz", "map": "struct map", "array": "list", "blob": "binary fixed"},
 }
 # The target type of each canonical type; others are text or string.
 TO_TARGET = {
@@ -27,7 +27,7 @@ TO_TARGET = {
     "iceberg": {"int64": "long", "string": "string", "bool": "boolean", "float64": "double", "timestamp": "timestamptz", "blob": "binary"},
 }
 OTHERWISE = {"postgres": "text", "cassandra": "text", "iceberg": "string"}
-# Spark's types by canonical name.
+# Spark's types by canonical name; maps and arrays are kept as their JSON text.
 SPARK = {"int64": "bigint", "string": "string", "bool": "boolean", "float64": "double", "timestamp": "timestamp_ntz", "blob": "binary"}
 
 
@@ -39,7 +39,8 @@ def canonical_types(columns: DataFrame, engine: str, source_type: str = "type")
     """Column definitions with their canonical type; lists with ';' hold types of several words."""
     pairs = [(t, c) for c, ts in FROM_SOURCE[engine].items() for t in (ts.split(";") if ";" in ts else ts.split())]
     m = _map(columns.sparkSession, pairs, "_t string, _c string")
-    return columns.join(m, columns[source_type] == m["_t"], "left").withColumn("canonical", F.coalesce("_c", F.lit("string"))).drop("_t", "_c")
+    plain = F.regexp_extract(source_type, r"^([^(<]*[^(<\s])", 1)  # decimal(10,2) is a decimal, list<int> a list
+    return columns.join(m, plain == m["_t"], "left").withColumn("canonical", F.coalesce("_c", F.lit("string"))).drop("_t", "_c")
 
 
 def target_types(columns: DataFrame, engine: str, canonical: str = "canonical") -> DataFrame:
@@ -57,25 +58,35 @@ def canonical_of(df: DataFrame) -> list[tuple[str, str]]:
     return out
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
-    """One row for each column: canonical type, nulls, distinct values, bounds, uniqueness; one pass."""
+def profile_columns(df: DataFrame, exact: bool = False, error: float = 0.01) -> DataFrame:
+    """One row for each column: canonical type, nulls, distinct values, bounds, uniqueness; one pass.
+
+    Distinct values are estimated with relative standard deviation ``error``, so the pass has no shuffle of values and
+    ``is_unique`` means that the estimate reaches the row count within three such deviations; exact: counted,
+    which expands every row once for each column.
+    """
     aggs = [F.count("*").alias("_n")]
     for i, c in enumerate(df.columns):
         x = F.col(f"`{c}`")
-        aggs += [F.count_if(x.isNull()).alias(f"n{i}"), F.count_distinct(x).alias(f"d{i}"), F.min(x).cast("string").alias(f"l{i}"), F.max(x).cast("string").alias(f"h{i}")]
-    one = df.agg(*aggs)
-    rows = [
-        F.struct(F.lit(c).alias("column"), F.lit(t).alias("canonical"), F.col(f"n{i}").alias("n_null"), F.col(f"d{i}").alias("n_distinct"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high"), ((F.col(f"n{i}") == 0) & (F.col(f"d{i}") == F.col("_n"))).alias("is_unique"))
-        for i, (c, t) in enumerate(canonical_of(df))
-    ]
+        distinct = F.count_distinct(x) if exact else F.approx_count_distinct(x, error)
+        aggs += [F.count_if(x.isNull()).alias(f"n{i}"), distinct.alias(f"d{i}"), F.min(x).cast("string").alias(f"l{i}"), F.max(x).cast("string").alias(f"h{i}")]
+    one, slack = df.agg(*aggs), 0.0 if exact else 3 * error
+    rows = []
+    for i, (c, t) in enumerate(canonical_of(df)):
+        nulls, distinct = F.col(f"n{i}"), F.col(f"d{i}")
+        unique = (nulls == 0) & (distinct >= F.col("_n") * (1 - slack))
+        rows.append(F.struct(F.lit(c).alias("column"), F.lit(t).alias("canonical"), nulls.alias("n_null"), distinct.alias("n_distinct"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high"), unique.alias("is_unique")))
     return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def infer_document_schema(df: DataFrame, column: str) -> DataFrame:
-    """Top-level fields of JSON documents: how often, and the kinds of value; over all rows."""
-    fields = df.select(F.explode(F.json_object_keys(column)).alias("field"), F.col(column).alias("_d"))
-    kind = F.expr("schema_of_variant(try_variant_get(try_parse_json(_d), '$.' || field, 'variant'))")
-    return fields.groupBy("field").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(kind)), ",").alias("kinds"))
+    """Top-level fields of JSON documents: how often, and the kinds of value; over all rows.
+
+    A document is parsed once; fields may have any name. What is no object has no fields.
+    """
+    parsed = df.select(F.try_parse_json(column).alias("_d")).filter(F.schema_of_variant("_d").startswith("OBJECT"))
+    fields = parsed.lateralJoin(df.sparkSession.tvf.variant_explode(F.col("_d").outer())).select(F.col("key").alias("field"), F.schema_of_variant("value").alias("kind"))
+    return fields.groupBy("field").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
 
 
 def schema_deviation(df: DataFrame, key: str, column: str, expected: list[str]) -> DataFrame:
@@ -85,15 +96,40 @@ def schema_deviation(df: DataFrame, key: str, column: str, expected: list[str])
     return out.filter("missing != '' or extra != ''")
 
 
+def _coerced(x: Column, kind: str, to: str) -> Column:
+    """A column of Spark type ``kind`` as canonical type ``to``; null where it can't be."""
+    if to == "int64" and kind in ("double", "float"):
+        return x.try_cast("double").try_cast("bigint")
+    if to == "timestamp" and kind in ("bigint", "int", "smallint", "tinyint"):
+        # whole numbers are microseconds since 1970; out of range is an error of the row
+        micros = x.cast("bigint")
+        fits = (micros > -62135596800000000) & (micros < 253402300800000000)
+        return F.when(fits, F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_micros(F.when(fits, micros)).cast("timestamp_ntz")))
+    if to not in SPARK:  # map, array and other kinds are kept as text
+        return F.to_json(x, {"ignoreNullFields": "false"}) if kind.startswith(("map<", "array<", "struct<", "variant")) else x.cast("string")
+    if kind.startswith(("map<", "array<", "struct<", "variant")):
+        return F.to_json(x, {"ignoreNullFields": "false"}) if to == "string" else F.lit(None).cast(SPARK[to])
+    if kind == "binary" and to not in ("string", "blob"):
+        return F.lit(None).cast(SPARK[to])
+    if to == "blob":
+        return x.cast("string").cast("binary") if kind != "binary" else x
+    return x.try_cast(SPARK[to])
+
+
 def coerce_to_schema(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """try_cast of each named column to a canonical type; ``_errors`` lists those that couldn't be."""
+    """Each named column as a canonical type; ``_errors`` lists those that couldn't be.
+
+    Null stays null and is no error. Whole numbers become timestamps as microseconds; maps, arrays and
+    unknown kinds become text, nested values as JSON.
+    """
     errors, out = [], []
+    types = dict(df.dtypes)
     for c in df.columns:
+        x = F.col(f"`{c}`")
         if c not in kinds:
-            out.append(F.col(c))
+            out.append(x)
             continue
-        x, kind = F.col(c), dict(df.dtypes)[c]
-        v = x.try_cast("double").try_cast("bigint") if kinds[c] == "int64" and kind in ("double", "float") else x.try_cast(SPARK[kinds[c]])
+        v = _coerced(x, types[c], kinds[c])
         out.append(v.alias(c))
         errors.append(F.when(x.isNotNull() & v.isNull(), F.lit(f"{c}: not {kinds[c]}")))
     return df.select(*out, F.array_compact(F.array(*errors)).alias("_errors") if errors else F.array().cast("array<string>").alias("_errors"))

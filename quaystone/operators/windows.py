@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..session import token
 
@@ -15,10 +19,29 @@ def batch_rows(df: DataFrame, partition: str, order: list[str], size: int) -> Da
 
 
 def chunk_rows(df: DataFrame, partition: str, order: list[str], size: Column, limit: int) -> DataFrame:
-    """Numbers chunks inside a partition: a chunk closes when the running size reaches ``limit``."""
-    w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    running = F.sum(size.cast("bigint")).over(w)
-    return df.withColumn("chunk_id", F.floor((running - size.cast("bigint")) / limit).cast("bigint"))
+    """Numbers chunks inside a partition: a chunk closes with the row that brings it to ``limit``, the next begins at nought.
+
+    A sum that starts anew is no window function: rows are dealt out by partition, sorted, and numbered
+    in one pass over Arrow batches that remembers one number and one sum. A null size counts as nought.
+    """
+    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0))).withColumn("_group", F.xxhash64(partition))
+    dealt = sized.repartition(partition).sortWithinPartitions("_group", partition, *order)
+    schema, columns = StructType([*df.schema.fields]).add("chunk_id", LongType()), df.columns
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, running, chunk = None, 0, 0
+        for batch in batches:
+            out = []
+            for group, value, rows in zip(batch.column("_group").to_pylist(), batch.column(partition).to_pylist(), batch.column("_size").to_pylist(), strict=True):
+                if last != (group, value):
+                    last, running, chunk = (group, value), 0, 0
+                out.append(chunk)
+                running += rows
+                if running >= limit:
+                    running, chunk = 0, chunk + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.int64())], names=[*columns, "chunk_id"])
+
+    return dealt.mapInArrow(numbered, schema)
 
 
 def latest_by(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
@@ -37,7 +60,7 @@ def dedupe_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 def retention_keep(backups: DataFrame, created: str, key: str, last: int, daily: int, weekly: int, monthly: int) -> DataFrame:
     """Flags which backups stay: the last ones, and the newest of each of the last days, weeks, months.
 
-    Backups are few (one row for each run), but the overall rank is taken from per-month tops anyway,
+    The last ones come from a top-k, the newest of a day, week or month from a window over that period,
     so no window runs over all rows in one task.
     """
     newest = [F.desc(created), F.desc(key)]

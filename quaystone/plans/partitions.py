@@ -47,14 +47,18 @@ def plan_sampled_ranges(df: DataFrame, key: str, n: int) -> DataFrame:
     return ends.select(F.posexplode(F.arrays_zip("s", "e")).alias("i", "x")).select(F.concat(F.lit("p"), F.col("i")).alias("partition_id"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
 
 
-def plan_equal_size_ranges(df: DataFrame, key: str, n: int) -> DataFrame:
+def plan_equal_size_ranges(df: DataFrame, key: str, n: int, accuracy: int = 100_000, exact: bool = False) -> DataFrame:
     """Boundaries that leave equally many rows in each range, whatever the gaps in the key.
 
-    Exact percentiles by aggregation (a count for each distinct key); for plans over very many
-    distinct keys ``repartitionByRange`` gives the same balance without them.
+    Boundaries come from a quantile sketch whose rank error is at most 1 / accuracy of the rows, in bounded
+    memory; exact: from exact percentiles, which hold a count for each distinct key in one place.
     """
-    points = [i / n for i in range(1, n)]
-    q = df.agg(F.min(key).cast("bigint").alias("lo"), F.max(key).cast("bigint").alias("hi"), F.expr(f"percentile({key}, array({', '.join(map(str, points))}))").alias("q")) if points else df.agg(F.min(key).cast("bigint").alias("lo"), F.max(key).cast("bigint").alias("hi"), F.array().cast("array<double>").alias("q"))
+    points = ", ".join(str(i / n) for i in range(1, n))
+    lo, hi = F.min(key).cast("bigint").alias("lo"), F.max(key).cast("bigint").alias("hi")
+    quantiles = F.array().cast("array<double>")
+    if points:
+        quantiles = F.expr(f"percentile({key}, array({points}))" if exact else f"percentile_approx({key}, array({points}), {accuracy})")
+    q = df.agg(lo, hi, quantiles.alias("q"))
     cuts = q.filter("lo is not null").withColumn("cuts", F.array_distinct(F.transform("q", lambda x: F.ceil(x).cast("bigint"))))
     ends = cuts.select(F.concat(F.array("lo"), "cuts").alias("s"), F.concat("cuts", F.array(F.col("hi") + 1)).alias("e"))
     return ends.select(F.posexplode(F.arrays_zip("s", "e")).alias("i", "x")).select(F.concat(F.lit("p"), F.col("i")).alias("partition_id"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
@@ -91,9 +95,10 @@ def range_filter(key: str | Column, start, end) -> Column:
 
 
 def assign_partition(df: DataFrame, key: str, n: int, low: int, high: int, into: str = "partition_id") -> DataFrame:
-    """The number of each row's equal range, by arithmetic: no join, no shuffle."""
+    """The number of each row's equal range, by arithmetic: no join, no shuffle. A null key is in no range (null)."""
     step = max(1, (high - low) // n)
-    return df.withColumn(into, F.least(F.expr(f"cast(({key} - {low}) div {step} as int)"), F.lit(n - 1)))
+    number = F.least(F.expr(f"cast(({key} - {low}) div {step} as int)"), F.lit(n - 1))
+    return df.withColumn(into, F.when(F.col(key).isNotNull(), number))
 
 
 #: Rows of a plan up to which it is broadcast; a larger plan is joined by buckets of the key.

@@ -23,6 +23,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 TOKEN = "('0x'||substr(md5({}::varchar),1,15))::bigint"
+
+
+def row_text_sql(*columns: str) -> str:
+    """The SQL of ``row_text`` over columns in order of their names."""
+    return " || '|' || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, 'N')" for c in sorted(columns))
+
+
+#: Keys from the first quarter of a table's key range to the last.
+INNER = "{0} >= (select min({0}) + (max({0}) - min({0})) // 4 from {1}) and {0} < (select min({0}) + (max({0}) - min({0})) * 3 // 4 from {1})"
 #: Source and target of the conflict queries, made of orders on both engines alike.
 SOURCE = "(select o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 as o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 2 = 0)"
 TARGET = "(select * from orders where o_orderkey % 3 <> 0)"
@@ -61,36 +70,47 @@ def bounds(df: DataFrame, key: str) -> tuple[int, int]:
 
 
 def _derby(s) -> dict[str, str]:
+    """A database inside this JVM, in a folder of this machine: the two JDBC queries run on a local master only."""
     from tempfile import mkdtemp
 
     return scans.jdbc_options(f"jdbc:derby:{mkdtemp(prefix='derby-')}/db;create=true", "t", "org.apache.derby.iapi.jdbc.AutoloadedDriver")
 
 
-@query("select s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) as s_acctbal from supplier")
+SUPPLIER = "select s_suppkey, s_name, s_nationkey, round(s_acctbal, 2) as s_acctbal from supplier"
+
+
+@query(SUPPLIER)
 def jdbc_range_scan(s, d):
     """Supplier goes to an embedded database (the sink ``jdbc_append``) and comes back in four range reads."""
     t, o = table(s, d, "supplier"), _derby(s)
-    sinks.jdbc_append(t.toDF(*[c.upper() for c in t.columns]), o, connections=1)
+    sinks.jdbc_append(t.toDF(*[c.upper() for c in t.columns]), o, connections=4)
     lo, hi = bounds(t, "s_suppkey")
     back = scans.jdbc_range_scan(s, o, "S_SUPPKEY", lo, hi, 4)
     return back.toDF(*t.columns).withColumn("s_acctbal", F.round("s_acctbal", 2))
 
 
-@query("select count(*) as n_rows, sum(s_suppkey) as key_sum from supplier")
+@query(SUPPLIER)
 def jdbc_append(s, d):
-    """Two appends of halves; read by the plan's predicates."""
-    t, o = table(s, d, "supplier").select(F.col("s_suppkey").alias("S_SUPPKEY"), F.col("s_name").alias("S_NAME")), _derby(s)
+    """Two appends of halves, each by key ranges over four connections; read by the plan's predicates."""
+    t, o = table(s, d, "supplier"), _derby(s)
+    upper = t.toDF(*[c.upper() for c in t.columns])
     for r in (0, 1):
-        sinks.jdbc_append(t.filter(F.col("S_SUPPKEY") % 2 == r), o, connections=1)
-    plan = [(r["start"], r["end"]) for r in pl.plan_key_ranges(t, "S_SUPPKEY", 3).collect()]
-    return scans.jdbc_plan_scan(s, o, "S_SUPPKEY", plan).agg(F.count("*").alias("n_rows"), F.sum("S_SUPPKEY").cast("decimal(38,0)").alias("key_sum"))
+        sinks.jdbc_append(upper.filter(F.col("S_SUPPKEY") % 2 == r).repartitionByRange(4, "S_SUPPKEY"), o, connections=4)
+    plan = [(r["start"], r["end"]) for r in pl.plan_key_ranges(t, "s_suppkey", 3).collect()]
+    return scans.jdbc_plan_scan(s, o, "S_SUPPKEY", plan).toDF(*t.columns).withColumn("s_acctbal", F.round("s_acctbal", 2))
+
 
+def inner(df: DataFrame, key: str) -> tuple[int, int]:
+    lo, hi = bounds(df, key)
+    return lo + (hi - lo) // 4, lo + (hi - lo) * 3 // 4
 
-@query("select event_id, event_type, (props->>'$.k')::bigint as k from events where event_id >= 100 and event_id < 5000")
+
+@query(f"select event_id, event_type, (props->>'$.k')::bigint as k from events where {INNER.format('event_id', 'events')}")
 def document_scan(s, d):
     path, e = scratch(s), table(s, d, "events")
     e.select("event_id", "event_type", F.from_json("props", "k bigint").alias("props")).write.json(path)
-    return scans.document_scan(s, path, "event_id bigint, event_type string, props struct<k:bigint>", "event_id", 100, 5000).select("event_id", "event_type", F.col("props.k").alias("k"))
+    docs = scans.document_scan(s, path, "event_id bigint, event_type string, props struct<k:bigint>", "event_id", *inner(e, "event_id"))
+    return docs.select("event_id", "event_type", F.col("props.k").alias("k"))
 
 
 @query(f"select conv_id, turn, concat_ws(':', conv_id, turn) as record_id from conversations where {TOKEN.format("concat_ws(':', conv_id, turn)")} < 576460752303423488")
@@ -170,24 +190,39 @@ def backup_row_counts(s, d):
     return scans.manifest_scan(s, _backup(s, d)).agg(F.sum("row_count").alias("row_count"))
 
 
-@query()
+@query("select true as matches, count(*) as row_count from customer")
 def chunk_checksum(s, d):
-    return scans.manifest_scan(s, _backup(s, d)).select("index", "row_count", "sha256")
+    """Hashes taken anew from the files against those of the manifest; rows of the chunks that agree."""
+    root = _backup(s, d)
+    now = scans.chunk_checksums(s, [f"{root}/b1/chunks"], 0).select("file", F.col("sha256").alias("now"))  # all in blocks
+    both = scans.manifest_scan(s, root).join(now, "file", "left")
+    return both.groupBy((F.col("sha256") == F.col("now")).alias("matches")).agg(F.sum("row_count").alias("row_count"))
 
 
-@query()
+@query("select true as has_bytes, count(*) as row_count from customer")
 def file_inventory(s, d):
-    return scans.file_inventory(s, f"{_backup(s, d)}/b1").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
+    """The listed files that the manifest names, with the rows it gives them."""
+    root = _backup(s, d)
+    files = scans.file_inventory(s, f"{root}/b1").select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length")
+    named = files.join(scans.manifest_scan(s, root), "file")
+    return named.groupBy((F.col("length") > 0).alias("has_bytes")).agg(F.sum("row_count").alias("row_count"))
 
 
-@query()
+@query("select true as has_bytes, count(*) as row_count from customer")
 def plan_file_splits(s, d):
-    return pl.plan_file_splits(s.read.parquet(f"{_backup(s, d)}/b1/chunks"))
+    """The rows that lie in the planned files."""
+    back = s.read.parquet(f"{_backup(s, d)}/b1/chunks")
+    rows = back.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n"))
+    return pl.plan_file_splits(back).join(rows, "file").groupBy((F.col("bytes") > 0).alias("has_bytes")).agg(F.sum("n").alias("row_count"))
 
 
-@query()
+@query("select true as parquet, count(*) as row_count from customer")
 def parquet_file_filter(s, d):
-    return scans.lake_file_scan(s, f"{_backup(s, d)}/b1/chunks").groupBy("file_name").agg(F.count("*").alias("n_rows"))
+    """A folder that holds files of another kind too: only Parquet files are read."""
+    path = f"{_backup(s, d)}/b1/chunks"
+    table(s, d, "customer").select("c_name").write.mode("append").text(path)
+    found = scans.lake_file_scan(s, path)
+    return found.groupBy(F.col("file_name").endswith(".parquet").alias("parquet")).agg(F.count("*").alias("row_count"))
 
 
 BAD = "case when event_id % 50 = 0 then 'x' else cast(event_id as varchar) end"
@@ -247,9 +282,16 @@ def plan_sampled_ranges(s, d):
     return pl.plan_sampled_ranges(table(s, d, "orders"), "o_orderkey", 8)
 
 
-@query("with q as (select cast(unnest(range(1, 8)) as integer) i), c as (select i, cast(ceil((select quantile_cont(o_orderkey, 0.125) from orders) + 0) as bigint) x from q where i = 1 union all select 2, cast(ceil((select quantile_cont(o_orderkey, 0.25) from orders)) as bigint) union all select 3, cast(ceil((select quantile_cont(o_orderkey, 0.375) from orders)) as bigint) union all select 4, cast(ceil((select quantile_cont(o_orderkey, 0.5) from orders)) as bigint) union all select 5, cast(ceil((select quantile_cont(o_orderkey, 0.625) from orders)) as bigint) union all select 6, cast(ceil((select quantile_cont(o_orderkey, 0.75) from orders)) as bigint) union all select 7, cast(ceil((select quantile_cont(o_orderkey, 0.875) from orders)) as bigint) union all select 0, (select min(o_orderkey) from orders) union all select 8, (select max(o_orderkey) + 1 from orders)) select 'p' || a.i as partition_id, a.x as start, b.x as \"end\" from c a join c b on b.i = a.i + 1")
+_CUTS = " union all ".join(f"select {i} as i, cast(ceil(quantile_cont(o_orderkey, {i / 8})) as bigint) as x from orders" for i in range(1, 8))
+
+
+@query(
+    f"with c as ({_CUTS} union all select 0, min(o_orderkey) from orders union all select 8, max(o_orderkey) + 1 from orders)"
+    " select 'p' || a.i as partition_id, a.x as start, b.x as \"end\" from c a join c b on b.i = a.i + 1"
+)
 def plan_equal_size_ranges(s, d):
-    return pl.plan_equal_size_ranges(table(s, d, "orders"), "o_orderkey", 8)
+    """Exact boundaries, as the SQL has them; by default they come from a quantile sketch."""
+    return pl.plan_equal_size_ranges(table(s, d, "orders"), "o_orderkey", 8, exact=True)
 
 
 @query("select 'orders-' || i as partition_id, cast(-9223372036854775808::hugeint + i * 2305843009213693952::hugeint as varchar) as start, cast(-9223372036854775808::hugeint + (i + 1) * 2305843009213693952::hugeint as varchar) as \"end\" from (select unnest(range(8)) i)")
@@ -296,9 +338,10 @@ def map_columns(s, d):
     return tr.map_columns(table(s, d, "customer").drop("c_acctbal"), {"c_custkey": ("id", "none"), "c_name": ("name", "to_upper"), "c_mktsegment": ("segment", "to_lower")})
 
 
-@query("select o_orderkey, o_custkey from orders where o_orderkey >= 100 and o_orderkey < 7000")
+@query(f"select o_orderkey, o_custkey from orders where {INNER.format('o_orderkey', 'orders')}")
 def range_filter(s, d):
-    return table(s, d, "orders").filter(pl.range_filter("o_orderkey", 100, 7000)).select("o_orderkey", "o_custkey")
+    o = table(s, d, "orders")
+    return o.filter(pl.range_filter("o_orderkey", *inner(o, "o_orderkey"))).select("o_orderkey", "o_custkey")
 
 
 def _checkpoints(s, d):
@@ -420,12 +463,9 @@ def find_duplicates(s, d):
     return ag.find_duplicates(table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-ROW = "coalesce(cast(c_custkey as varchar), '\\N') || ':' || coalesce(c_mktsegment, '\\N') || ':' || coalesce(c_name, '\\N') || ':' || coalesce(cast(c_nationkey as varchar), '\\N')"
-
-
-@query(f"select count(*) as n_rows, cast(sum({TOKEN.format('(' + ROW + ')')}::hugeint) as varchar) as checksum from customer")
+@query(f"select count(*) as n_rows, cast(sum({TOKEN.format('(' + row_text_sql('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment') + ')')}::hugeint) as varchar) as checksum from customer")
 def table_checksum(s, d):
-    return ag.table_checksum(table(s, d, "customer"), ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"])
+    return ag.table_checksum(table(s, d, "customer"))
 
 
 def _counters(s, d):
@@ -457,7 +497,8 @@ def throughput_by_table(s, d):
 
 @query("select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.95), 6) as p95, round(quantile_cont(value, 0.99), 6) as p99 from events group by 1")
 def write_latency_quantiles(s, d):
-    return ag.latency_quantiles(table(s, d, "events"), "value", "event_type")
+    """Exact quantiles, as the SQL has them; by default they come from a sketch."""
+    return ag.latency_quantiles(table(s, d, "events"), "value", "event_type", exact=True)
 
 
 @query("select le, (select count(*) from events where value <= le) as n from (select unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0])::double as le)")
@@ -479,7 +520,12 @@ def batch_rows(s, d):
     return wn.batch_rows(table(s, d, "conversations").select("conv_id", "turn"), "conv_id", ["turn"], 3)
 
 
-@query("select conv_id, turn, cast((sum(length(text)) over (partition by conv_id order by turn) - length(text)) // 500 as bigint) as chunk_id from conversations")
+@query(
+    "with recursive s as (select conv_id, turn, coalesce(length(text), 0) as size, row_number() over (partition by conv_id order by turn) as i from conversations),"
+    " r as (select conv_id, turn, i, 0::bigint as chunk_id, size as running from s where i = 1"
+    " union all select s.conv_id, s.turn, s.i, r.chunk_id + (r.running >= 500)::bigint, case when r.running >= 500 then s.size else r.running + s.size end"
+    " from r join s on s.conv_id = r.conv_id and s.i = r.i + 1) select conv_id, turn, chunk_id from r"
+)
 def chunk_rows(s, d):
     return wn.chunk_rows(table(s, d, "conversations"), "conv_id", ["turn"], F.length("text"), 500).select("conv_id", "turn", "chunk_id")
 
@@ -579,24 +625,47 @@ def union_fields(s, d):
     return wn.union_fields(c, table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
 
 
-@query(f"with a as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from orders), b as (select o_orderkey, cast(round(o_totalprice * 100) as bigint) as cents from {MUTATED}) select *, 'source' as side, 1::bigint as n from (select * from a except all select * from b) union all select *, 'target', 1 from (select * from b except all select * from a)")
+ALL_ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+
+@query(
+    f"with a as (select {ALL_ORDER_COLUMNS} from orders), b as (select {ALL_ORDER_COLUMNS} from {MUTATED}),"
+    " r as (select *, 'source' as side, 1::bigint as n from (select * from a except all select * from b)"
+    " union all select *, 'target', 1 from (select * from b except all select * from a))"
+    " select * replace (round(o_totalprice, 2) as o_totalprice) from r"
+)
 def symmetric_difference(s, d):
-    cents = lambda df: df.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
-    return wn.symmetric_difference(cents(table(s, d, "orders")), cents(mutated_orders(s, d)), ["o_orderkey", "cents"])
+    diff = wn.symmetric_difference(table(s, d, "orders"), mutated_orders(s, d), ALL_ORDER_COLUMNS.split(", "))
+    return diff.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
-@query("select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0 and o_orderkey % 3 <> 0")
+@query(f"select * replace (round(o_totalprice, 2) as o_totalprice) from (select {ALL_ORDER_COLUMNS} from orders intersect select {ALL_ORDER_COLUMNS} from {MUTATED})")
 def intersect_rows(s, d):
-    cols = ["o_orderkey", "o_custkey"]
-    return wn.intersect_rows(source_orders(s, d).select(*cols), target_orders(s, d).select(*cols))
+    columns = ALL_ORDER_COLUMNS.split(", ")
+    both = wn.intersect_rows(table(s, d, "orders").select(*columns), mutated_orders(s, d).select(*columns))
+    return both.withColumn("o_totalprice", F.round("o_totalprice", 2))
 
 
 # --- scalar functions
 
 
-@query("select event_id, '{\"value\":\"' || event_type || '\"}' as js from events")
+@query("select event_id, event_type as x from events")
+def none(s, d):
+    return table(s, d, "events").select("event_id", tr.transform("none", F.col("event_type")).alias("x"))
+
+
+@query("select c_custkey, c_mktsegment || '/' || c_mktsegment as twice from customer")
+def register_transform(s, d):
+    """A transform of one's own, called by its name."""
+    tr.register_transform("doubled", lambda c: F.concat(c, F.lit("/"), c))
+    return table(s, d, "customer").select("c_custkey", tr.transform("doubled", F.col("c_mktsegment")).alias("twice"))
+
+
+@query("select event_id, '\"' || event_type || '\"' as js, props as js_of_map from events")
 def to_json_string(s, d):
-    return table(s, d, "events").select("event_id", tr.transform("to_json_string", F.col("event_type")).alias("js"))
+    e = table(s, d, "events")
+    back = F.to_json(F.from_json(tr.transform("to_json_string", F.from_json("props", "map<string,bigint>")), "map<string,bigint>"))
+    return e.select("event_id", tr.transform("to_json_string", F.col("event_type")).alias("js"), F.replace(back, F.lit(":"), F.lit(": ")).alias("js_of_map"))
 
 
 @query("select event_id, (props->>'$.k')::bigint as k from events")
@@ -681,7 +750,7 @@ def record_id(s, d):
     return table(s, d, "conversations").select("conv_id", "turn", tr.record_id("conv_id", "turn").alias("record_id"))
 
 
-@query("select o_orderkey, sha256(concat_ws('|', cast(o_custkey as varchar), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), cast(o_orderkey as varchar), o_orderpriority, o_orderstatus, cast(cast(round(o_totalprice * 100) as bigint) as varchar))) as checksum from orders")
+@query(f"select o_orderkey, sha256({row_text_sql(*ALL_ORDER_COLUMNS.split(', '))}) as checksum from orders")
 def record_checksum(s, d):
     o = table(s, d, "orders")
     return o.select("o_orderkey", tr.record_checksum(o).alias("checksum"))
@@ -690,9 +759,7 @@ def record_checksum(s, d):
 @query(f"select c_custkey, {UUID.format('c_name')} as name, {UUID.format('c_mktsegment')} as segment from customer")
 def normalize_uuids(s, d):
     """16-byte values as text, in every column that has them."""
-    raw = table(s, d, "customer").select("c_custkey", F.unhex(F.md5("c_name")).alias("name"), F.unhex(F.md5("c_mktsegment")).alias("segment"))
-    text = lambda c: F.regexp_replace(F.lower(F.hex(c)), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    return raw.select(*[text(c).alias(c) if t == "binary" else F.col(c) for c, t in raw.dtypes])
+    return tr.normalize_uuids(table(s, d, "customer").select("c_custkey", F.unhex(F.md5("c_name")).alias("name"), F.unhex(F.md5("c_mktsegment")).alias("segment")))
 
 
 @query("select event_id, cast(ts + interval 5 hour as varchar) as utc from events")
@@ -713,14 +780,18 @@ def _profile(c, kind, table_):
     return f"select '{c}' as \"column\", '{kind}' as canonical, count(*) filter (where {c} is null) as n_null, count(distinct {c}) as n_distinct, cast(min({c}) as varchar) as low, cast(max({c}) as varchar) as high, count(*) filter (where {c} is null) = 0 and count(distinct {c}) = count(*) as is_unique from {table_}"
 
 
-@query(" union all ".join(_profile(c, k, "orders") for c, k in (("o_orderkey", "int64"), ("o_custkey", "int64"), ("o_orderstatus", "string"), ("o_orderpriority", "string"))))
+PROFILED = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "string", "o_totalprice": "float64", "o_orderdate": "timestamp", "o_orderpriority": "string"}
+
+
+@query(" union all ".join(_profile(c, k, "orders") for c, k in PROFILED.items()))
 def profile_columns(s, d):
-    return sc.profile_columns(table(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+    """Exact counts, as the SQL has them; by default distinct values are estimated in one pass."""
+    return sc.profile_columns(table(s, d, "orders").select(*PROFILED), exact=True)
 
 
-@query("select 'k' as field, count(*) as n from events")
+@query("select 'k' as field, count(*) as n, 'BIGINT' as kinds from events")
 def infer_document_schema(s, d):
-    return sc.infer_document_schema(table(s, d, "events"), "props").select("field", "n")
+    return sc.infer_document_schema(table(s, d, "events"), "props")
 
 
 def _types(df, engine: str, names: list[str]):
@@ -808,9 +879,23 @@ def restore(s, d):
     return _customer(jobs.restore(s, _backup(s, d), "b1"))
 
 
-@query()
+@query("select 'OK' as verdict, count(*) as row_count from customer")
 def verify_backup(s, d):
-    return jobs.verify_backup(s, _backup(s, d), "b1")
+    return jobs.verify_backup(s, _backup(s, d), "b1").groupBy("verdict").agg(F.sum("row_count").alias("row_count"))
+
+
+@query("select 'b' || i as operation_id, i = 3 as restorable, case when i = 3 then (select count(*) from supplier) else 0 end as n_rows from (select unnest(range(1, 4)) i)")
+def delete_backups(s, d):
+    """Three backups of which the retention keeps the last: the others leave a tombstone, and no chunks."""
+    root, t = scratch(s), table(s, d, "supplier")
+    for i in (1, 2, 3):
+        jobs.backup(t, root, f"b{i}", "supplier", "s_suppkey", 2)
+    made = scans.manifest_scan(s, root).select("operation_id", F.col("created_at").cast("timestamp_ntz").alias("created")).distinct()
+    gone = jobs.expire_backups(wn.retention_keep(made, "created", "operation_id", 1, 0, 0, 0)).select("operation_id")
+    jobs.delete_backups(s, root, [r["operation_id"] for r in gone.collect()])  # one row for each backup
+    left = scans.manifest_scan(s, root).groupBy("operation_id").agg(F.sum("row_count").alias("n"))
+    all_ = scans.file_inventory(s, root).filter(F.col("path").rlike("(manifest|tombstone)[.]json$")).select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("operation_id"))
+    return all_.join(left, "operation_id", "left").select("operation_id", F.col("n").isNotNull().alias("restorable"), F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 @query(f"select count(*) as source_rows, (select count(*) from {MUTATED}) as target_rows, (select count(*) from orders where o_orderkey % 101 = 0) as n_missing, 0::bigint as n_extra, (select count(*) from orders where o_orderkey % 97 = 0 and o_orderkey % 101 <> 0) as n_mismatched, false as equal from orders")
@@ -872,15 +957,14 @@ def stream_rate_metrics(s, d):
 
 @query(EVENTS)
 def exactly_once_resume(s, d):
-    """Half the files, a stop, then a second run from the same state and a replay into the same target."""
-    path, e = _event_files(s, d)
+    """Half of the files, a stop, then the other half and two more runs from the same state: every row was written once."""
+    path, e = scratch(s), table(s, d, "events")
     target, state = scratch(s), scratch(s)
-    streams.stream_migrate(streams.file_stream(s, path, e.schema, 2), target, state)
-    e.filter("event_id % 2 = 0").write.mode("append").parquet(path)  # repeated rows arrive later
-    streams.stream_migrate(streams.file_stream(s, path, e.schema, 2), target, state)
-    return _event_columns(streams.stream_target(s, target, ["event_id"], ["ts"]))
-
-
+    for half in (0, 1):
+        e.filter(F.col("event_id") % 2 == half).repartitionByRange(2, "ts").write.mode("append").parquet(path)
+        streams.stream_migrate(streams.file_stream(s, path, e.schema), target, state)
+    streams.stream_migrate(streams.file_stream(s, path, e.schema), target, state)
+    return _event_columns(streams.stream_rows(s, target))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

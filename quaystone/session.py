@@ -9,14 +9,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where it is unset a temporary folder serves on a local master (tests); on a cluster that is an error.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="quaystone-"))
+    return root.rstrip("/")
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one in tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quaystone-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
 def token(*keys: str | Column) -> Column:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +105,31 @@ def file_inventory(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
 
 
-def chunk_checksums(spark: SparkSession, files: list[str]) -> DataFrame:
-    """SHA-256 and size of files, each hashed in one task of its own; chunks are bounded by the backup's limit."""
-    return spark.read.format("binaryFile").load(files).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+#: Files above this size are hashed block by block instead of as one value.
+WHOLE_FILE = 256 << 20
+
+
+def chunk_checksums(spark: SparkSession, files: list[str], whole: int = WHOLE_FILE) -> DataFrame:
+    """path, file, length, SHA-256 of files (or of the files in folders).
+
+    Files up to ``whole`` bytes are hashed as one value; larger ones aren't read by that scan (the filter on
+    length reaches it) but by tasks that hold 8 MB at a time, through Arrow's file systems (local, HDFS, S3, GCS).
+    """
+    scan = spark.read.format("binaryFile").load(files)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
+    small = scan.filter(F.col("length") <= whole).select("path", name, "length", F.sha2("content", 256).alias("sha256"))
+    large = scan.filter(F.col("length") > whole).select("path", name, "length")
+    return small.unionByName(large.repartition("path").mapInArrow(_hashed, "path string, file string, length bigint, sha256 string"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for path in batch.column("path").to_pylist():
+            fs, inner = pyarrow.fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+            digest = hashlib.sha256()
+            with fs.open_input_stream(inner) as stream:
+                while block := stream.read(8 << 20):
+                    digest.update(block)
+            out.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "sha256"])

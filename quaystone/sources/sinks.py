@@ -31,9 +31,9 @@ def backup_parquet(df: DataFrame, path: str, key: str, partitions: int, rows_per
     df.repartitionByRange(partitions, key).sortWithinPartitions(key).write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def backup_ndjson(df: DataFrame, path: str, key: str, partitions: int) -> None:
-    """One JSON object a line, nulls written out; gzip, as the text writer has no zstd."""
-    df.repartitionByRange(partitions, key).sortWithinPartitions(key).write.option("ignoreNullFields", "false").json(path, compression="gzip")
+def backup_ndjson(df: DataFrame, path: str, key: str, partitions: int, rows_per_file: int = 0) -> None:
+    """One JSON object a line, nulls written out, rotated by rows (0: not); gzip, as the text writer has no zstd."""
+    df.repartitionByRange(partitions, key).sortWithinPartitions(key).write.option("ignoreNullFields", "false").option("maxRecordsPerFile", rows_per_file).json(path, compression="gzip")
 
 
 def dead_letters(bad: DataFrame, table: str, record: Column, at: Column, attempts: int = 1, keep: Column | None = None) -> DataFrame:

@@ -16,28 +16,37 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
 
 
 def stream_migrate(stream: DataFrame, target: str, state: str, checks: dict[str, Column] | None = None, failed: str | None = None) -> None:
-    """Appends every batch under its batch number, so a batch that is repeated after a crash overwrites itself.
+    """Appends every batch under the stream's id and batch number, so a batch that is repeated after a crash overwrites itself.
 
-    Rows that fail a check go to ``failed`` in the same batch and the stream goes on. Readers take the
-    latest version of each key (``stream_target``), which makes the sink an upsert.
+    The id is the one that ``state`` keeps; a stream with new state writes beside what others wrote. Rows
+    that fail a check go to ``failed`` in the same batch and the stream goes on. Readers take the latest
+    version of each key (``stream_target``), which makes the sink an upsert.
     """
+    spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
+        query = spark.read.schema("id string").json(f"{state}/metadata").first()["id"]
+        folder = f"stream={query}/batch={number}"
         if not checks:
-            batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            batch.write.mode("overwrite").parquet(f"{target}/{folder}")
             return
         batch.persist()
         good, bad = isolate_bad_rows(batch, checks)
-        good.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        bad.write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        good.write.mode("overwrite").parquet(f"{target}/{folder}")
+        bad.write.mode("overwrite").parquet(f"{failed}/{folder}")
         batch.unpersist()
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
+def stream_rows(spark: SparkSession, target: str) -> DataFrame:
+    """Every row that streams wrote to a target, repeated versions too."""
+    return spark.read.parquet(target).drop("stream", "batch")
+
+
 def stream_target(spark: SparkSession, target: str, keys: list[str], version: list[str]) -> DataFrame:
     """The stream's target: the latest version of each key."""
-    return latest_by(spark.read.parquet(target).drop("batch"), keys, version)
+    return latest_by(stream_rows(spark, target), keys, version)
 
 
 def stream_rates(stream: DataFrame, ts: str, by: str, late: str = "1 minute") -> DataFrame:
