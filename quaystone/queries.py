@@ -35,7 +35,10 @@ INNER = "{0} >= (select min({0}) + (max({0}) - min({0})) // 4 from {1}) and {0}
 #: Source and target of the conflict queries, made of orders on both engines alike.
 SOURCE = "(select o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 as o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 2 = 0)"
 TARGET = "(select * from orders where o_orderkey % 3 <> 0)"
-MUTATED = "(select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 97 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 101 <> 0)"
+MUTATED = (
+    "(select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 97 = 0 then o_totalprice + 1 else o_totalprice end as o_totalprice,"
+    " o_orderdate, o_orderpriority from orders where o_orderkey % 101 <> 0)"
+)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -272,12 +275,20 @@ def dlq_reconcile(s, d):
 # --- partition planning
 
 
-@query("with b as (select min(o_orderkey) lo, max(o_orderkey) hi from orders), r as (select unnest(range(8)) i), t as (select i, lo, hi, greatest((hi - lo) // 8, 1) step from b, r) select 'p' || i as partition_id, lo + i * step as start, case when i = 7 then hi + 1 else lo + i * step + step end as \"end\" from t")
+@query(
+    "with b as (select min(o_orderkey) lo, max(o_orderkey) hi from orders), r as (select unnest(range(8)) i), t as (select i, lo, hi, greatest((hi"
+    " - lo) // 8, 1) step from b, r) select 'p' || i as partition_id, lo + i * step as start, case when i = 7 then hi + 1 else lo + i * step"
+    " + step end as \"end\" from t"
+)
 def plan_key_ranges(s, d):
     return pl.plan_key_ranges(table(s, d, "orders"), "o_orderkey", 8)
 
 
-@query(f"with c as (select o_orderkey k from orders order by {TOKEN.format('o_orderkey')}, o_orderkey limit 7), n as (select k, row_number() over (order by k) i from c), a as (select i, k as start, lead(k) over (order by i) as e from n) select 'p' || i as partition_id, start, e as \"end\" from a union all select 'p0', null, min(k) from n")
+@query(
+    f"with c as (select o_orderkey k from orders order by {TOKEN.format('o_orderkey')}, o_orderkey limit 7), n as (select k, row_number()"
+    " over (order by k) i from c), a as (select i, k as start, lead(k) over (order by i) as e from n) select 'p' || i as partition_id, start,"
+    " e as \"end\" from a union all select 'p0', null, min(k) from n"
+)
 def plan_sampled_ranges(s, d):
     return pl.plan_sampled_ranges(table(s, d, "orders"), "o_orderkey", 8)
 
@@ -294,7 +305,10 @@ def plan_equal_size_ranges(s, d):
     return pl.plan_equal_size_ranges(table(s, d, "orders"), "o_orderkey", 8, exact=True)
 
 
-@query("select 'orders-' || i as partition_id, cast(-9223372036854775808::hugeint + i * 2305843009213693952::hugeint as varchar) as start, cast(-9223372036854775808::hugeint + (i + 1) * 2305843009213693952::hugeint as varchar) as \"end\" from (select unnest(range(8)) i)")
+@query(
+    "select 'orders-' || i as partition_id, cast(-9223372036854775808::hugeint + i * 2305843009213693952::hugeint as varchar) as start, cast(-9223372036854775808::hugeint"
+    " + (i + 1) * 2305843009213693952::hugeint as varchar) as \"end\" from (select unnest(range(8)) i)"
+)
 def plan_token_ranges(s, d):
     p = pl.plan_token_ranges(table(s, d, "orders"), "orders", 8)
     return p.select("partition_id", F.col("start").cast("string"), F.col("end").cast("string"))
@@ -313,7 +327,10 @@ def assign_partition(s, d):
     return _assigned(s, d).select("o_orderkey", "partition_id")
 
 
-@query(f"with e as (select cast({ASSIGN} as integer) as partition_id, count(*) n_rows, min(o_orderkey) min_key, max(o_orderkey) max_key from orders group by 1) select *, round(n_rows / (select sum(n_rows) / count(*) from e), 6) as times_mean from e")
+@query(
+    f"with e as (select cast({ASSIGN} as integer) as partition_id, count(*) n_rows, min(o_orderkey) min_key, max(o_orderkey) max_key from"
+    " orders group by 1) select *, round(n_rows / (select sum(n_rows) / count(*) from e), 6) as times_mean from e"
+)
 def partition_balance(s, d):
     return pl.partition_balance(_assigned(s, d), "partition_id", "o_orderkey")
 
@@ -360,10 +377,17 @@ def _checkpoints(s, d):
     )
 
 
-CP = f"(select 'm1' as operation_id, 'p' || p as partition_id, case when p = 1 then 'InProgress' else 'Done' end as status, case when p = 1 then hi - 100 else hi end as last_committed, n as rows_written, cast(p % 3 as bigint) as error_count from (select {ASSIGN} p, max(o_orderkey) hi, count(*) n from orders group by 1) where p % 2 = 0 or p = 1)"
+CP = (
+    "(select 'm1' as operation_id, 'p' || p as partition_id, case when p = 1 then 'InProgress' else 'Done' end as status, case when p = 1"
+    f" then hi - 100 else hi end as last_committed, n as rows_written, cast(p % 3 as bigint) as error_count from (select {ASSIGN} p, max(o_orderkey)"
+    " hi, count(*) n from orders group by 1) where p % 2 = 0 or p = 1)"
+)
 
 
-@query(f"with a as (select o_orderkey, 'p' || {ASSIGN} as partition_id from orders) select a.o_orderkey, a.partition_id from a left join {CP} c using (partition_id) where c.last_committed is null or a.o_orderkey > c.last_committed")
+@query(
+    f"with a as (select o_orderkey, 'p' || {ASSIGN} as partition_id from orders) select a.o_orderkey, a.partition_id from a left join {CP}"
+    " c using (partition_id) where c.last_committed is null or a.o_orderkey > c.last_committed"
+)
 def resume_filter(s, d):
     o = _assigned(s, d).select("o_orderkey", F.concat(F.lit("p"), "partition_id").alias("partition_id"))
     return jn.resume_filter(o, _checkpoints(s, d), "partition_id", "o_orderkey")
@@ -374,7 +398,11 @@ def skip_done_partitions(s, d):
     return jn.skip_done(pl.plan_key_ranges(table(s, d, "orders"), "o_orderkey", 8), _checkpoints(s, d)).select("partition_id")
 
 
-@query(f"with r as (select unnest(range(8)) i), b as (select min(o_orderkey) lo, greatest((max(o_orderkey) - min(o_orderkey)) // 8, 1) step from orders) select 'p' || i as partition_id, coalesce(c.status, 'Pending') as status, coalesce(c.last_committed + 1, lo + i * step) as resume_start from r cross join b left join {CP} c on c.partition_id = 'p' || i")
+@query(
+    "with r as (select unnest(range(8)) i), b as (select min(o_orderkey) lo, greatest((max(o_orderkey) - min(o_orderkey)) // 8, 1) step from"
+    " orders) select 'p' || i as partition_id, coalesce(c.status, 'Pending') as status, coalesce(c.last_committed + 1, lo + i * step) as"
+    f" resume_start from r cross join b left join {CP} c on c.partition_id = 'p' || i"
+)
 def plan_with_progress(s, d):
     return jn.plan_with_progress(pl.plan_key_ranges(table(s, d, "orders"), "o_orderkey", 8), _checkpoints(s, d)).select("partition_id", "status", "resume_start")
 
@@ -426,7 +454,10 @@ def widecolumn_write(s, d):
     return _order_columns(wn.latest_by(both, ["o_orderkey"], ["v"]))
 
 
-VERDICTS = f"select o_orderkey, case when m.o_orderkey is null then 'missing' else 'mismatched' end as verdict from orders o left join {MUTATED} m using (o_orderkey) where m.o_orderkey is null or m.o_totalprice <> o.o_totalprice"
+VERDICTS = (
+    f"select o_orderkey, case when m.o_orderkey is null then 'missing' else 'mismatched' end as verdict from orders o left join {MUTATED}"
+    " m using (o_orderkey) where m.o_orderkey is null or m.o_totalprice <> o.o_totalprice"
+)
 
 
 @query(VERDICTS)
@@ -453,7 +484,10 @@ def high_water_marks(s, d):
     return ag.high_water_marks(_assigned(s, d), "partition_id", "o_orderkey")
 
 
-@query(f"select o_orderkey % 16 as partition_id, count(*) as source_rows, count(*) filter (where o_orderkey % 101 <> 0) as target_rows, count(*) = count(*) filter (where o_orderkey % 101 <> 0) as equal from orders group by 1")
+@query(
+    "select o_orderkey % 16 as partition_id, count(*) as source_rows, count(*) filter (where o_orderkey % 101 <> 0) as target_rows, count(*)"
+    " = count(*) filter (where o_orderkey % 101 <> 0) as equal from orders group by 1"
+)
 def verify_counts(s, d):
     return ag.verify_counts(table(s, d, "orders"), mutated_orders(s, d), F.expr("o_orderkey % 16"))
 
@@ -463,7 +497,10 @@ def find_duplicates(s, d):
     return ag.find_duplicates(table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
-@query(f"select count(*) as n_rows, cast(sum({TOKEN.format('(' + row_text_sql('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment') + ')')}::hugeint) as varchar) as checksum from customer")
+@query(
+    f"select count(*) as n_rows, cast(sum({TOKEN.format('(' + row_text_sql('c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment') + ')')}::hugeint)"
+    " as varchar) as checksum from customer"
+)
 def table_checksum(s, d):
     return ag.table_checksum(table(s, d, "customer"))
 
@@ -482,7 +519,10 @@ def read_written_failed_balance(s, d):
     return ag.balance(_counters(s, d)).select("event_type", "balanced")
 
 
-STATUS = f"select operation_id, count(*) as n_partitions, cast(sum(rows_written) as bigint) as rows_written, cast(sum(error_count) as bigint) as errors, round(count(*) filter (where status = 'Done') * 100.0 / count(*), 4) as percent_done from {CP} group by 1"
+STATUS = (
+    "select operation_id, count(*) as n_partitions, cast(sum(rows_written) as bigint) as rows_written, cast(sum(error_count) as bigint) as"
+    f" errors, round(count(*) filter (where status = 'Done') * 100.0 / count(*), 4) as percent_done from {CP} group by 1"
+)
 
 
 @query(STATUS)
@@ -506,7 +546,11 @@ def latency_histogram(s, d):
     return ag.latency_histogram(table(s, d, "events"), "value")
 
 
-@query("with a as (select count(*) n_done, date_diff('microsecond', min(ts), max(ts)) // 1000000 s from events) select n_done, n_done * 4 as n_total, round(25.0, 4)::double as percent, round(n_done / greatest(s, 1), 6) as per_second, round((n_done * 3) / (n_done / greatest(s, 1)), 4) as eta_seconds from a")
+@query(
+    "with a as (select count(*) n_done, date_diff('microsecond', min(ts), max(ts)) // 1000000 s from events) select n_done, n_done * 4 as"
+    " n_total, round(25.0, 4)::double as percent, round(n_done / greatest(s, 1), 6) as per_second, round((n_done * 3) / (n_done / greatest(s,"
+    " 1)), 4) as eta_seconds from a"
+)
 def progress_eta(s, d):
     p = ag.progress_eta(table(s, d, "events"), "ts", F.count("*") * 4)
     return p.withColumn("percent", F.col("percent").cast("double"))
@@ -571,10 +615,16 @@ def dedupe_latest(s, d):
 
 
 def _retention(unit: str, n: int) -> str:
-    return f"(row_number() over (partition by date_trunc('{unit}', o_orderdate) order by o_orderdate desc, o_orderkey desc) = 1 and date_trunc('{unit}', o_orderdate) in (select distinct date_trunc('{unit}', o_orderdate) p from orders order by p desc limit {n}))"
+    return (
+        f"(row_number() over (partition by date_trunc('{unit}', o_orderdate) order by o_orderdate desc, o_orderkey desc) = 1 and date_trunc('{unit}',"
+        f" o_orderdate) in (select distinct date_trunc('{unit}', o_orderdate) p from orders order by p desc limit {n}))"
+    )
 
 
-RETENTION = f"select o_orderkey, o_orderkey in (select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 10) as keep_last, {_retention('DAY', 7)} as keep_daily, {_retention('WEEK', 4)} as keep_weekly, {_retention('MONTH', 12)} as keep_monthly from orders"
+RETENTION = (
+    f"select o_orderkey, o_orderkey in (select o_orderkey from orders order by o_orderdate desc, o_orderkey desc limit 10) as keep_last, {_retention('DAY', 7)}"
+    f" as keep_daily, {_retention('WEEK', 4)} as keep_weekly, {_retention('MONTH', 12)} as keep_monthly from orders"
+)
 
 
 def _kept(s, d):
@@ -777,7 +827,11 @@ def base64_non_utf8(s, d):
 
 
 def _profile(c, kind, table_):
-    return f"select '{c}' as \"column\", '{kind}' as canonical, count(*) filter (where {c} is null) as n_null, count(distinct {c}) as n_distinct, cast(min({c}) as varchar) as low, cast(max({c}) as varchar) as high, count(*) filter (where {c} is null) = 0 and count(distinct {c}) = count(*) as is_unique from {table_}"
+    return (
+        f"select '{c}' as \"column\", '{kind}' as canonical, count(*) filter (where {c} is null) as n_null, count(distinct {c}) as n_distinct,"
+        f" cast(min({c}) as varchar) as low, cast(max({c}) as varchar) as high, count(*) filter (where {c} is null) = 0 and count(distinct {c})"
+        f" = count(*) as is_unique from {table_}"
+    )
 
 
 PROFILED = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "string", "o_totalprice": "float64", "o_orderdate": "timestamp", "o_orderpriority": "string"}
@@ -821,7 +875,11 @@ def target_types(s, d):
     return sc.target_types(_types(table(s, d, "customer"), "", CANON), "iceberg", "type")
 
 
-@query("select (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) as n_repeated_keys, (select cast(sum(n) as bigint) from (select count(*) n from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) as n_rows_of_them, 0::bigint as n_null_keys")
+@query(
+    "select (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) as n_repeated_keys, (select"
+    " cast(sum(n) as bigint) from (select count(*) n from lineitem group by l_orderkey, l_linenumber having count(*) > 1)) as n_rows_of_them,"
+    " 0::bigint as n_null_keys"
+)
 def key_uniqueness_check(s, d):
     return sc.key_uniqueness_check(table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
@@ -838,7 +896,11 @@ def isolate_bad_rows(s, d):
     return good.agg(F.count("*").alias("n_good")).crossJoin(bad.agg(F.count("*").alias("n_bad")))  # one row each
 
 
-@query("select 'o_orderkey' as \"column\", null::varchar as old, 'bigint' as new, 'added' as change from (select 1 from orders limit 1) union all select 'o_orderdate', 'timestamp_ntz', null, 'removed' from (select 1 from orders limit 1) union all select 'o_totalprice', 'double', 'bigint', 'changed' from (select 1 from orders limit 1)")
+@query(
+    "select 'o_orderkey' as \"column\", null::varchar as old, 'bigint' as new, 'added' as change from (select 1 from orders limit 1) union"
+    " all select 'o_orderdate', 'timestamp_ntz', null, 'removed' from (select 1 from orders limit 1) union all select 'o_totalprice', 'double',"
+    " 'bigint', 'changed' from (select 1 from orders limit 1)"
+)
 def schema_diff(s, d):
     o = table(s, d, "orders")
     return sc.schema_diff(sc.schema_frame(o.drop("o_orderkey")), sc.schema_frame(o.drop("o_orderdate").withColumn("o_totalprice", F.col("o_totalprice").cast("bigint"))))
@@ -862,7 +924,11 @@ def migrate(s, d):
     return _customer(jobs.migrate(c, root, "m1", "c_custkey", 8, **args))
 
 
-@query("select 'p' || p as partition_id, 'Done' as status, count(*) as rows_written, 0::bigint as error_count from (select least((s_suppkey - (select min(s_suppkey) from supplier)) // greatest((select max(s_suppkey) - min(s_suppkey) from supplier) // 4, 1), 3) p from supplier) group by p")
+@query(
+    "select 'p' || p as partition_id, 'Done' as status, count(*) as rows_written, 0::bigint as error_count from (select least((s_suppkey"
+    " - (select min(s_suppkey) from supplier)) // greatest((select max(s_suppkey) - min(s_suppkey) from supplier) // 4, 1), 3) p from supplier)"
+    " group by p"
+)
 def status(s, d):
     root = scratch(s)
     jobs.migrate(table(s, d, "supplier"), root, "m2", "s_suppkey", 4)
@@ -898,13 +964,20 @@ def delete_backups(s, d):
     return all_.join(left, "operation_id", "left").select("operation_id", F.col("n").isNotNull().alias("restorable"), F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
-@query(f"select count(*) as source_rows, (select count(*) from {MUTATED}) as target_rows, (select count(*) from orders where o_orderkey % 101 = 0) as n_missing, 0::bigint as n_extra, (select count(*) from orders where o_orderkey % 97 = 0 and o_orderkey % 101 <> 0) as n_mismatched, false as equal from orders")
+@query(
+    f"select count(*) as source_rows, (select count(*) from {MUTATED}) as target_rows, (select count(*) from orders where o_orderkey % 101"
+    " = 0) as n_missing, 0::bigint as n_extra, (select count(*) from orders where o_orderkey % 97 = 0 and o_orderkey % 101 <> 0) as n_mismatched,"
+    " false as equal from orders"
+)
 def verify_migration(s, d):
     o = table(s, d, "orders")
     return jobs.verify_migration(o, mutated_orders(s, d), ["o_orderkey"], o.columns, 100.0)
 
 
-@query("select user_id % 20 as operation, min(ts) as started, max(ts) as ended, 'ok' as outcome, count(*) as row_count, date_diff('microsecond', min(ts), max(ts)) // 1000000 as seconds from events group by 1")
+@query(
+    "select user_id % 20 as operation, min(ts) as started, max(ts) as ended, 'ok' as outcome, count(*) as row_count, date_diff('microsecond',"
+    " min(ts), max(ts)) // 1000000 as seconds from events group by 1"
+)
 def audit_runs(s, d):
     """Start and end rows made of the first and last event of twenty groups of users."""
     e = table(s, d, "events").groupBy(F.expr("user_id % 20").alias("operation")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
@@ -945,7 +1018,10 @@ def stream_dlq_split(s, d):
     return s.read.parquet(target).select(F.lit(False).alias("failed")).unionByName(s.read.parquet(bad).select(F.lit(True).alias("failed"))).groupBy("failed").agg(F.count("*").alias("n"))
 
 
-@query("select date_trunc('MINUTE', ts) as minute, event_type, count(*) as n from events where date_trunc('MINUTE', ts) + interval 1 minute <= (select max(ts) - interval 1 minute from events) group by 1, 2")
+@query(
+    "select date_trunc('MINUTE', ts) as minute, event_type, count(*) as n from events where date_trunc('MINUTE', ts) + interval 1 minute"
+    " <= (select max(ts) - interval 1 minute from events) group by 1, 2"
+)
 def stream_rate_metrics(s, d):
     """Minutes that the watermark has closed."""
     path, e = _event_files(s, d)
