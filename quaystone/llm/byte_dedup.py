@@ -3,14 +3,17 @@
 A byte is removed when a string of LENGTH bytes that covers it also starts anywhere else, in the same
 document or another. Strings are judged on the input; overlaps count; no string crosses documents.
 
-What is sorted: runs of windows that share their smallest 32-gram meet by that anchor. A run that
-occurs more than once as a whole is repeated throughout. Of anchors with several different runs, or
-runs that may repeat inside themselves, one packed string each goes to its bucket, and whole buckets
-form the shards: all suffixes of a shard are put in order, and neighbours that share LENGTH bytes
-stand twice. (Equal windows have equal anchors, so no repeat is split between shards.)
+What is sorted: runs of windows that share their smallest 32-gram meet by that anchor. Runs that are
+alike as a whole are merged before the shuffle (128 bits of hash), as copies may be a third of all
+rows; such a run is repeated throughout. Of anchors with several different runs, or runs that may repeat
+inside themselves, one packed string each goes to its bucket, and whole buckets form the shards: all
+suffixes of a shard are put in order, and neighbours that share LENGTH bytes stand twice. (Equal windows
+have equal anchors, so no repeat is split between shards.) A shard has SHARD_BYTES, or as many as its one
+bucket has; what it needs above the limit of ``suffixes`` is kept in files of the task.
 
 Null and empty texts have no bytes; rows that are equal repeat each other, so they lose all from
-LENGTH bytes on; a null doc_id is a document like any other; other columns are ignored.
+LENGTH bytes on; a null doc_id is a document like any other; texts of any length are read whole, in steps;
+an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .suffixes import repeated
-from .superkmers import RUNS, contested, merged_runs, run_batch, runs, wanted_by_document, with_documents
+from .suffixes import LIMIT, Space, Strings, repeated
+from .superkmers import RUNS, contested, long_gram, merged_runs, run_batch, runs, wanted_by_document, with_documents
 from .textblocks import blocks, map_batches, mixed, row_key, table, written
 
 LENGTH = 400
@@ -56,7 +59,7 @@ def _pack(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 mine = whole[at : at + x["n"] + k - 1]
                 if x["hot"]:
                     raw = np.frombuffer(mine, np.uint8)
-                    for _, first, n, anchor, _, _ in runs(lambda a, b, raw=raw: _UNIT[raw[a:b]], np.array([0, len(mine)]), k, min(GRAM, k), (1, 2)):
+                    for _, first, n, anchor, _, _ in runs(lambda a, b, raw=raw: _UNIT[raw[a:b]], np.array([0, len(mine)]), k, long_gram(k), 1):
                         rows += [(c, x["anchor"], x["sid"], x["times"], f, z, mine[f : f + z + k - 1]) for f, z, c in zip(first.tolist(), n.tolist(), anchor.view(np.int64).tolist(), strict=True)]
                 else:
                     rows.append((x["anchor"], x["anchor"], x["sid"], x["times"], 0, x["n"], mine))
@@ -67,26 +70,26 @@ def _pack(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _shards(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets come in order; whole ones are gathered into shards and sorted."""
     held: list[tuple] = []
-    size = 0
+    strings = Strings(Space(LIMIT))
 
     def solve() -> pa.RecordBatch:
-        twice = repeated([r[5] for r in held], k)
+        twice = repeated(strings, k)
         out, at = [], 0
-        for _, anchor, sid, shift, n, body in held:
+        for _, anchor, sid, shift, n in held:
             hit = np.flatnonzero(np.diff(np.concatenate([[0], twice[at : at + n], [0]]).astype(np.int8)))
             out += [(anchor, sid, shift + a, shift + b) for a, b in hit.reshape(-1, 2).tolist()]
-            at += len(body) + 1
+            at += n + k  # n windows are n + k - 1 bytes, and one more place closes them
         cols = list(zip(*out, strict=True)) or [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.int32()], strict=True)], names=["anchor", "sid", "a", "b"])
 
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "anchor", "sid", "shift", "n", "body")), strict=True):
-            if size > SHARD_BYTES and r[0] != held[-1][0]:
+            if strings.size > SHARD_BYTES and r[0] != held[-1][0]:
                 yield solve()
                 held.clear()
-                size = 0
-            held.append(r)
-            size += len(r[5])
+                strings = Strings(Space(LIMIT))
+            held.append(r[:5])
+            strings.add(r[5])
     if held:
         yield solve()
 

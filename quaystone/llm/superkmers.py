@@ -1,13 +1,13 @@
 """Super-k-mers: runs of consecutive windows that share their minimisers, for words or bytes.
 
-A window is ``k`` consecutive units of one document; the smallest hash value among its m-grams is
+A window is ``k`` consecutive units of one document; the m-gram of smallest hash among its m-grams is
 its anchor, so equal windows have equal anchors wherever they stand. Consecutive windows of one
-anchor form a run, described by the anchor and by a digest of its units (``sid``). Where an anchor
-has very many different runs, they are split by two further hash orders: a short passage that many
-documents share seldom decides all of them.
+anchor form a run, described by 64 bits of the anchor and 64 of all its units (``sid``). Where an anchor has
+very many different runs, they are split by minimisers of three quarters of a window's length: only what
+shares so long a passage still meets, and a shorter one that many documents hold decides nothing.
 
-``candidates`` finds what has to be compared: runs with equal (anchor, sid) are merged by a map-side
-aggregation, and only one of each travels on as text, and only if its anchor has several.
+Runs with equal (anchor, sid) are merged by a map-side aggregation, so a passage that a third of all
+documents hold stays one row; one of each travels on as text, if its anchor has several.
 """
 
 from __future__ import annotations
@@ -39,11 +39,16 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(h[:n], h[w - s : w - s + n])
 
 
-def runs(units: Callable[[int, int], np.ndarray], offs: np.ndarray, k: int, m: int, order: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, ...]]:
+def long_gram(k: int) -> int:
+    """Length of the minimisers that split an anchor with very many runs."""
+    return max(1, k - k // 4)
+
+
+def runs(units: Callable[[int, int], np.ndarray], offs: np.ndarray, k: int, m: int, order: int = 0) -> Iterator[tuple[np.ndarray, ...]]:
     """(document, first window, windows, anchor, sid, again) arrays of the runs in a block.
 
     units(a, b): 64-bit hashes of the units a..b of the block; offs: document borders in units.
-    order: the hash orders whose minimisers the windows of a run share.
+    order: which order of hashes picks the minimiser that the windows of a run share.
     again: the anchor's place moves inside the run, so the run may hold one window twice.
     Works in steps of STEP windows, so a document of any length needs the same memory.
     """
@@ -56,11 +61,8 @@ def runs(units: Callable[[int, int], np.ndarray], offs: np.ndarray, k: int, m: i
         np.cumsum(units(c, hi) * power[:size], out=p[1:])
         gram = (p[m:] - p[:-m]) * inverse[: size - m + 1]
         place = np.arange(len(gram), dtype=np.uint64)
-        low = [sliding_min(mixed(gram ^ np.uint64(0x5851F42D4C957F2D * (i + 1) & (1 << 64) - 1)) & ~_PLACE | place, w) for i in order]
-        anchor = low[0] | _PLACE
-        for x in low[1:]:
-            anchor = anchor * _SECOND + (x | _PLACE)
-        anchor = mixed(anchor)
+        low = sliding_min(mixed(gram ^ np.uint64(0x5851F42D4C957F2D * (order + 1) & (1 << 64) - 1)) & ~_PLACE | place, w)
+        anchor = mixed(gram[low & _PLACE])
         doc = np.repeat(at_doc, np.diff(np.clip(offs, c, c + count)))
         here = np.arange(c, c + count)
         valid = offs[doc + 1] - here >= k
@@ -72,7 +74,7 @@ def runs(units: Callable[[int, int], np.ndarray], offs: np.ndarray, k: int, m: i
         a, b = np.flatnonzero(new), np.flatnonzero(last)
         n = b - a + 1
         sid = mixed((p[b + k] - p[a]) * inverse[a] + n.astype(np.uint64) * _SECOND)
-        again = (low[0][a] & _PLACE) != (low[0][b] & _PLACE)
+        again = (low[a] & _PLACE) != (low[b] & _PLACE)
         d = doc[a]
         yield d, here[a] - offs[d], n, anchor[a], sid, again
 
@@ -86,7 +88,7 @@ def run_batch(part: pa.RecordBatch, found: tuple[np.ndarray, ...]) -> pa.RecordB
     )
 
 
-#: Distinct runs of an anchor from which they are split by two further minimisers.
+#: Distinct runs of an anchor from which they are split by longer minimisers.
 HOT = 256
 
 

@@ -3,14 +3,15 @@
 A window is ``WINDOW`` consecutive words; a word is removed when a window that covers it also starts
 in a document with a smaller doc_id. Windows are judged on the input.
 
-Runs of windows that are alike as a whole (same anchor and digest) need no comparison: all of them
-outside the smallest document repeat it. Of the rest one packed string each goes to the bucket of
-its anchor; there the windows are sorted, and equal ones (compared word by word) take the smallest
-document among them. Anchors with very many strings are split by two further minimisers.
+Runs of windows that are alike as a whole (128 bits of hash) are merged before the shuffle, as copies
+may be a third of all rows: all of them outside the smallest document repeat it. Of the rest one packed
+string each goes to the bucket of its anchor; there the windows are sorted, and equal ones (compared word by
+word) take the smallest document among them. Anchors with very many strings are split by longer minimisers.
 
 Null texts have no words; texts under WINDOW words lose nothing; rows with a null doc_id have no
 order, so they lose nothing and take nothing; rows with one doc_id don't repeat each other, and
-each keeps a row of its own; other columns are ignored.
+each keeps a row of its own; texts of any length are read whole, in steps; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .superkmers import RUNS, contested, merged_runs, run_batch, runs, wanted_by_document, with_documents
+from .superkmers import RUNS, contested, long_gram, merged_runs, run_batch, runs, wanted_by_document, with_documents
 from .textblocks import INVERSE, NOT_SPACE, ODD, blocks, map_batches, mixed, powers, row_key, span_hashes, table, word_bounds, written
 
 WINDOW = 50
@@ -58,7 +59,7 @@ def _pack(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     own = b" ".join(mine)
                     e = np.cumsum([len(w) + 1 for w in mine]) - 1
                     h = span_hashes(np.frombuffer(own, np.uint8), np.concatenate([[0], e[:-1] + 1]), e)
-                    for _, first, n, anchor, _, _ in runs(lambda a, b, h=h: h[a:b], np.array([0, len(mine)]), k, min(GRAM, k), (1, 2)):
+                    for _, first, n, anchor, _, _ in runs(lambda a, b, h=h: h[a:b], np.array([0, len(mine)]), k, long_gram(k), 1):
                         rows += [(int(c), x["anchor"], x["sid"], x["least"], int(f), int(z), b" ".join(mine[f : f + z + k - 1])) for f, z, c in zip(first, n, anchor.view(np.int64), strict=True)]
                 else:
                     rows.append((x["anchor"], x["anchor"], x["sid"], x["least"], 0, x["n"], b" ".join(mine)))
