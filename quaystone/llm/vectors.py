@@ -1,15 +1,17 @@
 """Approximate nearest neighbours: a navigable small-world graph per shard, as flat neighbour arrays.
 
 Equal vectors are indexed once, with the smallest ids that any answer can need. The distinct vectors
-are dealt to shards of about ``SHARD`` vectors by a hash of the vector; a task builds the layers of
-one shard and returns them as byte arrays (bounded by the shard). The queries meet every shard in
-blocks; a search walks all queries of a block through the layers at once, and the shards' answers
-are merged by rank. Nearness is the inner product, which becomes a Euclidean distance by one more
-coordinate (the length that is missing to the longest vector of the shard).
+are dealt to shards by a hash of the vector; a task builds the layers of one shard and returns them as
+byte arrays. A shard has 4,096 to 65,536 vectors: as few as give every core a shard, more once there are
+more shards than cores (``SHARD``). The queries meet every shard in blocks of ``BLOCK``, so a graph is
+read once for each 16,384 queries; a search walks some hundred queries through the layers at once, and
+the shards' answers are merged by rank. Nearness is the inner product, which becomes a Euclidean distance by
+one more coordinate (the length that is missing to the longest vector of the shard).
 
 Vectors that are null, empty, zero, or hold a null or non-finite component take no part, neither do
-rows without an id; vectors are compared with those of their own length; no row with the query's own
-id is its candidate; repeated rows are one query; other columns are ignored.
+rows without an id; vectors are compared with those of their own length; rows that repeat id and vector are
+one; an id with several vectors is a query, and a candidate, with each of them; no row with the query's
+own id is its candidate; ties go to the smaller id; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +28,14 @@ from .textblocks import map_batches, table, written
 
 TOP = 20
 EVERY = 20
-#: Distinct vectors of a shard, about.
-SHARD = 4096
+#: Distinct vectors of a shard, about: at least, and at most.
+SHARD = 4096, 65536
 #: Neighbours of a node (twice as many in the lowest layer), and width of the search.
 LINKS, WIDTH, BUILD_WIDTH = 16, 96, 64
 #: One of so many vectors is also in the layer above.
 LAYER = 16
-BLOCK = 1024
+#: Queries that meet a shard together, and that walk through its layers at once.
+BLOCK, AT_ONCE = 16384, 512
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -191,30 +194,39 @@ def _build(batches: pd.DataFrame) -> pd.DataFrame:
 
 def _search(top: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for r in batch.to_pylist():
-            vectors = np.frombuffer(r["vectors"]).reshape(r["n"], -1)
-            most = [LINKS * 2] + [LINKS] * (len(r["layers"]) - 1)
-            g = Graph(vectors, [np.frombuffer(x, np.int32).reshape(-1, m) for x, m in zip(r["layers"], most, strict=True)])
-            at = np.concatenate([[0], np.cumsum(np.frombuffer(r["n_ids"], np.int32))])
-            ids = np.frombuffer(r["ids"], np.int64)
-            query_ids = np.array([x["vec_id"] for x in r["queries"]], np.int64)
-            queries = np.array([x["vector"] for x in r["queries"]], np.float64).reshape(len(query_ids), -1)
-            near = g.search(queries, top + 1)
-            out_q, out_v, out_s = [], [], []
-            for k, q in enumerate(query_ids.tolist()):
-                nodes = near[k][near[k] >= 0]
-                score = np.einsum("nd,d->n", vectors[nodes], queries[k])
-                found = [(-s, v) for x, s in zip(nodes.tolist(), score.tolist(), strict=True) for v in ids[at[x] : at[x + 1]].tolist() if v != q]
-                for s, v in sorted(found)[:top]:
-                    out_q.append(q)
-                    out_v.append(v)
-                    out_s.append(-s)
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], names=["query_id", "vec_id", "score"])
+        for row in range(batch.num_rows):
+            r = batch.slice(row, 1)
+            get = lambda c, r=r: r.column(c)[0]
+            vectors = np.frombuffer(get("vectors").as_buffer()).reshape(get("n").as_py(), -1)
+            layers = [x.as_buffer() for x in get("layers")]
+            most = [LINKS * 2] + [LINKS] * (len(layers) - 1)
+            g = Graph(vectors, [np.frombuffer(x, np.int32).reshape(-1, m) for x, m in zip(layers, most, strict=True)])
+            at = np.concatenate([[0], np.cumsum(np.frombuffer(get("n_ids").as_buffer(), np.int32))])
+            ids = np.frombuffer(get("ids").as_buffer(), np.int64)
+            asked = get("queries").values
+            query_ids = asked.field("vec_id").to_numpy()
+            queries = asked.field("vector").flatten().to_numpy().reshape(len(query_ids), -1)
+            numbers = asked.field("number").to_numpy()
+            for a in range(0, len(query_ids), AT_ONCE):
+                yield _answers(g, vectors, ids, at, query_ids[a : a + AT_ONCE], numbers[a : a + AT_ONCE], queries[a : a + AT_ONCE], top)
+
+
+def _answers(g: Graph, vectors: np.ndarray, ids: np.ndarray, at: np.ndarray, query_ids: np.ndarray, numbers: np.ndarray, queries: np.ndarray, top: int) -> pa.RecordBatch:
+    """The best of one shard; a node stands for all ids of its vector."""
+    near = g.search(queries, top + 1)
+    rows: list[tuple[int, int, int, float]] = []
+    for k, (q, number) in enumerate(zip(query_ids.tolist(), numbers.tolist(), strict=True)):
+        nodes = near[k][near[k] >= 0]
+        score = np.einsum("nd,d->n", vectors[nodes], queries[k])
+        found = [(-s, v) for x, s in zip(nodes.tolist(), score.tolist(), strict=True) for v in ids[at[x] : at[x + 1]].tolist() if v != q]
+        rows += [(q, number, v, -s) for s, v in sorted(found)[:top]]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "number", "vec_id", "score"])
 
 
 def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row whose id ``every`` divides."""
-    rows = usable(vectors)
+    rows = written(usable(vectors).dropDuplicates(["vec_id", "vector"]))
     # of equal vectors no answer holds more than the top + 1 smallest ids; counted in two steps, so a
     # vector that a third of all rows share is never gathered in one task
     salted = Window.partitionBy("vector", "salt").orderBy("vec_id")
@@ -222,17 +234,22 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
     few = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).withColumn("r", F.row_number().over(salted)).filter(f"r <= {top + 1}")
     few = few.withColumn("r", F.row_number().over(merged)).filter(f"r <= {top + 1}")
     points = written(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    shards = max(1, -(-points.count() // SHARD))
+    shards = shard_count(points.count(), vectors.sparkSession.sparkContext.defaultParallelism)
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("head", F.xxhash64("vector", F.lit(1))).withColumn("dim", F.size("vector"))
     graphs = written(dealt.groupBy("shard", "dim").applyInPandas(_build, "shard int, dim int, n int, vectors binary, layers array<binary>, ids binary, n_ids binary"))
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "vector"])
+    asked = rows.filter(F.col("vec_id") % every == 0).withColumn("number", F.xxhash64("vector"))
     block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, -(-asked.count() // BLOCK))))
-    blocks = asked.groupBy(block.alias("block"), F.size("vector").alias("dim")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+    blocks = asked.groupBy(block.alias("block"), F.size("vector").alias("dim")).agg(F.collect_list(F.struct("vec_id", "number", "vector")).alias("queries"))
     met = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(graphs, ["shard", "dim"])
-    found = map_batches(met.select("n", "vectors", "layers", "ids", "n_ids", "queries"), lambda it: _search(top, it), "query_id bigint, vec_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = map_batches(met.select("n", "vectors", "layers", "ids", "n_ids", "queries"), lambda it: _search(top, it), "query_id bigint, number bigint, vec_id bigint, score double")
+    best = Window.partitionBy("query_id", "number").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(f"rank <= {top}").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def shard_count(vectors: int, cores: int) -> int:
+    least, most = SHARD
+    return max(1, -(-vectors // most), min(-(-vectors // least), cores))
+
+
 def op6_nearest(spark, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
