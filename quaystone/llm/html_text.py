@@ -1,14 +1,17 @@
 """HTML extraction by minimum-cut labelling of a page's blocks.
 
-A page is read into blocks: the text between the borders of block-level elements. A linear
-classifier over a block's own features (words, share of linked text, closing punctuation, the kinds
-and names of the elements around it) gives a score; its size becomes the capacity between the block
-and the terminal "content" or "boilerplate". Neighbours in page order and blocks under one parent
-are joined by smoothness edges, heavier the closer they are in the document tree. A maximum flow
-separates the two sides, and the content side is the text.
+A page is read into blocks (the text between the borders of block-level elements) and the elements
+around them. A linear classifier over a block's own text (words, share of linked text, closing mark,
+heading) gives its cost; what an element's kind and names say is a cost of the element, counted for each
+block below it. Costs become capacities between a node and the terminal "content" or "boilerplate".
+Smoothness edges join every node to the element around it, strongly inside elements that have a cost
+of their own and weakly elsewhere, and neighbours in page order, heavier the closer they are in the
+document tree. A maximum flow separates the two sides, and the blocks on the content side are the
+text. So no block is judged by its ancestors' names alone: a comment of many words goes because its
+section's cost reaches it over edges that its own cost doesn't outweigh, a short line of an article stays.
 
 Null and empty pages give the empty text; pages of any length are read whole; repeated rows are
-treated alike; other columns are ignored.
+treated alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from .textblocks import map_batches, table
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|noscript|template|svg|iframe|textarea|select|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(script|style|template|iframe|textarea|title)\b(?:[^>\"'/]|/(?!>)|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>",
     re.I | re.S,
 )
@@ -32,10 +35,14 @@ NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 PART = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 # Kinds of elements and names that pages give to their parts.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " svg g text tspan textpath path rect circle ellipse line polyline polygon defs use image symbol stop lineargradient radialgradient clippath marker pattern mask desc"
+    " object math mrow mi mo mn ms mtext msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mfenced semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-BOILER_TAGS = frozenset("nav footer aside form button menu dialog head fieldset".split())
+BOILER_TAGS = frozenset("nav footer aside form button menu dialog head fieldset select".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form gdpr header login menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget widgets".split()
@@ -43,44 +50,57 @@ BOILER_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-#: Weights of the classifier: bias, a word (up to 60), linked share, closing mark, heading, element
-#: kinds and names around the block.
-BIAS, WORD, LINKED, MARK, HEADING, IN_CONTENT, IN_BOILER, BOILER_NAME, CONTENT_NAME = -0.6, 0.03, -3.0, 0.4, 0.4, 2.5, -7.0, -4.5, 0.8
-#: Smoothness between neighbours of one parent, and of others, divided by their tree distance.
-SAME, OTHER = 0.6, 0.8
+#: Cost of a block: bias, a word (up to 60), linked share, closing mark, heading.
+BIAS, WORD, LINKED, MARK, HEADING = -0.6, 0.03, -3.0, 0.4, 0.4
+#: Cost of an element for each block below it: its kind, its names.
+IN_CONTENT, IN_BOILER, BOILER_NAME, CONTENT_NAME = 2.0, -6.0, -5.0, 0.8
+#: Edge to the element around, for each block below the inner node: inside an element with a cost, and elsewhere.
+INSIDE, LOOSE = 2.5, 0.3
+#: Edge between neighbours of one parent, and of others, divided by their tree distance.
+SAME, OTHER = 0.6, 0.4
+_EPS = 1e-12
 
 
 class Block:
     __slots__ = ("text", "words", "linked", "kind", "place", "score")
 
-    def __init__(self, text: str, linked: int, kind: str, place: tuple[int, ...], around: float):
+    def __init__(self, text: str, linked: int, kind: str, place: tuple[int, ...]):
         self.text = text
         self.words = text.count(" ") + 1
         self.linked = min(1.0, linked / len(text))
         self.kind, self.place = kind, place
-        self.score = BIAS + WORD * min(self.words, 60) + LINKED * self.linked + MARK * (text[-1] in ".!?:;\"'”»…)") + HEADING * (kind in HEADINGS) + around
+        self.score = BIAS + WORD * min(self.words, 60) + LINKED * self.linked + MARK * (text[-1] in ".!?:;\"'”»…)") + HEADING * (kind in HEADINGS)
 
 
-def weight(tag: str, attributes: str, inside_content: bool) -> float:
-    """What an element says about the blocks below it."""
+def weight(tag: str, attributes: str, around: int) -> float:
+    """What an element says about the blocks below it; around: 1 inside content, -1 inside boilerplate, else 0."""
     w = 0.0
-    if tag in BOILER_TAGS or tag == "header" and not inside_content:
+    if tag in BOILER_TAGS or tag == "header" and around <= 0:
         w += IN_BOILER
-    elif tag in CONTENT_TAGS and not inside_content:
+    elif tag in CONTENT_TAGS and around == 0:
         w += IN_CONTENT
     if attributes and tag not in ("html", "body"):
         parts = {p for m in NAMES.finditer(attributes) for p in PART.findall((m[1] or m[2] or m[3] or "").lower())}
         if parts & BOILER_NAMES and not (tag in CONTENT_TAGS and not parts & {"comment", "comments", "related", "reply"}):
             w += BOILER_NAME
-        elif parts & CONTENT_NAMES:
+        elif parts & CONTENT_NAMES and around >= 0:
             w += CONTENT_NAME
     return w
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order; scripts, styles and the head have none."""
-    out: list[Block] = []
-    stack: list[list] = [["", 0.0, 0, False]]  # tag, weight so far, number, inside content
+class Page:
+    """Blocks in page order, and the elements around them: their costs and their parents by number (0: the page)."""
+
+    def __init__(self):
+        self.blocks: list[Block] = []
+        self.costs: dict[int, float] = {}
+        self.parent: dict[int, int] = {}
+
+
+def read(page: str) -> Page:
+    """The page's blocks and elements; scripts and styles have none."""
+    out = Page()
+    stack: list[list] = [["", 0, 0]]  # tag, number, what it stands in
     place: list[int] = [0]
     text: list[str] = []
     linked, links, number, at = 0, 0, 0, 0
@@ -91,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
             whole = SPACES.sub(" ", html.unescape("".join(text))).strip()
             if whole:
                 top = next((x for x in reversed(stack) if x[0] not in INLINE), stack[0])
-                out.append(Block(whole, linked, top[0], tuple(place), top[1]))
+                out.blocks.append(Block(whole, linked, top[0], tuple(place)))
             text.clear()
         linked = 0
 
@@ -113,7 +133,7 @@ def blocks_of(page: str) -> list[Block]:
                 for x in stack[depth:]:
                     links -= x[0] == "a"
                 del stack[depth:]
-                place = place[: 1 + sum(x[0] not in INLINE for x in stack[1:])]
+                del place[1 + sum(x[0] not in INLINE for x in stack[1:]) :]
             continue
         if tag == "br":
             text.append(" ")
@@ -132,17 +152,19 @@ def blocks_of(page: str) -> list[Block]:
                 for x in stack[k:]:
                     links -= x[0] == "a"
                 del stack[k:]
-                place = place[: 1 + sum(x[0] not in INLINE for x in stack[1:])]
-        if tag in VOID:
+                del place[1 + sum(x[0] not in INLINE for x in stack[1:]) :]
+        attributes = m[4] or m[7] or ""
+        if tag in VOID or attributes.endswith("/") and tag in INLINE:
             continue
         number += 1
         top = stack[-1]
         if tag in INLINE:
-            stack.append([tag, top[1], number, top[3]])
+            stack.append([tag, top[1], top[2]])
             links += tag == "a"
         else:
-            w = weight(tag, m[4] or m[7] or "", top[3])
-            stack.append([tag, top[1] + w, number, top[3] or w > 0])
+            w = weight(tag, attributes, top[2])
+            out.costs[number], out.parent[number] = w, place[-1]
+            stack.append([tag, number, -1 if w < 0 else 1 if w > 0 else top[2]])
             place.append(number)
     if at < len(page):
         text.append(page[at:])
@@ -160,64 +182,94 @@ def apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     return len(a) + len(b) - 2 * k
 
 
-def edges_of(blocks: list[Block]) -> list[dict[int, float]]:
-    """Smoothness capacities, both ways: page neighbours, and the next block under the same parent."""
-    near: list[dict[int, float]] = [{} for _ in blocks]
-    latest: dict[tuple[int, ...], int] = {}
+def graph_of(page: Page) -> tuple[list[float], list[dict[int, float]]]:
+    """Costs of all nodes (blocks, then elements that hold some) and smoothness capacities, both ways."""
+    blocks = page.blocks
+    below: dict[int, int] = {}
+    for b in blocks:
+        for x in b.place[1:]:
+            below[x] = below.get(x, 0) + 1
+    node = {x: len(blocks) + k for k, x in enumerate(sorted(below))}
+    score = [b.score for b in blocks] + [page.costs[x] * below[x] for x in sorted(below)]
+    near: list[dict[int, float]] = [{} for _ in score]
+
+    def join(i: int, j: int, c: float) -> None:
+        near[i][j] = near[i].get(j, 0.0) + c
+        near[j][i] = near[j].get(i, 0.0) + c
+
+    strong: dict[int, bool] = {0: False}
+    for x in sorted(below):  # an element's number is larger than its parent's
+        strong[x] = strong[page.parent[x]] or page.costs[x] != 0
+        if page.parent[x]:
+            join(node[x], node[page.parent[x]], below[x] * (INSIDE if strong[page.parent[x]] else LOOSE))
     for i, b in enumerate(blocks):
-        parent = b.place[:-1]
-        joined = [(i - 1, (SAME if blocks[i - 1].place[:-1] == parent else OTHER) / max(1, apart(blocks[i - 1].place, b.place) - 1))] if i else []
-        j = latest.get(parent)
-        if j is not None and j != i - 1:
-            joined.append((j, SAME / 2))
-        for j, c in joined:
-            near[i][j] = near[i].get(j, 0.0) + c
-            near[j][i] = near[j].get(i, 0.0) + c
-        latest[parent] = i
-    return near
+        x = b.place[-1]
+        if x:
+            join(i, node[x], INSIDE if strong[x] else LOOSE)
+        if i:
+            before = blocks[i - 1].place
+            join(i - 1, i, (SAME if before[:-1] == b.place[:-1] else OTHER) / max(1, apart(before, b.place) - 1))
+    return score, near
 
 
 def content_side(score: list[float], near: list[dict[int, float]]) -> list[bool]:
-    """Minimum cut by augmenting along shortest paths: which blocks stay with the content terminal.
+    """Minimum cut by blocking flows over shortest ways: which nodes stay with the content terminal.
 
-    near: residual capacities, changed in place. A search that fails closes all it reached: nothing
-    there can reach the other terminal any more, so every block is closed at most once.
+    near: residual capacities, changed in place. Every round goes over each edge a few times at most, and the
+    ways get longer from round to round.
     """
+    n = len(score)
     supply = [max(s, 0.0) for s in score]
     demand = [max(-s, 0.0) for s in score]
-    closed = [False] * len(score)
-    for s in range(len(score)):
-        while supply[s] > 1e-12 and not closed[s]:
-            before, queue, goal = {s: s}, deque([s]), -1
-            while queue and goal < 0:
-                x = queue.popleft()
-                for y, c in near[x].items():
-                    if c > 1e-12 and y not in before and not closed[y]:
-                        before[y] = x
-                        if demand[y] > 1e-12:
-                            goal = y
+    others = [list(x) for x in near]
+    while True:
+        level = [0 if s > _EPS else -1 for s in supply]
+        queue = deque(x for x in range(n) if level[x] == 0)
+        found = False
+        while queue:
+            x = queue.popleft()
+            found = found or demand[x] > _EPS
+            for y in others[x]:
+                if level[y] < 0 and near[x][y] > _EPS:
+                    level[y] = level[x] + 1
+                    queue.append(y)
+        if not found:
+            return [k >= 0 for k in level]
+        next_ = [0] * n
+        for s in range(n):
+            while supply[s] > _EPS:
+                way = [s]
+                while way and demand[way[-1]] <= _EPS:
+                    x = way[-1]
+                    while next_[x] < len(others[x]):
+                        y = others[x][next_[x]]
+                        if level[y] == level[x] + 1 and near[x][y] > _EPS:
+                            way.append(y)
                             break
-                        queue.append(y)
-            if goal < 0:
-                for x in before:
-                    closed[x] = True
-                break
-            way = [goal]
-            while way[-1] != s:
-                way.append(before[way[-1]])
-            flow = min(supply[s], demand[goal], *(near[b][a] for a, b in zip(way, way[1:], strict=False)))
-            supply[s] -= flow
-            demand[goal] -= flow
-            for a, b in zip(way, way[1:], strict=False):
-                near[b][a] -= flow
-                near[a][b] += flow
-    return closed
-
-
-def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    kept = content_side([b.score for b in blocks], edges_of(blocks))
-    return "\n\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
+                        next_[x] += 1
+                    else:
+                        way.pop()
+                        if way:
+                            next_[way[-1]] += 1
+                if not way:
+                    break
+                goal, steps = way[-1], list(zip(way, way[1:], strict=False))
+                flow = min(supply[s], demand[goal], *(near[a][b] for a, b in steps))
+                supply[s] -= flow
+                demand[goal] -= flow
+                for a, b in steps:
+                    near[a][b] -= flow
+                    near[b][a] += flow
+
+
+def labels(page: Page) -> list[bool]:
+    """For each block whether it is content."""
+    return content_side(*graph_of(page))[: len(page.blocks)]
+
+
+def main_text(html_: str | None) -> str:
+    page = read(html_ or "")
+    return "\n\n".join(b.text for b, k in zip(page.blocks, labels(page), strict=True) if k)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
