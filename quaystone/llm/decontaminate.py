@@ -6,16 +6,18 @@ rest gets a suffix order, its Burrows-Wheeler transform, a wavelet matrix with r
 suffix positions. All windows of the benchmark search backwards at once; occurrences are located
 through the samples and merged into removal spans.
 
-A benchmark above ``MAX_BENCHMARK_BYTES`` is worked off in parts of that size, one map after the
-other, so what is broadcast stays bounded.
-
-Null and empty texts have no words; repeated rows are treated alike; benchmark items without words
-have no window; equal windows of several items count for each; other columns are ignored.
+What is broadcast is bounded: items of more than ITEM_WORDS words are cut into pieces that share WINDOW - 1 words (so
+no window is lost), and a benchmark above ``MAX_BENCHMARK_BYTES`` is worked off in parts of that size, one
+map after the other, of about 21 bytes a window (some 10 MB).
+
+Null and empty texts have no words; texts of any length are read whole (a longer one than a shard is a
+shard); repeated rows are treated alike; benchmark items without words have no window; equal windows of several
+items count for each; windows of items without an id hit words but name no item; an empty benchmark hits
+nothing; empty documents give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textblocks import FOLD, blocks, member_table, span_hashes, table, text_bytes, word_bounds
+from .textblocks import FOLD, blocks, member_table, span_hashes, table, text_bytes, word_bounds, written
 
 WINDOW = 10
 SAMPLE_RATE = 8
-MAX_BENCHMARK_BYTES = 8 << 20
+MAX_BENCHMARK_BYTES = 3 << 20
+ITEM_WORDS = 20_000
+#: Parts whose maps follow each other in one job.
+PARTS_AT_ONCE = 4
 SHARD_BYTES = 4 << 20
 #: Word bytes once A-Z are lower-cased: digits, a-z and everything outside ASCII.
 WORD = member_table(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
@@ -36,32 +41,50 @@ SCHEMA = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<start:
 
 
 class Phrases:
-    """The benchmark's windows as rows of vocabulary numbers (from 1), padded with 0 at the left."""
+    """The benchmark's distinct windows over a vocabulary of word numbers (from 1)."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         data, offs = text_bytes(pa.array([t for _, t in items], pa.string()))
         data = FOLD[data]
         s, e, n = word_bounds(data, offs, WORD)
-        h = span_hashes(data, s, e)
-        self.vocabulary, ids = np.unique(h, return_inverse=True)
-        ids = ids + 1
+        self.vocabulary, ids = np.unique(span_hashes(data, s, e), return_inverse=True)
+        self.text = (ids + 1).astype(np.int32)
         at = np.concatenate([[0], np.cumsum(n)])
-        owners: dict[tuple, set[int]] = defaultdict(set)
-        for k, (item, _) in enumerate(items):
-            words = ids[at[k] : at[k + 1]].tolist()
-            for i in range(max(len(words) - WINDOW, 0) + 1 if words else 0):
-                owners[tuple(words[i : i + WINDOW])].add(item)
-        windows = sorted(owners)
-        self.items = [sorted(owners[w]) for w in windows]
-        self.length = np.array([len(w) for w in windows], np.int64)
-        self.words = np.zeros((len(windows), WINDOW), np.int64)
-        for k, w in enumerate(windows):
-            self.words[k, WINDOW - len(w) :] = w
+        windows = np.where(n > 0, np.maximum(n - WINDOW, 0) + 1, 0)
+        owner = np.repeat(np.arange(len(items)), windows)
+        first = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + at[owner]
+        length = np.minimum(n, WINDOW)[owner]
+        rows = self._rows(first, length)
+        _, one, same = np.unique(rows.view(f"V{rows.itemsize * WINDOW}").ravel(), return_index=True, return_inverse=True)
+        self.first, self.length = first[one].astype(np.int32), length[one].astype(np.int64)
+        # the ids of the items that have a window, one after the other
+        known = np.array([i is not None for i, _ in items], bool)[owner]
+        item = np.array([i or 0 for i, _ in items], np.int64)[owner]
+        pairs = np.unique(np.stack([same[known], item[known]], 1), axis=0) if len(owner) else np.zeros((0, 2), np.int64)
+        self.item, self.item_at = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(one) + 1)).astype(np.int32)
         #: Words of windows below full length: a stretch that holds one of them may be short.
         self.short = np.zeros(len(self.vocabulary) + 1, bool)
-        for w in windows:
-            if len(w) < WINDOW:
-                self.short[list(w)] = True
+        self.short[self._rows(self.first, self.length)[self.length < WINDOW]] = True
+        self.short[0] = False
+        self._words = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_words": None}
+
+    def _rows(self, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Windows as rows of word numbers, padded with 0 at the left."""
+        k = np.arange(WINDOW) - WINDOW
+        place = first[:, None] + length[:, None] + k
+        return np.where(k >= -length[:, None], self.text[np.maximum(place, 0)], 0).astype(np.int32) if len(self.text) else np.zeros((len(first), WINDOW), np.int32)
+
+    @property
+    def words(self) -> np.ndarray:
+        if self._words is None:
+            self._words = self._rows(self.first, self.length)
+        return self._words
+
+    def items(self, window: int) -> list[int]:
+        return self.item[self.item_at[window] : self.item_at[window + 1]].tolist()
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -83,7 +106,8 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for i in range(step):
         key <<= bits
-        key[: n - i] |= np.where(left[: n - i] >= i, t[i:], 0)
+        if i < n:
+            key[: n - i] |= np.where(left[: n - i] >= i, t[i:], 0)
     while True:
         order = np.argsort(key, kind="stable")
         if step > left.max():
@@ -91,7 +115,8 @@ def suffix_order(t: np.ndarray) -> np.ndarray:
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
         after = np.zeros(n, np.int64)
-        after[: n - step] = np.where(left[: n - step] >= step, new[step:] + 1, 0)
+        if step < n:
+            after[: n - step] = np.where(left[: n - step] >= step, new[step:] + 1, 0)
         key = new * (n + 2) + after
         step *= 2
 
@@ -220,7 +245,7 @@ def _search(phrases: Phrases, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
                 spans[d][-1] = (spans[d][-1][0], max(b, spans[d][-1][1]))
             else:
                 spans[d].append((a, b))
-            items[d].update(phrases.items[k])
+            items[d].update(phrases.items(k))
         if "spans" in part.schema.names:  # what earlier parts of the benchmark found
             for d, (old, had) in enumerate(zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)):
                 spans[d] = merged(spans[d] + [(x["start"], x["end"]) for x in old])
@@ -246,6 +271,21 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Items of more than ``most`` words as several rows that have all their windows."""
+    for part, data, offs in blocks(batches, "text"):
+        s, e, n = word_bounds(FOLD[data], offs, WORD)
+        begin, rows = np.concatenate([[0], np.cumsum(n)]), []
+        for i, (item, text) in enumerate(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)):
+            if n[i] <= most:
+                rows.append((item, text))
+            else:
+                for a in range(int(begin[i]), int(begin[i + 1]) - WINDOW + 1, most - WINDOW + 1):
+                    b = min(a + most, int(begin[i + 1]))
+                    rows.append((item, data[s[a] : e[b - 1]].tobytes().decode("utf-8", "replace")))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], names=["item_id", "text"])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_BENCHMARK_BYTES, keep: Column | None = None, cut: bool = False) -> DataFrame:
     """doc_id, n_words, n_hit, spans (in words, merged, end exclusive), items of every document, with its text.
 
@@ -254,15 +294,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = M
     No shuffle of documents: one map over the scan for each ``max_bytes`` of benchmark text.
     """
     sc = docs.sparkSession.sparkContext
-    items = benchmark.select("item_id", "text").dropna()
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("text is not null")
+    items = items.mapInArrow(lambda it, most=ITEM_WORDS: _pieces(most, it), "item_id bigint, text string")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-total // max_bytes))
     out = docs.select("doc_id", "text") if keep is None else docs.select("doc_id", "text", keep.alias("kept"))
     more = out.schema.fields[1:]
     for p in range(parts):
         of = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
-        sent = sc.broadcast(Phrases([(r["item_id"], r["text"]) for r in of.collect()]))
+        sent = sc.broadcast(Phrases([(r["item_id"], r["text"]) for r in of.collect()]))  # about max_bytes of text
         end = cut and p == parts - 1
+        if p and p % PARTS_AT_ONCE == 0:
+            out = written(out)
         out = out.mapInArrow(lambda it, sent=sent, end=end: _without(_search(sent.value, it)) if end else _search(sent.value, it), StructType([*StructType.fromDDL(SCHEMA).fields, *more]))
     return out
 
@@ -289,7 +332,9 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the words that benchmark windows cover; ``n_chars`` follows the text.
 
-    Documents without a hit stay as they are; so do null texts.
+    What is hit is judged on the given text: words that come together where others were taken out are not
+    looked at again. What stands between two hit words of one span goes with them. Documents without a hit stay as
+    they are; so do null texts.
     """
     others = [c for c in docs.columns if c != "text"]
     found = find_contamination(docs, benchmark, keep=F.struct(*others), cut=True)
