@@ -1,7 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star rounds.
 
 Each round is two aggregations and joins on the node; no adjacency list is ever gathered, and a
-node with very many neighbours is a skewed join that adaptive execution splits.
+node with very many neighbours is a skewed join that adaptive execution splits. A round is a Parquet table
+in the shared folder, which goes when the next one is there.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblocks import checkpointed
+from .textblocks import forget, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -36,11 +37,11 @@ def connected(links: DataFrame) -> DataFrame:
 
     links: u, v of one type. Loops and repeated links don't matter; no links give no rows.
     """
-    e = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
-    e = checkpointed(e)
+    e = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
     state = _state(e)
     while state[0]:
-        e = checkpointed(_small_star(_large_star(e)))
+        before, e = e, written(_small_star(_large_star(e)))
+        forget(before)  # every round but the last leaves nothing behind
         now = _state(e)
         if now == state:
             break

@@ -12,7 +12,8 @@ what survives is verified by its own Hamming distance. Nothing is capped: a buck
 worked off, and it gives one row for each member, not for each pair.
 
 Null and empty texts have fingerprint zero and link like any other; a null doc_id keeps its row but
-gives no component number; repeated rows and ids share a component; other columns are ignored.
+gives no component number; repeated rows and ids share a component; texts of any length are read whole; an empty
+table gives no rows; other columns are ignored.
 
 ``keep_one`` drops near copies by their shingle sets (see jaccard): fingerprints of texts with a
 similarity of 0.8 lie 5 to 11 bits apart in the small tables, and no radius is sure to find all of them.
@@ -74,13 +75,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(row_key(docs), _fingerprints, "doc_id bigint, text_hash bigint, fp bigint")
 
 
-def _within(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i < j, of one key whose fingerprints differ in at most ``radius`` bits.
+#: Pairs that are held before they are reduced to one for each row.
+PAIRS = 1 << 18
 
-    Rows are sorted by key and, inside it, by distance to the first pivot.
+
+def _within(fp: np.ndarray, key: np.ndarray, radius: int, said: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j), i < j, of one key whose fingerprints differ in at most ``radius`` bits, some at a time.
+
+    Rows are sorted by key and, inside it, by distance to the first pivot. said: gets how many pairs met, and how many
+    of them the pivots let through.
     """
     coordinate = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    left, right = [], []
     live, step, n = np.arange(len(fp)), 1, len(fp)
     while len(live):
         live = live[live + step < n]
@@ -93,26 +98,40 @@ def _within(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, n
                 break
             ok = np.abs(coordinate[a, k] - coordinate[b, k]) <= radius
             a, b = a[ok], b[ok]
+        if said is not None:
+            said[0] += len(live)
+            said[1] += len(a)
         ok = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        left.append(a[ok])
-        right.append(b[ok])
+        if ok.any():
+            yield a[ok], b[ok]
         step += 1
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def _stars(fp: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each linked row with the first row of its component among the pairs: as many rows as members at most."""
-    label = np.arange(len(fp))
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    member = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[member], fp[label[member]]
+def _stars(count: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The first row of each row's component among the pairs; no more than PAIRS and one a row are held."""
+    label, held, size = np.arange(count), [], 0
+
+    def reduce() -> None:
+        a, b = (np.concatenate(x) for x in zip(*held, (np.arange(count), label), strict=True))
+        while True:
+            low = np.minimum(label[a], label[b])
+            before = label.copy()
+            np.minimum.at(label, a, low)
+            np.minimum.at(label, b, low)
+            label[:] = label[label]
+            if (label == before).all():
+                break
+        held.clear()
+
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size > PAIRS:
+            reduce()
+            size = 0
+    if held:
+        reduce()
+    return label
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +139,9 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple[np.ndarray, np.ndarray] | None = None
 
     def solve(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a, b = _within(fp, key, RADIUS)
-        x, y = _stars(fp, a, b) if len(a) else (fp[:0], fp[:0])
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["u", "v"])
+        first = _stars(len(fp), _within(fp, key, RADIUS))
+        member = np.flatnonzero(first != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[member].view(np.int64)), pa.array(fp[first[member]].view(np.int64))], names=["u", "v"])
 
     for batch in batches:
         key = batch.column("bucket").to_numpy(zero_copy_only=False)

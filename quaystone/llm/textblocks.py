@@ -7,6 +7,7 @@ in blocks of a few MB, so its memory does not grow with the partition.
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -28,26 +29,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) one of our own is set."""
+    """The folder in spark.checkpoint.dir. Where that is unset a temporary one serves on a local master (tests); on a cluster it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if root is None:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            import tempfile
+
+            root = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(root)
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` cut from its lineage by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage as a Parquet table in the shared folder: compact, and columns can be left unread."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+_paths: dict[int, str] = {}
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a table that ``written`` made and nothing reads any more; other frames are left alone."""
+    if path := _paths.pop(id(df), None):
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
