@@ -13,8 +13,10 @@ A text up to ``CHUNK`` characters is encoded where it lies: no piece goes over a
 visible character and a following space, so it falls into units that a worker remembers. A longer
 text is cut into chunks. A border may be crossed by a piece, so the state at a border is how many
 characters of the next chunk the crossing piece took; each chunk yields a matrix of the best sums
-from every state at its left to every state at its right. These combine by the max-plus product
-(associative); the states of the best path follow, and every chunk is traced back on its own.
+from every state at its left to every state at its right. These combine by the max-plus product, which is
+associative: ``SPAN`` neighbours give one matrix, spans of spans one each, up to the document; on the
+way back a span's border states give those inside it, and every chunk is traced back on its own. So no task
+holds more than SPAN matrices of a document, however long that is.
 
 Null and empty texts have no pieces and decode to the empty text; repeated rows are encoded alike;
 pieces are spelt with plain spaces inside the method, so U+2581 in a text is an ordinary character
@@ -33,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from .textblocks import blocks, map_batches, table
+from .textblocks import blocks, map_batches, table, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 1 << 16
+#: Neighbouring matrices that are combined into one.
+SPAN = 64
 #: Units that a worker remembers before it starts anew.
 REMEMBERED = 120_000
 #: Longer units are solved when they come, and not remembered.
@@ -302,13 +306,20 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
 
 
-def states(matrices: list[np.ndarray]) -> list[int]:
-    """Border states of the best path, the first and the last being 0."""
+def combined(matrices: list[np.ndarray]) -> np.ndarray:
+    """The product of neighbouring matrices, pair by pair."""
+    while len(matrices) > 1:
+        matrices = [product(*matrices[i : i + 2]) if i + 1 < len(matrices) else matrices[i] for i in range(0, len(matrices), 2)]
+    return matrices[0]
+
+
+def states(matrices: list[np.ndarray], left: int = 0, right: int = 0) -> list[int]:
+    """Border states of the best path between two known ones."""
     size = len(matrices[0])
-    forward = [np.where(np.arange(size) == 0, 0.0, LOW)[None, :]]
+    forward = [np.where(np.arange(size) == left, 0.0, LOW)[None, :]]
     for m in matrices:
         forward.append(product(forward[-1], m))
-    out = [0]
+    out = [right]
     for f, m in zip(forward[-2::-1], matrices[::-1], strict=True):
         out.append(int(np.argmax(f[0] + m[:, out[-1]])))
     return out[::-1]
@@ -435,14 +446,48 @@ def _matrices(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "text_hash", "chunk")] + [pa.array(m, pa.binary())], names=["doc_id", "text_hash", "chunk", "matrix"])
 
 
-def _border_states(rows: pd.DataFrame) -> pd.DataFrame:
+def _square(raw: bytes) -> np.ndarray:
+    size = int(round((len(raw) // 8) ** 0.5))
+    return np.frombuffer(raw, np.float64).reshape(size, size)
+
+
+def _span(rows: pd.DataFrame) -> pd.DataFrame:
+    """SPAN neighbours' matrices as one."""
     rows = rows.sort_values("chunk")
-    size = int(round((len(rows["matrix"].iloc[0]) // 8) ** 0.5))
-    ms = [np.frombuffer(m, np.float64).reshape(size, size) for m in rows["matrix"]]
-    s = states(ms)
+    whole = combined([_square(m) for m in rows["matrix"]])
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "text_hash": rows["text_hash"].iloc[:1], "chunk": rows["chunk"].iloc[:1] // SPAN, "matrix": [whole.tobytes()]})
+
+
+def _inside(rows: pd.DataFrame) -> pd.DataFrame:
+    """The border states inside a span, from those at its ends, which every row holds."""
+    rows = rows.sort_values("chunk")
+    ms = [_square(m) for m in rows["matrix"]]
+    s = states(ms, int(rows["s_left"].iloc[0]), int(rows["s_right"].iloc[0]))
     return pd.DataFrame({"doc_id": rows["doc_id"], "text_hash": rows["text_hash"], "chunk": rows["chunk"], "left": s[:-1], "right": s[1:], "sum": [m[a, b] for m, a, b in zip(ms, s[:-1], s[1:], strict=True)]})
 
 
+def border_states(matrices: DataFrame) -> DataFrame:
+    """doc_id, text_hash, chunk, left, right, sum of every chunk, from doc_id, text_hash, chunk, matrix."""
+    key = ["doc_id", "text_hash"]
+    levels = [written(matrices)]
+    top = levels[0].agg(F.max("chunk")).first()[0] or 0
+    while top:
+        spans = levels[-1].withColumn("span", F.floor(F.col("chunk") / SPAN).cast("int")).groupBy(*key, "span").applyInPandas(_span, levels[0].schema)
+        levels.append(written(spans))
+        top //= SPAN
+    found = levels[-1].select(*key, F.col("chunk").alias("span"), F.lit(0).alias("s_left"), F.lit(0).alias("s_right"))
+    if len(levels) == 1:  # every document is one chunk
+        levels.append(levels[0])
+        found = found.withColumn("span", F.floor(F.col("span") / SPAN).cast("int"))
+    for level in levels[-2::-1]:
+        there = level.withColumn("span", F.floor(F.col("chunk") / SPAN).cast("int"))
+        mine = [there[k].eqNullSafe(found[k]) for k in (*key, "span")]
+        both = there.join(found, mine).select(*(there[c] for c in there.columns), "s_left", "s_right")
+        inside = written(both.groupBy(*key, "span").applyInPandas(_inside, "doc_id bigint, text_hash bigint, chunk int, left int, right int, sum double"))
+        found = inside.select(*key, F.col("chunk").alias("span"), F.col("left").alias("s_left"), F.col("right").alias("s_right"))
+    return inside
+
+
 def _traced(pieces: Pieces, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [pieces.trace(t, n, a, b) for t, n, a, b in zip(*(batch.column(c).to_pylist() for c in ("part", "length", "left", "right")), strict=True)]
@@ -475,7 +520,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, with_text: b
         traced = map_batches(parts, lambda it: _merged(sent.value, it), traced_schema)
     else:
         ms = map_batches(parts, lambda it: _matrices(sent.value, it), "doc_id bigint, text_hash bigint, chunk int, matrix binary")
-        borders = ms.groupBy(*key).applyInPandas(_border_states, "doc_id bigint, text_hash bigint, chunk int, left int, right int, sum double")
+        borders = border_states(ms)
         at = [parts[k].eqNullSafe(borders[k]) for k in (*key, "chunk")]
         both = parts.join(borders, at).select(*(parts[k] for k in (*key, "chunk", "length", "part")), "left", "right", "sum")
         traced = map_batches(both, lambda it: _traced(sent.value, it), traced_schema)
