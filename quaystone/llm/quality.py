@@ -5,8 +5,12 @@ other visible characters form words of their own; a word that comes again at onc
 in a slot that all such words share); its score is a sparse dot product with the
 weights. Scores read the text alone. An empty or null text has no n-grams and gets the bias.
 
-The fit takes at most about ``sample_docs`` labelled rows, chosen by a hash of doc_id (documented
+The fit takes at most about ``sample_docs`` labelled ids, chosen by a hash of doc_id (documented
 bound), in one task; the weights have a fixed size (2**BITS) and are broadcast for scoring.
+
+Repeated rows are scored each; of several texts for one labelled id the one of the smallest hash is fitted, of
+several labels the commoner (1 if even); rows and labels without an id are not fitted; texts of any length are
+read whole; an empty table gives no rows, and without labels every score is one half; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -123,6 +127,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
         return np.zeros(1 << BITS, np.float32), 0.0
     kept = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / total)))
     picked = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")  # about sample_docs rows of two numbers
+    once = picked.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # so the bound holds
+    picked = once.select("doc_id", "y", F.col("t.text").alias("text"))
     seen = map_batches(picked.select("doc_id", "y", "text"), _featurise, "doc_id bigint, y int, idx binary, cnt binary")
     # the shuffle keeps the featurising parallel; the bounded sample meets in one task
     row = seen.repartition(1).mapInArrow(_fit, "weights binary, bias double").first()
