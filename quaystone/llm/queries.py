@@ -26,5 +26,35 @@ QUERIES = {
     "op10_simhash": op10_simhash,
 }
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: DuckDB SQL of the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": f"""
+        with b as (select item_id, {_BENCH_WORDS} as w from benchmark),
+        bs as (select item_id, w, least(len(w), 10) as n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as i from b where len(w) > 0),
+        bw as (select distinct item_id, n, array_to_string(w[i:i + n - 1], ' ') as s from bs),
+        d as (select doc_id, {_BENCH_WORDS} as w from documents),
+        ds as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from bw) where len(w) >= n),
+        dw as (select doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') as s from ds),
+        occ as (select doc_id, i, n, item_id from dw join bw using (n, s)),
+        p as (select doc_id, unnest(range(i, i + n)) as place from (select distinct doc_id, i, n from occ)),
+        hit as (select doc_id, count(distinct place) as n_hit from p group by doc_id),
+        it as (select doc_id, list_sort(list(distinct item_id::varchar)) as items from occ where item_id is not null group by doc_id)
+        select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0)::bigint as n_items,
+        sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join hit using (doc_id) left join it using (doc_id)""",
+    "op8_word_dedup": f"""
+        with d as (select doc_id, {_WORDS} as w from documents),
+        x as (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d where len(w) >= 50),
+        win as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from x),
+        least_of as (select s, min(doc_id) as first_doc from win group by s),
+        hit as (select doc_id, i from win join least_of using (s) where first_doc < doc_id),
+        gone as (select distinct doc_id, unnest(range(i, i + 50)) as p from hit),
+        words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+        kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+        select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+        from d left join kept using (doc_id)""",
+}

@@ -5,12 +5,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 import xxhash
 
 from quaystone.llm import byte_dedup, decontaminate, jaccard, secrets, simhash, suffixes, superkmers, word_dedup
-from quaystone.llm.queries import QUERIES
+from quaystone.llm.queries import ORACLE_SQL, QUERIES
 
 from .data import frame, ordered, texts
 
@@ -67,6 +68,17 @@ def test_queries_on_the_whole_smallest_table(spark, small):
     assert ordered(QUERIES["op8_word_dedup"](spark, small).collect()) == ordered(brute_words(rows, 50))
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_against_sql(spark, small, name):
+    duck = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df, r = QUERIES[name](spark, small), duck.execute(ORACLE_SQL[name])
+    names = [x[0] for x in r.description]
+    assert sorted(names) == sorted(df.columns)
+    assert ordered(df.select(*names).collect()) == ordered(r.fetchall())
+
+
 def test_runs_do_not_hang_on_the_step(monkeypatch):
     units = np.random.default_rng(3).integers(0, 3, 700).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     offs = np.array([0, 300, 300, 310, 700])
@@ -84,17 +96,53 @@ def test_runs_do_not_hang_on_the_step(monkeypatch):
     assert anchors() == whole
 
 
-@pytest.mark.parametrize("limit", [200, 1 << 26])
-def test_suffix_order_finds_repeats(limit):
-    r = random.Random(limit)
-    for _ in range(60):
+def repeated(strings, k, limit):
+    space = suffixes.Space(limit)
+    held = suffixes.Strings(space)
+    for x in strings:
+        held.add(x)
+    return suffixes.repeated(held, k).tolist(), space
+
+
+def brute_repeated(strings, k):
+    c = Counter(s[i : i + k] for s in strings for i in range(len(s) - k + 1))
+    return [i + k <= len(s) and c[s[i : i + k]] > 1 for s in strings for i in range(len(s) + 1)]
+
+
+@pytest.mark.parametrize(("limit", "part", "ranges", "places"), [(200, 7, 4, 3), (5000, 1 << 20, 2, 1 << 14), (1 << 26, 1 << 20, 512, 1 << 14), (3000, 64, 8, 3)])
+def test_suffix_order_finds_repeats(monkeypatch, limit, part, ranges, places):
+    """Blocks, ranges of symbols and the recursion at several sizes give what counting gives."""
+    for name, value in (("PART", part), ("RANGES", ranges), ("RANGE_PLACES", places)):
+        monkeypatch.setattr(suffixes, name, value)
+    r, depth = random.Random(limit), 0
+    for i in range(60):
         alphabet = r.choice([b"ab", b"a", b"abcdefgh", bytes(range(200))])
         base = [bytes(r.choice(alphabet) for _ in range(40)) for _ in range(3)]
-        strings = [b"".join(b[r.randint(0, 30) :][: r.randint(1, 20)] for b in r.choices(base, k=r.randint(1, 4))) for _ in range(r.randint(1, 12))]
+        strings = [b"".join(b[r.randint(0, 30) :][: r.randint(1, 20)] for b in r.choices(base, k=r.randint(1, 4))) for _ in range(r.randint(1, 12))] + [b""] * (i % 3 == 0)
         k = r.choice([3, 7, 20])
-        c = Counter(s[i : i + k] for s in strings for i in range(len(s) - k + 1))
-        want = [i + k <= len(s) and c[s[i : i + k]] > 1 for s in strings for i in range(len(s) + 1)]
-        assert suffixes.repeated(strings, k, limit).tolist() == want
+        got, space = repeated(strings, k, limit)
+        assert got == brute_repeated(strings, k)
+        depth = max(depth, space.depth)
+    assert depth > 0
+
+
+def test_shards_above_the_memory_limit_use_files_and_recursion(spark, small):
+    """Ordinary texts in 64 KB of memory: queues and arrays go to files, the string of names is sorted by recursion."""
+    rows = [r["text"].encode() for r in spark.read.parquet(f"{small}/documents.parquet").select("text").limit(150).collect()]
+    strings = [t[:4000] for t in rows if t]
+    got, space = repeated(strings, 100, 64 << 10)
+    assert got == brute_repeated(strings, 100) and any(got)
+    size = sum(map(len, strings))
+    assert space.spilled > size and space.on_disk > size and space.depth >= 2
+    same, roomy = repeated(strings, 100, suffixes.LIMIT)
+    assert same == got and roomy.spilled == roomy.on_disk == 0 and roomy.depth == space.depth
+
+
+def test_suffixes_come_in_order():
+    r = random.Random(8)
+    text = [r.choice([1, 2, 2, 3, 300, 301]) for _ in range(400)] + [0]
+    got = np.concatenate([b[0] for b in suffixes.suffixes(np.array(text), 302, suffixes.Space(1000))]).tolist()
+    assert got == sorted(range(400), key=lambda i: text[i:], reverse=True)
 
 
 # --- SimHash
@@ -144,9 +192,21 @@ def test_pairs_at_every_distance():
             fp[i + 1] ^= np.uint64(1 << int(b))
     order = np.argsort(np.bitwise_count(fp ^ simhash.PIVOTS[0]), kind="stable")
     fp = fp[order]
-    a, b = simhash._within(fp, np.zeros(300, np.int64), 3)
+    said = [0, 0]
+    got = {x for a, b in simhash._within(fp, np.zeros(300, np.int64), 3, said) for x in zip(a.tolist(), b.tolist())}
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if int(fp[i] ^ fp[j]).bit_count() <= 3}
-    assert set(zip(a.tolist(), b.tolist())) == want
+    assert got == want and said[0] > 10 * said[1] > 0  # the pivots discard most of what meets
+
+
+def test_components_of_slices(monkeypatch):
+    monkeypatch.setattr(simhash, "PAIRS", 3)
+    r = random.Random(4)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(45)]
+    got = simhash._stars(60, (tuple(np.array(x) for x in zip(*pairs[i : i + 4])) for i in range(0, 45, 4)))
+    root = list(range(60))
+    for a, b in pairs:
+        root = [min(root[a], root[b]) if x in (root[a], root[b]) else x for x in root]
+    assert got.tolist() == root
 
 
 def test_one_of_each_group_stays(spark):
@@ -202,7 +262,7 @@ BENCH_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 def brute_hits(rows, items):
     win = {}
     for i, t in items:
-        w = BENCH_WORD.findall((t or "").translate(LOW)) if i is not None else []
+        w = BENCH_WORD.findall((t or "").translate(LOW))
         for k in range(max(len(w) - 10, 0) + 1 if w else 0):
             win.setdefault(tuple(w[k : k + 10]), set()).add(i)
     out = []
@@ -212,7 +272,7 @@ def brute_hits(rows, items):
             for k in range(len(w) - n + 1):
                 if (x := tuple(w[k : k + n])) in win:
                     hit.update(range(k, k + n))
-                    found |= win[x]
+                    found |= win[x] - {None}
         out.append((d, len(w), len(hit), tuple(sorted(found))))
     return out
 
@@ -222,6 +282,7 @@ def bench_case():
     word = lambda: r.choice(["Ab", "c1", "é", "dd", "e", "zz"])
     items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([12, 10, 30, 9, 2, 1, 0, 15])] + [(20, None), (21, "Ab, c1; ")]
     items.append((22, items[0][1]))
+    items += [(None, "zz q c1 zz q c1 zz q c1 zz q"), (None, "é! q")]
     rows = []
     for i in range(80):
         parts = [" ".join(word() for _ in range(r.randint(0, 12)))]
@@ -233,14 +294,23 @@ def bench_case():
     return rows + [(None, rows[0][1]), (99, None), (98, ""), rows[1]], items
 
 
-@pytest.mark.parametrize("most", [1 << 20, 60])
-def test_benchmark_hits(spark, most):
+@pytest.mark.parametrize(("most", "words"), [(1 << 20, 20_000), (60, 20_000), (40, 12)])
+def test_benchmark_hits(spark, monkeypatch, most, words):
+    monkeypatch.setattr(decontaminate, "ITEM_WORDS", words)
     rows, items = bench_case()
     bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, spans string")
     got = decontaminate.find_contamination(frame(spark, rows), bench, most)
     assert ordered((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()) == ordered(brute_hits(rows, items))
 
 
+def test_what_is_sent_is_small():
+    import pickle
+
+    r = random.Random(1)
+    text = " ".join(f"w{r.randint(0, 20_000)}" for _ in range(50_000))
+    assert len(pickle.dumps(decontaminate.Phrases([(i, text[i * 3000 : i * 3000 + 3000]) for i in range(90)]))) < 5 * len(text)
+
+
 def test_empty_benchmark(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.find_contamination(frame(spark, texts()), bench).filter("n_hit > 0").count() == 0
