@@ -455,7 +455,7 @@ def _span(rows: pd.DataFrame) -> pd.DataFrame:
     """SPAN neighbours' matrices as one."""
     rows = rows.sort_values("chunk")
     whole = combined([_square(m) for m in rows["matrix"]])
-    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "text_hash": rows["text_hash"].iloc[:1], "chunk": rows["chunk"].iloc[:1] // SPAN, "matrix": [whole.tobytes()]})
+    return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1], "text_hash": rows["text_hash"].iloc[:1], "chunk": rows["span"].iloc[:1], "matrix": [whole.tobytes()]})
 
 
 def _inside(rows: pd.DataFrame) -> pd.DataFrame:
