@@ -236,6 +236,7 @@ def nearest(vectors: DataFrame, every: int = EVERY, top: int = TOP) -> DataFrame
     points = written(few.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")))
     shards = shard_count(points.count(), vectors.sparkSession.sparkContext.defaultParallelism)
     dealt = points.withColumn("shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")).withColumn("head", F.xxhash64("vector", F.lit(1))).withColumn("dim", F.size("vector"))
+    dealt = dealt.repartitionById(shards, F.col("shard"))  # a task for each shard
     graphs = written(dealt.groupBy("shard", "dim").applyInPandas(_build, "shard int, dim int, n int, vectors binary, layers array<binary>, ids binary, n_ids binary"))
     asked = rows.filter(F.col("vec_id") % every == 0).withColumn("number", F.xxhash64("vector"))
     block = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(max(1, -(-asked.count() // BLOCK))))
