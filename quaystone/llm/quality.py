@@ -65,14 +65,14 @@ def linear(weights: np.ndarray, bias: float, index: np.ndarray, at: np.ndarray)
     return bias + SCALE * (total[at[1:]] - total[at[:-1]]) / np.maximum(n, 1)
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, l1: float = L1) -> tuple[np.ndarray, float]:
     """FTRL-proximal over (indices, values, label) in the given order; the bias has no penalty."""
-    size = 1 << BITS
+    size = 1 << bits
     z, n, w = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     for _ in range(EPOCHS):
         for idx, val, y in rows:
             zi, ni = z[idx], n[idx]
-            wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            wi = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             wb = -z[size] / ((BETA + np.sqrt(n[size])) / ALPHA)
             p = 1.0 / (1.0 + np.exp(-np.clip(wi @ val + wb, -35, 35)))
             g = (p - y) * val
@@ -83,7 +83,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, fl
             sb = (np.sqrt(n[size] + gb * gb) - np.sqrt(n[size])) / ALPHA
             z[size] += gb - sb * wb
             n[size] += gb * gb
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
     return w[:size].astype(np.float32), float(-z[size] / ((BETA + np.sqrt(n[size])) / ALPHA))
 
 
@@ -115,21 +115,31 @@ def held_out(fold: int = 4, rest: int = 2) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold == rest, F.lit(False))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
-    """Weights and bias from labelled rows that are not held out.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, sample_docs: int) -> DataFrame | None:
+    """doc_id, y and text of about ``sample_docs`` labelled ids that are not held out; None without any.
 
-    labels: doc_id, quality (null labels are left out; of several for a doc_id the larger mean side
-    wins). Without any labelled row the weights are zero and the bias is that of the label prior 1/2.
+    Null labels are left out; of several for a doc_id the larger mean side wins; of several texts the one of smallest hash.
     """
-    known = labels.select("doc_id", "quality").dropna().filter(~held_out()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    known = labels.select("doc_id", column).dropna().filter(~held_out()).groupBy("doc_id").agg((F.avg(column) >= 0.5).cast("int").alias("y"))
     total = known.count()
     if not total:
-        return np.zeros(1 << BITS, np.float32), 0.0
+        return None
     kept = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_docs / total)))
     picked = docs.select("doc_id", "text").join(F.broadcast(kept), "doc_id")  # about sample_docs rows of two numbers
     once = picked.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))  # so the bound holds
-    picked = once.select("doc_id", "y", F.col("t.text").alias("text"))
-    seen = map_batches(picked.select("doc_id", "y", "text"), _featurise, "doc_id bigint, y int, idx binary, cnt binary")
+    return once.select("doc_id", "y", F.col("t.text").alias("text"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[np.ndarray, float]:
+    """Weights and bias from labelled rows that are not held out.
+
+    labels: doc_id, quality (null labels are left out; of several for a doc_id the larger mean side
+    wins). Without any labelled row the weights are zero and the bias is that of the label prior 1/2.
+    """
+    picked = labelled(docs, labels, "quality", sample_docs)
+    if picked is None:
+        return np.zeros(1 << BITS, np.float32), 0.0
+    seen = map_batches(picked, _featurise, "doc_id bigint, y int, idx binary, cnt binary")
     # the shuffle keeps the featurising parallel; the bounded sample meets in one task
     row = seen.repartition(1).mapInArrow(_fit, "weights binary, bias double").first()
     return np.frombuffer(row["weights"], np.float32), row["bias"]

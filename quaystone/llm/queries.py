@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_dedup import op2_byte_dedup
+from .collocations import op12_collocations
 from .decontaminate import op5_decontaminate
 from .html_text import op7_html_text
 from .lm import op3_lm_score
@@ -10,6 +11,7 @@ from .quality import op1_quality
 from .secrets import op4_secret_scan
 from .sentencepiece import op9_sentencepiece
 from .simhash import op10_simhash
+from .toxicity import op11_toxicity
 from .vectors import op6_nearest
 from .word_dedup import op8_word_dedup
 
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_word_dedup": op8_word_dedup,
     "op9_sentencepiece": op9_sentencepiece,
     "op10_simhash": op10_simhash,
+    "op11_toxicity": op11_toxicity,
+    "op12_collocations": op12_collocations,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -57,4 +61,21 @@ ORACLE_SQL: dict[str, str] = {
         kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
         select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
         from d left join kept using (doc_id)""",
+    "op12_collocations": f"""
+        with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+        w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+        tot as (select lang, sum(len(w))::bigint as n from w group by lang having sum(len(w)) > 0),
+        g as (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from w, (select unnest(range(1, 5)) as k) where len(w) >= k),
+        f as (select lang, k, array_to_string(w[i:i + k - 1], ' ') as phrase, count(*) as f from g group by all having count(*) >= 30),
+        many as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
+        sub as (select lang, a, k, w, m, unnest(range(1, k - m + 2)) as i from many, (select unnest(range(2, 4)) as m) where m < k),
+        inside as (select lang, array_to_string(w[i:i + m - 1], ' ') as phrase, max(a) as longer from sub group by all),
+        kept as (select many.* from many left join inside using (lang, phrase) where longer is null or 100 * longer::hugeint < 80 * a::hugeint),
+        cuts as (select lang, phrase, k, a, w, unnest(range(1, k)) as c from kept),
+        scored as (select cuts.*, x.f as l, y.f as r, (2000000 * a::hugeint // (x.f::hugeint + y.f)) as score from cuts
+            join f x on x.lang = cuts.lang and x.phrase = array_to_string(w[1:c], ' ')
+            join f y on y.lang = cuts.lang and y.phrase = array_to_string(w[c + 1:cuts.k], ' ')),
+        worst as (select *, row_number() over (partition by lang, phrase order by score, c) as i from scored),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from worst where i = 1)
+        select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join tot using (lang) where rank <= 2000""",
 }
