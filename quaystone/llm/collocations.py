@@ -120,6 +120,7 @@ def unpacked(n: int, values: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarr
 
 def _send(bits: int) -> Callable:
     """Phrase hashes of a task by language, shard and range (the first ``bits`` bits), counted within chunks."""
+    chunk = CHUNK
 
     def emit(held: dict[tuple, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for (lang, shard), arrays in held.items():
@@ -144,7 +145,7 @@ def _send(bits: int) -> Callable:
                     for g, _ in phrase_hashes(span_hashes(lower, s, e), piece, seed):
                         held.setdefault(key, []).append(g)
                         size += len(g)
-                    if size >= CHUNK:
+                    if size >= chunk:
                         yield from emit(held)
                         held, size = {}, 0
         yield from emit(held)
@@ -210,7 +211,7 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 def count_candidates(docs: DataFrame, whole: np.ndarray, support: int) -> DataFrame:
     """lang, phrase, words, f: exact counts of all phrases that occur ``support`` times or more."""
     sent = docs.sparkSession.sparkContext.broadcast(whole)
-    wide = len(whole).bit_length() + 2
+    wide, chunk = len(whole).bit_length() + 2, CHUNK
 
     def counted(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """held: lower-case bytes, starts, ends, word count, first words, hashes that passed."""
@@ -239,7 +240,7 @@ def count_candidates(docs: DataFrame, whole: np.ndarray, support: int) -> DataFr
                         held.setdefault(lang, []).append((lower, s, e, n, at[hit], g[hit]))
                         size += len(hit)
                     size += len(lower) // 8
-                    if size >= CHUNK:
+                    if size >= chunk:
                         for key, parts in held.items():
                             yield from counted(key, parts)
                         held, size = {}, 0

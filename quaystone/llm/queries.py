@@ -7,6 +7,7 @@ from .collocations import op12_collocations
 from .decontaminate import op5_decontaminate
 from .html_text import op7_html_text
 from .lm import op3_lm_score
+from .merkle import op13_merkle
 from .quality import op1_quality
 from .secrets import op4_secret_scan
 from .sentencepiece import op9_sentencepiece
@@ -28,8 +29,13 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
+    "op13_merkle": op13_merkle,
 }
 
+#: CRC-32 of a column's decimal text, byte by byte over a table made from its polynomial.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)), lambda c, b: xor(c >> 8, crc_table[(xor(c, b) & 255) + 1])), 4294967295)"
+_FIELD = "coalesce(strlen({0}::varchar) || ':' || {0}::varchar, '-')"
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _BENCH_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -78,4 +84,32 @@ ORACLE_SQL: dict[str, str] = {
         worst as (select *, row_number() over (partition by lang, phrase order by score, c) as i from scored),
         ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from worst where i = 1)
         select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join tot using (lang) where rank <= 2000""",
+    "op13_merkle": f"""
+        with recursive bits as (select i as b, i::bigint as c, 0 as k from (select unnest(range(256)) as i)
+            union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from bits where k < 8),
+        crc as (select list(c order by b) as crc_table from bits where k = 8),
+        d as (select doc_id, lang, n_chars is not null and {_CRC.format("doc_id::varchar")} % 7 = 0 as hit,
+            sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))}) as leaf,
+            sha256({" || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "(n_chars + 1)", "text"))}) as other from documents, crc),
+        l as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place, count(*) over (partition by lang) as n from d),
+        t as (select lang, 0 as height, place, leaf as h, n from l
+            union all select lang, height + 1, place // 2, case when count(*) = 2 then sha256(string_agg(h, '' order by place)) else sha256(min(h)) end, (n + 1) // 2
+            from t where n > 1 group by lang, height, place // 2, n),
+        subs as (select lang, h, row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n from t where n = 1),
+        u as (select 0 as height, place, h, n from subs
+            union all select height + 1, place // 2, case when count(*) = 2 then sha256(string_agg(h, '' order by place)) else sha256(min(h)) end, (n + 1) // 2
+            from u where n > 1 group by height, place // 2, n),
+        allnodes as (select lang, false as up, height, place, h, n from t union all select null, true, height, place, h, n from u),
+        climb as (select doc_id, leaf, lang, place as own, false as up, 0 as height, place, n, case when hit then other else leaf end as folded, '' as proof from l
+            union all
+            select c.doc_id, c.leaf, c.lang, c.own, c.n = 1 or c.up, case when c.n = 1 then 0 else c.height + 1 end, case when c.n = 1 then s.place else c.place // 2 end,
+                case when c.n = 1 then s.n else (c.n + 1) // 2 end,
+                case when c.n = 1 then c.folded when o.h is null then sha256(c.folded) when c.place % 2 = 0 then sha256(c.folded || o.h) else sha256(o.h || c.folded) end,
+                case when c.n = 1 then c.proof else c.proof || coalesce(o.h, '') end
+            from climb c join subs s on s.lang is not distinct from c.lang
+            left join allnodes o on c.n > 1 and o.up = c.up and (c.up or o.lang is not distinct from c.lang) and o.height = c.height and o.place = xor(c.place, 1)
+            where not (c.up and c.n = 1)),
+        ends as (select * from climb where up and n = 1)
+        select e.doc_id, e.leaf, s.h as subroot, r.h as root, sha256(e.proof) as proof_sha256, e.folded as folded_root, e.folded = r.h as verified
+        from ends e join subs s on s.lang is not distinct from e.lang, (select h from u where n = 1) r""",
 }
