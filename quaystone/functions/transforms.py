@@ -18,10 +18,36 @@ def epoch_ms(c: Column) -> Column:
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
 
 
+#: A time that says its zone: Z, an offset, or a region's name at the end.
+ZONED = r"[0-9](Z|\s*(UTC|GMT)?[+-][0-9]{1,2}(:?[0-9]{2}){0,2}|\s*(UTC|GMT)|\s*[A-Za-z]+/[A-Za-z_/]+)\s*$"
+
+
+def unix_ms(c: Column) -> Column:
+    """Milliseconds since 1970 of a time in any form: a text with a zone counts in that zone, a text or timestamp without one in UTC, a timestamp with one as it is."""
+    kind = F.typeof(c)
+    text = c.cast("string")
+    # a date alone has a '-' and digits at its end as an offset has, so an offset must follow a time
+    zoned = F.regexp_like(text, F.lit(":[0-9.]*" + ZONED)) | F.regexp_like(text, F.lit("T[0-9]{2}" + ZONED))
+    with_zone = F.unix_millis(c.try_cast("timestamp"))
+    return F.when((kind == "timestamp") | ((kind == "string") & zoned), with_zone).otherwise(epoch_ms(c.try_cast("timestamp_ntz")))
+
+
+def _sorted_json(text: Column) -> Column:
+    """A JSON text whose objects have their keys in order, at every depth: the variant form keeps them sorted."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def json_text(c: Column) -> Column:
-    """A value's own JSON: a text in quotes, a map or struct in braces, null as null."""
+    """A value's own JSON: a text in quotes, a map or struct in braces with its keys in order, null as null."""
     whole = F.to_json(F.struct(c.alias("v")), {"ignoreNullFields": "false"})
-    return F.substr(whole, F.lit(6), F.length(whole) - 6)  # what stands between '{"v":' and '}'
+    inner = F.substr(whole, F.lit(6), F.length(whole) - 6)  # what stands between '{"v":' and '}'
+    return F.when(F.typeof(c).contains("map<"), F.coalesce(_sorted_json(inner), inner)).otherwise(inner)
+
+
+def _uuid_text(c: Column) -> Column:
+    """16 bytes as hex with hyphens, bytes of another length as plain hex, anything else as its text."""
+    plain = F.lower(F.hex(c))
+    return F.when(F.typeof(c) == "binary", F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).otherwise(c.cast("string"))
 
 
 def _uuid(c: Column) -> Column:
@@ -33,11 +59,11 @@ TRANSFORMS: dict[str, Callable[[Column], Column]] = {
     "": lambda c: c,
     "to_json_string": json_text,
     "from_json_string": lambda c: F.try_parse_json(c),
-    "to_unix_ms": lambda c: epoch_ms(c.try_cast("timestamp_ntz")),
+    "to_unix_ms": unix_ms,
     "from_unix_ms": lambda c: F.timestamp_millis(c.try_cast("bigint")),
     "to_upper": lambda c: F.upper(c.cast("string")),
     "to_lower": lambda c: F.lower(c.cast("string")),
-    "uuid_to_string": lambda c: c.cast("string"),
+    "uuid_to_string": _uuid_text,
     "string_to_uuid": _uuid,
 }
 
@@ -93,7 +119,7 @@ def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
 
 def json_depth(c: Column) -> Column:
     """How deep the objects of a JSON text nest: the largest surplus of opening braces outside its strings."""
-    braces = F.regexp_replace(F.regexp_replace(c, r'"(?:[^"\\\\]|\\\\.)*"', ""), "[^{}]+", "")
+    braces = F.regexp_replace(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"', ""), "[^{}]+", "")
     level = F.aggregate(
         F.split(braces, ""),
         F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),

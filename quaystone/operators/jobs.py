@@ -15,8 +15,7 @@ from ..functions.transforms import apply_masking
 from ..plans.partitions import key_bounds, plan_key_ranges
 from ..sources.scans import CHECKPOINT, checkpoint_scan, chunk_checksums, dlq_scan, manifest_scan
 from ..sources.sinks import backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write
-from .aggregates import verify_counts
-from .joins import verify_rows
+from .rangehash import compare
 from .schemas import errors_of, split_bad
 
 
@@ -220,10 +219,14 @@ def restore(spark: SparkSession, root: str, operation: str) -> DataFrame:
 
 
 def verify_migration(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], percent: float = 1.0) -> DataFrame:
-    """One row: row counts of both sides and how many sampled keys are missing, extra or mismatched."""
-    counts = verify_counts(source, target, F.lit(0)).select("source_rows", "target_rows")
-    diff = verify_rows(source, target, keys, columns, percent).agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("missing", "extra", "mismatched")])
-    return counts.crossJoin(F.broadcast(diff)).withColumn("equal", (F.col("source_rows") == F.col("target_rows")) & (F.col("n_missing") + F.col("n_extra") + F.col("n_mismatched") == 0))  # one row each
+    """One row: hashed rows of both sides (of a sample of keys) and how many keys are missing, extra or mismatched.
+
+    Both sides are hashed by key ranges (``rangehash``): equal tables are read once and never joined, of
+    others only the ranges that differ are read on.
+    """
+    c = compare(source, target, keys, columns, percent)
+    counts = c.rows.agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("missing", "extra", "mismatched")])
+    return counts.select(F.lit(c.source_rows).cast("bigint").alias("source_rows"), F.lit(c.target_rows).cast("bigint").alias("target_rows"), "*", F.lit(c.equal).alias("equal"))
 
 
 def replay(spark: SparkSession, letters: str, payload_schema: str, fix: Callable[[DataFrame], DataFrame], checks: dict[str, Column], record: Column, again: str) -> DataFrame:

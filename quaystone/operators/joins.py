@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.transforms import record_checksum
+from ..functions.transforms import row_text
 from ..session import token
 
 #: Rows of a checkpoint table up to which it is broadcast, and tasks that share a partition beyond it.
@@ -72,19 +72,34 @@ def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], version:
     return target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
 
 
+def row_hashes(df: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    """Two 64-bit hashes of a row's text, as decimals that can be added up without overflow."""
+    text = row_text(df, columns)
+    return tuple(h.cast("decimal(38,0)") for h in (F.xxhash64(text), F.xxhash64(F.lit("second"), text)))
+
+
 def verify_rows(source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], percent: float = 100.0) -> DataFrame:
     """Missing, extra and mismatched keys of a sample that is the same on both sides.
 
-    Only keys and row hashes are shuffled.
+    Rows of a key are compared as a multiset: by their number and the sums of their hashes, which are
+    added up before the shuffle. So a key may be null, or come many times. One aggregation, no join.
     """
+    both = _side(source, keys, columns, percent, 1).unionByName(_side(target, keys, columns, percent, -1))
+    each = both.groupBy(*keys).agg(F.count_if(F.col("_s") > 0).alias("_n"), F.count_if(F.col("_s") < 0).alias("_m"), F.sum(F.col("_a") * F.col("_s")).alias("_a"), F.sum(F.col("_b") * F.col("_s")).alias("_b"))
+    differ = (F.col("_n") != F.col("_m")) | (F.col("_a") != 0) | (F.col("_b") != 0)
+    verdict = F.when(F.col("_m") == 0, "missing").when(F.col("_n") == 0, "extra").when(differ, "mismatched")
+    return each.withColumn("verdict", verdict).filter("verdict is not null").select(*keys, "verdict")
+
+
+def _side(df: DataFrame, keys: list[str], columns: list[str], percent: float, sign: int) -> DataFrame:
+    picked = sampled(df, keys, percent)
+    a, b = row_hashes(picked, columns)
+    return picked.select(*keys, F.lit(sign).alias("_s"), a.alias("_a"), b.alias("_b"))
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        picked = df.filter(F.pmod(token(*keys), F.lit(10_000)) < int(percent * 100))
-        return picked.select(*keys, record_checksum(picked, columns).alias(name))
 
-    both = side(source, "s").join(side(target, "t"), keys, "full")
-    verdict = F.when(F.col("t").isNull(), "missing").when(F.col("s").isNull(), "extra").when(F.col("s") != F.col("t"), "mismatched")
-    return both.withColumn("verdict", verdict).filter("verdict is not null").select(*keys, "verdict")
+def sampled(df: DataFrame, keys: list[str], percent: float) -> DataFrame:
+    """The rows whose key falls into a share of all keys; the same keys on every side."""
+    return df if percent >= 100 else df.filter(F.pmod(token(*keys), F.lit(10_000)) < int(percent * 100))
 
 
 def dlq_reconcile(letters: DataFrame, target: DataFrame, record: Column) -> DataFrame:

@@ -5,7 +5,7 @@ Ranges are half open; a null bound is open. Only plans of n rows are ever built
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import token
@@ -14,8 +14,8 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
 
 def key_bounds(df: DataFrame, key: str) -> DataFrame:
-    """One row: smallest and largest key."""
-    return df.agg(F.min(key).cast("bigint").alias("min_key"), F.max(key).cast("bigint").alias("max_key"))
+    """One row: smallest and largest key, rounded down to whole numbers, so every key lies in [min_key, max_key + 1)."""
+    return df.agg(F.floor(F.min(key)).cast("bigint").alias("min_key"), F.floor(F.max(key)).cast("bigint").alias("max_key"))
 
 
 def plan_key_ranges(df: DataFrame, key: str, n: int) -> DataFrame:
@@ -54,7 +54,7 @@ def plan_equal_size_ranges(df: DataFrame, key: str, n: int, accuracy: int = 100_
     memory; exact: from exact percentiles, which hold a count for each distinct key in one place.
     """
     points = ", ".join(str(i / n) for i in range(1, n))
-    lo, hi = F.min(key).cast("bigint").alias("lo"), F.max(key).cast("bigint").alias("hi")
+    lo, hi = F.floor(F.min(key)).cast("bigint").alias("lo"), F.floor(F.max(key)).cast("bigint").alias("hi")
     quantiles = F.array().cast("array<double>")
     if points:
         quantiles = F.expr(f"percentile({key}, array({points}))" if exact else f"percentile_approx({key}, array({points}), {accuracy})")
@@ -101,24 +101,45 @@ def assign_partition(df: DataFrame, key: str, n: int, low: int, high: int, into:
     return df.withColumn(into, F.when(F.col(key).isNotNull(), number))
 
 
-#: Rows of a plan up to which it is broadcast; a larger plan is joined by buckets of the key.
+#: Rows of a plan up to which it is broadcast; a larger plan is sorted together with the keys.
 BROADCAST_PLAN = 100_000
 
 
-def range_assign_join(df: DataFrame, plan: DataFrame, key: str, plan_rows: int) -> DataFrame:
-    """Labels rows with the range of any plan; plan_rows is the plan's known size."""
+def range_assign_join(df: DataFrame, plan: DataFrame, key: str, plan_rows: int | None = None) -> DataFrame:
+    """Labels rows with the range of a plan whose ranges don't overlap; open ends are null, rows in no range are left out.
+
+    Up to BROADCAST_PLAN ranges (counted unless plan_rows says so) are broadcast; more are assigned by ``_sorted_assign``.
+    """
     cond = (F.col("start").isNull() | (F.col(key) >= F.col("start"))) & (F.col("end").isNull() | (F.col(key) < F.col("end")))
+    if plan_rows is None:
+        plan_rows = plan.limit(BROADCAST_PLAN + 1).count()
     if plan_rows <= BROADCAST_PLAN:
         return df.join(F.broadcast(plan), cond)
-    # a long plan: each row looks for the last start at or before it, in one sorted pass per bucket
     return _sorted_assign(df, plan, key)
 
 
 def _sorted_assign(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    width = 1 << 20
-    cells = plan.withColumn("cell", F.explode(F.sequence(F.expr(f"start div {width}"), F.expr(f"(end - 1) div {width}")))).filter("start < end")
-    rows = df.withColumn("cell", F.expr(f"{key} div {width}"))
-    return rows.join(cells, (rows["cell"] == cells["cell"]) & (F.col(key) >= F.col("start")) & (F.col(key) < F.col("end"))).drop(rows["cell"]).drop(cells["cell"])
+    """A range begins at or before its rows: starts and keys are sorted together over range partitions, and each row
+    takes the last start so far. What a partition begins with comes from the last start of the partitions before it.
+
+    Neither a wide range nor a dense plan makes more rows: the shuffle moves every row and every range once.
+    """
+    names = [c for c in plan.columns if c not in ("start", "end")]
+    ranges = plan.filter(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < F.col("end")))
+    # an open start is before every key; the flag puts a range before the rows that begin with it
+    ranges = ranges.select(F.col("start").alias("_at"), F.lit(0).alias("_row"), F.struct("start", "end", *names).alias("_range"), F.lit(None).cast(df.select(F.struct("*")).schema[0].dataType).alias("_data"))
+    rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_at"), F.lit(1).alias("_row"), F.lit(None).cast(ranges.schema["_range"].dataType).alias("_range"), F.struct("*").alias("_data"))
+    kind = rows.schema["_at"].dataType.simpleString()
+    both = ranges.withColumn("_at", F.col("_at").cast(kind)).unionByName(rows).repartitionByRange("_at", "_row").sortWithinPartitions("_at", "_row")
+    numbered = both.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
+    inside = Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = numbered.withColumn("_range", F.coalesce("_range", F.last("_range", ignorenulls=True).over(inside)))
+    ends = numbered.filter("_row = 0").groupBy("_part").agg(F.max_by("_range", "_n").alias("_last"))  # a row for each partition
+    after = ends.alias("a").join(ends.select(F.col("_part").alias("_p")).unionByName(numbered.select(F.col("_part").alias("_p")).distinct()).distinct(), F.col("a._part") < F.col("_p"))
+    carried = after.groupBy("_p").agg(F.max_by("_last", "a._part").alias("_before"))
+    found = local.filter("_row = 1").join(carried, local["_part"] == carried["_p"], "left").withColumn("_range", F.coalesce("_range", "_before"))
+    found = found.filter(F.col("_range").isNotNull() & (F.col("_range.end").isNull() | (F.col("_at") < F.col("_range.end"))))
+    return found.select("_data.*", "_range.start", "_range.end", *[f"_range.`{c}`" for c in names]).select(*[f"`{c}`" for c in (*df.columns, *plan.columns)])
 
 
 def partition_balance(df: DataFrame, partition: str, key: str) -> DataFrame:
