@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.transforms import apply_masking
 from ..plans.partitions import key_bounds, plan_key_ranges
 from ..sources.scans import CHECKPOINT, checkpoint_scan, chunk_checksums, dlq_scan, manifest_scan
-from ..sources.sinks import backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write
+from ..session import delete_path
+from ..sources.sinks import DatabaseSink, backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write, write_letters
 from .rangehash import compare
 from .schemas import errors_of, split_bad
 
@@ -33,13 +35,13 @@ def isolate_bad_rows(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFram
 
 
 PLAN = "operation_id string, partition_id string, start bigint, `end` bigint"
-#: Partition column of the target's folders.
-UNIT = "_unit"
-#: Units that one scan of the source writes before they are marked Done.
+#: Slices that one scan of the source writes before their ranges are marked.
 GROUP = 16
+#: Partition columns of the target's folders, and the checks that a refused row failed; renamed where the source has such columns.
+UNIT, REFUSED, ERRORS = "_unit", "_refused", "_errors"
 
 
-def _read_or_empty(spark: SparkSession, schema: str, read: Callable[[], DataFrame]) -> DataFrame:
+def _read_or_empty(spark: SparkSession, schema: str | StructType, read: Callable[[], DataFrame]) -> DataFrame:
     try:
         return read()
     except AnalysisException as e:  # the first run has nothing yet
@@ -74,6 +76,34 @@ def stored_plan(source: DataFrame, root: str, operation: str, key: str, partitio
     return sorted([*known, *(Row("operation_id", "partition_id", "start", "end")(*r) for r in new)], key=lambda r: r["start"])
 
 
+@dataclass
+class Slice:
+    """A stretch of a range that is committed at once; ``last`` ends its range."""
+
+    partition: str
+    start: int
+    end: int
+    last: bool
+
+    @property
+    def folder(self) -> str:
+        return f"{self.partition}@{self.start}"
+
+
+def slices(plan: list[Row], seen: dict[str, Row], commits: int) -> list[Slice]:
+    """What is still to do: ranges that aren't Done, from the key after the last committed one, in ``commits`` equal steps."""
+    out = []
+    for r in plan:
+        state = seen.get(r["partition_id"])
+        if state is not None and state["status"] == "Done":
+            continue
+        width = max(1, -(-(r["end"] - r["start"]) // commits))
+        first = r["start"] if state is None or state["last_committed"] is None else max(r["start"], state["last_committed"] + 1)
+        cuts = [first, *(x for x in range(r["start"] + width, r["end"], width) if x > first), r["end"]]
+        out += [Slice(r["partition_id"], a, b, b == r["end"]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
 def migrate(
     source: DataFrame,
     root: str,
@@ -85,65 +115,87 @@ def migrate(
     table: str = "table",
     units: int | None = None,
     group: int = GROUP,
+    commits: int = 1,
+    sink: DatabaseSink | None = None,
 ) -> DataFrame:
-    """Moves a table by planned key ranges; ranges are marked Done as soon as their group is written.
+    """Moves a table by planned key ranges; every row is read once.
 
-    The plan is stored with the operation (``stored_plan``). Ranges that aren't Done go in groups of
-    ``group`` in key order: one scan of the source, filtered to the group's keys (a filter that files and
-    databases can use), written to one folder for each range, then one checkpoint row for each. So a run
-    that fails leaves every earlier group Done, what it left of its own group is overwritten, and
-    a restart with the same operation repeats at most one group.
+    The plan is stored with the operation (``stored_plan``). A range is committed in ``commits`` steps of its keys, and steps
+    that aren't done go in groups of ``group`` in key order: one scan of the source, filtered to the group's keys (a filter
+    that files and databases can use), which writes good and refused rows to folders of their own and counts
+    both while it writes; then a checkpoint for each range, Done or InProgress with the last committed key. A run that
+    fails leaves every earlier group; what it left of its own is cleared away first thing, and a restart goes on
+    after the last committed key.
 
-    units: only so many ranges (to spread a migration over several runs). Rows without a key are in no
-    range, as in any range scan (``key_uniqueness_check`` counts them); rows that appear later inside a range that is
-    Done are not looked for again. Returns the target as a DataFrame, empty if nothing was written.
+    Rows that fail a check become dead letters below ``root``/failed. With ``sink`` good rows go to that database
+    instead of files, and rows that it refuses become letters as well; then the result is empty.
+
+    units: only so many ranges (to spread a migration over several runs). masks apply after rows found their range. Rows without
+    a key are in no range, as in any range scan (``key_uniqueness_check`` counts them); rows that appear later below a range's last
+    committed key are not looked for again. Returns the target as a DataFrame, empty if nothing was written.
     """
     spark, state = source.sparkSession, f"{root}/state"
-    seen = _read_or_empty(spark, CHECKPOINT, lambda: checkpoint_scan(spark, state, operation))
-    done = {r["partition_id"] for r in seen.filter("status = 'Done'").select("partition_id").collect()}  # one row for each range
-    todo = [r for r in stored_plan(source, root, operation, key, partitions) if r["partition_id"] not in done][:units]
-    masked = apply_masking(source, masks or [])
+    seen = {r["partition_id"]: r for r in _read_or_empty(spark, CHECKPOINT, lambda: checkpoint_scan(spark, state, operation)).collect()}  # one row for each range
+    todo = slices(stored_plan(source, root, operation, key, partitions), seen, commits)
+    if units is not None:
+        some = list(dict.fromkeys(s.partition for s in todo))[:units]
+        todo = [s for s in todo if s.partition in some]
+    counts = {p: (r["rows_written"], r["error_count"]) for p, r in seen.items()}
     for k in range(0, len(todo), group):
-        _move(masked, source.schema, root, operation, key, todo[k : k + group], checks, table)
-    return migrated(spark, root, source.schema)
-
-
-def _move(source: DataFrame, schema: StructType, root: str, operation: str, key: str, ranges: list[Row], checks: dict[str, Column] | None, table: str) -> None:
-    """Writes the ranges' rows and letters, then their checkpoints."""
-    spark, k = source.sparkSession, F.col(key)
-    unit = F.lit(None).cast("string")
-    for r in reversed(ranges):
-        unit = F.when((k >= r["start"]) & (k < r["end"]), F.lit(r["partition_id"])).otherwise(unit)
-    part = source.filter((k >= ranges[0]["start"]) & (k < ranges[-1]["end"])).withColumn(UNIT, unit).filter(F.col(UNIT).isNotNull())
-    good, bad = isolate_bad_rows(part, checks) if checks else (part, None)
-    names = [r["partition_id"] for r in ranges]
-    _write_units(good, "parquet", f"{root}/data")
-    of_group = F.col(UNIT).isin(names)  # folders of other units aren't read
-    written_rows = spark.read.schema(StructType([*schema.fields]).add(UNIT, "string")).parquet(f"{root}/data").filter(of_group)
-    states = spark.createDataFrame([(n,) for n in names], "partition_id string")
-    states = states.join(_unit_counts(written_rows, F.max(key).cast("bigint").alias("last_committed"), "rows_written"), "partition_id", "left")
-    failed = F.lit(0)
-    if bad is not None:
-        _write_units(dead_letters(bad, table, k.cast("string"), F.lit(_now()), keep=F.col(UNIT)), "json", f"{root}/failed")
-        letters = spark.read.schema(f"record_id string, {UNIT} string").json(f"{root}/failed").filter(of_group)
-        states = states.join(_unit_counts(letters, F.lit(0).alias("_"), "error_count"), "partition_id", "left")
-        failed = F.coalesce("error_count", F.lit(0))
-    now = F.lit(_now())
-    row = [F.lit(operation).alias("operation_id"), "partition_id", F.lit("Done").alias("status"), "last_committed"]
-    checkpoint_write(states.select(*row, F.coalesce("rows_written", F.lit(0)).alias("rows_written"), failed.cast("bigint").alias("error_count"), now.alias("updated_at")), f"{root}/state")
-
-
-def _write_units(df: DataFrame, kind: str, path: str) -> None:
-    """Overwrites the folders of the units in ``df`` and no others."""
-    df.write.format(kind).mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(UNIT).save(path)
-
-
-def _unit_counts(df: DataFrame, extra: Column, count: str) -> DataFrame:
-    return df.groupBy(F.col(UNIT).alias("partition_id")).agg(extra, F.count("*").alias(count))
+        _move(source, root, operation, key, todo[k : k + group], masks or [], checks or {}, table, counts, sink)
+    return migrated(spark, root, apply_masking(source, masks or []).schema)
+
+
+def free_names(columns: list[str]) -> tuple[str, str, str]:
+    """UNIT, REFUSED and ERRORS, with more underscores as long as a column has that name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in (UNIT, REFUSED, ERRORS):
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return tuple(out)
+
+
+def _move(source: DataFrame, root: str, operation: str, key: str, todo: list[Slice], masks: list[tuple[str, str]], checks: dict[str, Column], table: str, counts: dict[str, tuple[int, int]], sink: DatabaseSink | None) -> None:
+    """One pass over the slices' rows, then the letters and the checkpoints."""
+    spark, k, at = source.sparkSession, F.col(f"`{key}`"), F.lit(_now())
+    unit, refused, errors = free_names(source.columns)
+    label = F.lit(None).cast("string")
+    for s in reversed(todo):
+        label = F.when((k >= s.start) & (k < s.end), F.lit(s.folder)).otherwise(label)
+    part = source.filter((k >= todo[0].start) & (k < todo[-1].end)).withColumn(unit, label).filter(F.col(unit).isNotNull())
+    part = apply_masking(part, masks).withColumn(errors, errors_of(checks) if checks else F.array().cast("array<string>"))
+    data, letters = f"{root}/data", f"{root}/failed"
+    for s in todo:  # what a run that failed has left
+        for path in (f"{data}/{refused}=false", f"{data}/{refused}=true", letters):
+            delete_path(spark, f"{path}/{unit}={s.folder}")
+    of = [F.col(unit) == s.folder for s in todo]
+    if sink is None:
+        part = part.withColumn(refused, F.size(errors) > 0)
+        seen = Observation()
+        counted = [F.count_if(c).alias(f"n{i}") for i, c in enumerate(of)] + [F.count_if(c & F.col(refused)).alias(f"b{i}") for i, c in enumerate(of)]
+        part.observe(seen, *counted).write.mode("append").partitionBy(refused, unit).parquet(data)
+        read, failed = ([seen.get[f"{x}{i}"] for i in range(len(todo))] for x in "nb")
+        wrong = [f"{data}/{refused}=true/{unit}={s.folder}" for s, n in zip(todo, failed, strict=True) if n]
+        if wrong:
+            bad = spark.read.schema(part.drop(refused).schema).option("basePath", f"{data}/{refused}=true").parquet(*wrong)
+            write_letters(dead_letters(bad, table, k.cast("string"), at, keep=F.col(unit), errors=errors, drop=[unit]), letters, unit)
+            for path in wrong:  # the letters hold these rows
+                delete_path(spark, path)
+    else:
+        read, failed = sink.append(part, key, table, letters, unit, errors, [s.folder for s in todo])
+    rows = {}
+    for s, n, bad_rows in zip(todo, read, failed, strict=True):
+        done, wrong_rows = counts.get(s.partition, (0, 0))
+        counts[s.partition] = (done + n - bad_rows, wrong_rows + bad_rows)
+        rows[s.partition] = (operation, s.partition, "Done" if s.last else "InProgress", s.end - 1, *counts[s.partition], _now())
+    checkpoint_write(spark.createDataFrame(list(rows.values()), CHECKPOINT), f"{root}/state")
 
 
 def migrated(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
-    return _read_or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(f"{root}/data").drop(UNIT))
+    """The good rows that a migration wrote to files."""
+    unit, refused, _ = free_names(schema.names)
+    return _read_or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(f"{root}/data/{refused}=false").drop(unit))
 
 
 def status(spark: SparkSession, root: str, operation: str) -> DataFrame:
@@ -196,9 +248,10 @@ def _publish(spark: SparkSession, folder: str) -> None:
 
 
 def verify_backup(spark: SparkSession, root: str, operation: str) -> DataFrame:
-    """Each chunk of the manifest: OK, MISSING or CORRUPT."""
+    """Each chunk of the manifest: OK, MISSING or CORRUPT; all are missing where their folder is."""
     chunks = manifest_scan(spark, f"{root}/{operation}").filter("file is not null")
-    there = chunk_checksums(spark, [f"{root}/{operation}/chunks"]).select("file", F.col("sha256").alias("_sha"))
+    folder = "file string, _sha string"
+    there = _read_or_empty(spark, folder, lambda: chunk_checksums(spark, [f"{root}/{operation}/chunks"]).select("file", F.col("sha256").alias("_sha")))
     out = chunks.join(there, "file", "left")
     return out.withColumn("verdict", F.when(F.col("_sha").isNull(), "MISSING").when(F.col("_sha") != F.col("sha256"), "CORRUPT").otherwise("OK")).select("index", "file", "row_count", "verdict")
 

@@ -34,6 +34,18 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_root(spark)}/{uuid.uuid4().hex}"
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, for any Hadoop file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, if it is there."""
+    fs, where = hadoop_path(spark, path)
+    fs.delete(where, True)
+
+
 def token(*keys: str | Column) -> Column:
     """60-bit token of a key, the same in other engines: the first 15 hex digits of its MD5."""
     text = F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])

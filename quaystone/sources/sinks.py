@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import base64
+import hashlib
+import json
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timezone
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .scans import LETTER
@@ -36,14 +45,14 @@ def backup_ndjson(df: DataFrame, path: str, key: str, partitions: int, rows_per_
     df.repartitionByRange(partitions, key).sortWithinPartitions(key).write.option("ignoreNullFields", "false").option("maxRecordsPerFile", rows_per_file).json(path, compression="gzip")
 
 
-def dead_letters(bad: DataFrame, table: str, record: Column, at: Column, attempts: int = 1, keep: Column | None = None) -> DataFrame:
-    """Failed rows (with ``_errors``) in the dead-letter form; keep: one more column to hand through."""
-    rest = [c for c in bad.columns if c != "_errors"]
+def dead_letters(bad: DataFrame, table: str, record: Column, at: Column, attempts: int = 1, keep: Column | None = None, errors: str = "_errors", drop: list[str] | None = None) -> DataFrame:
+    """Failed rows in the dead-letter form; errors: the column that lists what is wrong; keep: one more column to hand through; drop: columns that aren't the row's own."""
+    rest = [f"`{c}`" for c in bad.columns if c not in (errors, *(drop or []))]
     more = [] if keep is None else [keep]
     return bad.select(
         record.alias("record_id"),
         F.lit(table).alias("table"),
-        F.array_join("_errors", "; ").alias("error"),
+        F.array_join(F.col(f"`{errors}`"), "; ").alias("error"),
         F.lit(attempts).alias("attempts"),
         at.cast("timestamp_ntz").alias("timestamp"),
         F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}).alias("payload"),
@@ -55,6 +64,106 @@ def dlq_write(letters: DataFrame, path: str) -> None:
     letters.select(*[f.split()[0] for f in LETTER.split(", ")]).write.mode("append").json(path)
 
 
+def write_letters(letters: DataFrame, path: str, unit: str) -> None:
+    """Dead letters with the unit that they come from, a folder for each."""
+    letters.write.mode("append").partitionBy(unit).json(path)
+
+
+def _json(value: object) -> str:
+    if isinstance(value, (bytes, bytearray)):
+        return base64.b64encode(value).decode()
+    return value.isoformat() if hasattr(value, "isoformat") else str(value)
+
+
+@dataclass
+class DatabaseSink:
+    """Appends to a table over DB-API connections, one for each task; what the database refuses becomes dead letters.
+
+    A batch is one transaction. Where it is refused it is halved until single rows are left, inside savepoints, so every
+    good row is written and each bad one is a letter with the database's own error. The transaction also notes the batch and its letters in
+    ``ledger`` (made if it isn't there), so a task that is run again after a crash skips what was committed and still
+    returns its letters. Rows are sorted by key inside a partition, for batches to be the same ones again.
+
+    connect: makes a connection; it is sent to the tasks. mark: the driver's placeholder.
+    """
+
+    connect: Callable[[], object]
+    table: str
+    batch: int = 1000
+    mark: str = "?"
+    ledger: str = "quaystone_batches"
+
+    def append(self, df: DataFrame, key: str, table: str, letters: str, unit: str, errors: str, units: list[str]) -> tuple[list[int], list[int]]:
+        """Rows read and rows that became letters, for each of ``units``; one pass, counted while it writes.
+
+        df: the rows with ``unit`` and with ``errors``, whose rows aren't tried.
+        """
+        self._make_ledger()
+        run, columns = f"{letters}/{'/'.join(units)}", [c for c in df.columns if c not in (unit, errors)]
+        seen, gone = Observation(), Observation()
+        of = [F.col(unit) == u for u in units]
+        observed = df.sortWithinPartitions(key).observe(seen, *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(of)])
+        at = datetime.now(timezone.utc).replace(tzinfo=None)
+
+        def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, number = TaskContext.get().partitionId(), 0
+            connection = self.connect()
+            try:
+                for whole in batches:
+                    for start in range(0, whole.num_rows, self.batch):
+                        rows = whole.slice(start, self.batch).to_pylist()
+                        found = self._commit(connection, hashlib.sha256(run.encode()).hexdigest(), part, number, rows, columns, errors)
+                        number += 1
+                        out = [{"record_id": str(rows[i][key]), "table": table, "error": e, "attempts": 1, "timestamp": at, "payload": json.dumps({c: rows[i][c] for c in columns}, default=_json), unit: rows[i][unit]} for i, e in found]
+                        yield pa.RecordBatch.from_pylist(out, schema=schema)
+            finally:
+                connection.close()
+
+        schema = pa.schema([("record_id", pa.string()), ("table", pa.string()), ("error", pa.string()), ("attempts", pa.int32()), ("timestamp", pa.timestamp("us")), ("payload", pa.string()), (unit, pa.string())])
+        made = observed.mapInArrow(put, f"{LETTER}, `{unit}` string")
+        write_letters(made.observe(gone, *[F.count_if(c).alias(f"b{i}") for i, c in enumerate(of)]), letters, unit)
+        return [seen.get[f"n{i}"] for i in range(len(units))], [gone.get[f"b{i}"] for i in range(len(units))]
+
+    def _make_ledger(self) -> None:
+        connection = self.connect()
+        try:
+            connection.cursor().execute(f"create table if not exists {self.ledger} (run char(64), part integer, number integer, refused text, primary key (run, part, number))")
+            connection.commit()
+        finally:
+            connection.close()
+
+    def _commit(self, connection, run: str, part: int, number: int, rows: list[dict], columns: list[str], errors: str) -> list[tuple[int, str]]:
+        """(row number, error) of the rows that weren't written."""
+        cursor, m = connection.cursor(), self.mark
+        cursor.execute(f"select refused from {self.ledger} where run = {m} and part = {m} and number = {m}", (run, part, number))
+        if (known := cursor.fetchone()) is not None:
+            connection.rollback()
+            return [tuple(x) for x in json.loads(known[0])]
+        names = ", ".join(f'"{c}"' for c in columns)
+        insert = f"insert into {self.table} ({names}) values ({', '.join([m] * len(columns))})"
+        found = [(i, "; ".join(r[errors])) for i, r in enumerate(rows) if r[errors]]
+        found += self._insert(cursor, insert, [(i, tuple(r[c] for c in columns)) for i, r in enumerate(rows) if not r[errors]])
+        cursor.execute(f"insert into {self.ledger} values ({m}, {m}, {m}, {m})", (run, part, number, json.dumps(found)))
+        connection.commit()
+        return found
+
+    def _insert(self, cursor, insert: str, rows: list[tuple[int, tuple]]) -> list[tuple[int, str]]:
+        if not rows:
+            return []
+        cursor.execute("savepoint batch")
+        try:
+            cursor.executemany(insert, [r for _, r in rows])
+        except Exception as e:  # drivers have error classes of their own; a lost connection fails again below
+            cursor.execute("rollback to savepoint batch")
+            cursor.execute("release savepoint batch")
+            if len(rows) == 1:
+                return [(rows[0][0], f"{type(e).__name__}: {e}")]
+            half = len(rows) // 2
+            return self._insert(cursor, insert, rows[:half]) + self._insert(cursor, insert, rows[half:])
+        cursor.execute("release savepoint batch")
+        return []
+
+
 def checkpoint_write(rows: DataFrame, path: str) -> None:
     """Appends states; readers take the latest of each key."""
     rows.coalesce(1).write.mode("append").json(path)
