@@ -61,14 +61,19 @@ def single_version(source: DataFrame, keys: list[str]) -> DataFrame:
     return one.select(*[F.col("_r")[c].alias(c) if c in rest else F.col(c) for c in source.columns])
 
 
+def newest(source: DataFrame, keys: list[str], version: list[Column] | None) -> DataFrame:
+    """One row of each key: the first by ``version``; without it a key that comes twice is an error when the rows are read."""
+    from .windows import dedupe_latest
+
+    return dedupe_latest(source, keys, version) if version else single_version(source, keys)
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], version: list[Column] | None = None) -> DataFrame:
     """Target rows without a replacement, and the source's; of several for a key the first by ``version``.
 
     Without ``version`` the source must have each key once, else reading the result is an error.
     """
-    from .windows import dedupe_latest
-
-    new = dedupe_latest(source, keys, version) if version else single_version(source, keys)
+    new = newest(source, keys, version)
     return target.join(source.select(*keys), keys, "left_anti").select(*target.columns).unionByName(new.select(*target.columns))
 
 

@@ -16,7 +16,7 @@ from .operators import schemas as sc
 from .operators import windows as wn
 from .plans import partitions as pl
 from .session import scratch, table, token
-from .sources import scans, sinks
+from .sources import lake, scans, sinks
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,7 +142,16 @@ def lake_snapshot_scan(s, d):
 
 @query("select o_orderkey % 3 + 1 as snapshot_id, count(*) as n_rows from orders group by 1")
 def lake_append(s, d):
-    return s.read.schema("snapshot_id bigint, n_rows bigint").json(f"{_lake(s, d)}/snapshots")
+    return lake.files(s, _lake(s, d)).groupBy("snapshot_id").agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("select o_orderkey, o_totalprice from orders where o_orderkey between (select max(o_orderkey) // 2 from orders) and (select max(o_orderkey) // 2 + 500 from orders)")
+def lake_range_scan(s, d):
+    """A range of keys: files whose bounds lie outside it aren't listed."""
+    root, o = scratch(s), table(s, d, "orders")
+    lake.append(o.repartitionByRange(8, "o_orderkey"), root)
+    low = bounds(o, "o_orderkey")[1] // 2
+    return lake.scan(s, root, ranges={"o_orderkey": (low, low + 500)}).select("o_orderkey", "o_totalprice")
 
 
 def _backup(s, d, kind="parquet") -> str:
@@ -439,6 +448,15 @@ def merge_upsert(s, d):
     return _order_columns(jn.merge_upsert(target_orders(s, d), source_orders(s, d), ["o_orderkey"]))
 
 
+@query(MERGED)
+def lake_merge(s, d):
+    """The same upsert into files: those without a source key keep their names."""
+    root = scratch(s)
+    lake.append(target_orders(s, d).repartitionByRange(8, "o_orderkey"), root)
+    lake.merge(s, root, source_orders(s, d), ["o_orderkey"])
+    return _order_columns(lake.scan(s, root))
+
+
 @query(MERGED)
 def document_upsert(s, d):
     """Replace or insert by id, on DataFrames: two versions of each source row, the later one wins."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.windows import latest_by
 from ..plans.partitions import range_filter
 from ..session import token
+from . import lake
 
 CHECKPOINT = "operation_id string, partition_id string, status string, last_committed bigint, rows_written bigint, error_count bigint, updated_at timestamp_ntz"
 LETTER = "record_id string, `table` string, error string, attempts int, `timestamp` timestamp_ntz, payload string"
@@ -63,14 +64,9 @@ def lake_file_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(path).select("*", F.col("_metadata.file_name").alias("file_name"))
 
 
-def lake_snapshot_scan(spark: SparkSession, root: str, snapshot: int | None = None) -> DataFrame:
-    """A table as of a snapshot (the latest if None): the folders of all snapshots up to it."""
-    s = spark.read.schema("snapshot_id bigint, folder string, n_rows bigint").json(f"{root}/snapshots")
-    known = s if snapshot is None else s.filter(F.col("snapshot_id") <= snapshot)
-    folders = [f"{root}/{r['folder']}" for r in known.orderBy("snapshot_id").collect()]  # one row for each commit
-    if not folders:
-        raise ValueError(f"no snapshot up to {snapshot}")
-    return spark.read.parquet(*folders)
+def lake_snapshot_scan(spark: SparkSession, root: str, snapshot: int | None = None, ranges: dict[str, tuple] | None = None) -> DataFrame:
+    """A lake table as of a snapshot (the latest if None), of which files outside ``ranges`` aren't read (``lake``)."""
+    return lake.scan(spark, root, snapshot, ranges)
 
 
 def manifest_scan(spark: SparkSession, root: str) -> DataFrame:

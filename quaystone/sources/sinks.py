@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from . import lake
 from .scans import LETTER
 
 
@@ -27,12 +28,9 @@ def document_append(df: DataFrame, options: dict[str, str]) -> None:
     df.write.format("mongodb").options(**options, operationType="replace", upsertDocument="true").mode("append").save()
 
 
-def lake_append(df: DataFrame, root: str, snapshot: int) -> None:
-    """Writes the snapshot's folder, then its row: a folder without a row was never committed."""
-    folder = f"data/snapshot={snapshot}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{folder}")
-    n = df.sparkSession.read.parquet(f"{root}/{folder}").agg(F.count("*").alias("n_rows"))
-    n.select(F.lit(snapshot).cast("bigint").alias("snapshot_id"), F.lit(folder).alias("folder"), "n_rows").coalesce(1).write.mode("append").json(f"{root}/snapshots")
+def lake_append(df: DataFrame, root: str, snapshot: int | None = None) -> int:
+    """Adds the rows to a lake table as one snapshot; a snapshot that is there already is an error (``lake``)."""
+    return lake.append(df, root, snapshot)
 
 
 def backup_parquet(df: DataFrame, path: str, key: str, partitions: int, rows_per_file: int) -> None:
