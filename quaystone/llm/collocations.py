@@ -35,7 +35,7 @@ SUPPORT, LONGEST, TOP = 30, 4, 2000
 CONTAINED = 80
 SHARDS = 8
 #: Phrase hashes that a task holds before it sends them, and about as many as a group of the mining step meets.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 #: Bits of the bitmap for each candidate, and at most: 32 MB. Beyond that more phrases pass in vain; results stay the same.
 BITS_EACH, MAX_BITS = 64, 28
 #: Buckets of a language in which the best are found before they meet.
