@@ -8,9 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def epoch_ms(c: Column) -> Column:
@@ -68,11 +71,41 @@ TRANSFORMS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Transforms that give struct<value, error> themselves.
+RESULTS: dict[str, Callable[[Column], Column]] = {}
+
+
 def register_transform(name: str, fn: Callable[[Column], Column]) -> None:
-    """Adds a transform of one's own; it must be an expression."""
+    """Adds a transform of one's own that is an expression."""
+    RESULTS.pop(name, None)
     TRANSFORMS[name] = fn
 
 
+def register_function(name: str, fn: Callable[[object], object], returns: str) -> None:
+    """Adds a transform of one's own that is a Python function of one value, run in Arrow batches.
+
+    A value that it raises an error for becomes null, and the error's text is what ``converted`` reports. Null
+    stays null and never reaches the function. returns: the type of its results, as DDL.
+    """
+    kind = to_arrow_type(_parse_datatype_string(returns))
+
+    @arrow_udf(f"value {returns}, error string")
+    def run(values: pa.Array) -> pa.Array:
+        out, errors = [], []
+        for v in values.to_pylist():
+            error = None
+            try:
+                v = None if v is None else pa.scalar(fn(v), kind).as_py()
+            except Exception as e:  # whatever the function raises is the value's error
+                v, error = None, f"{type(e).__name__}: {e}"
+            out.append(v)
+            errors.append(error)
+        return pa.StructArray.from_arrays([pa.array(out, kind), pa.array(errors, pa.string())], names=["value", "error"])
+
+    RESULTS[name] = run
+    TRANSFORMS[name] = lambda c: run(c)["value"]
+
+
 def transform(name: str, c: Column) -> Column:
     if name not in TRANSFORMS:
         raise ValueError(f"unknown transform: {name}")
@@ -82,6 +115,9 @@ def transform(name: str, c: Column) -> Column:
 def converted(name: str, column: str) -> Column:
     """struct<value, error>: error says which transform failed where the input isn't null."""
     c = F.col(column)
+    if name in RESULTS:
+        r = RESULTS[name](c)
+        return F.struct(r["value"].alias("value"), F.when(r["error"].isNotNull(), F.concat(F.lit(f"{name} failed for {column}: "), r["error"])).alias("error"))
     v = transform(name, c)
     return F.struct(v.alias("value"), F.when(c.isNotNull() & v.isNull(), F.lit(f"{name} failed for {column}")).alias("error"))
 
@@ -117,8 +153,10 @@ def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
     return parsed.select(*rest, *flatten_struct(kind, f"`{column}`"))
 
 
-def json_depth(c: Column) -> Column:
-    """How deep the objects of a JSON text nest: the largest surplus of opening braces outside its strings."""
+def json_depth(c: Column, lists: bool = False) -> Column:
+    """How deep the objects (and lists) of a JSON text nest: the largest surplus of opening braces outside its strings."""
+    if lists:
+        c = F.translate(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"', ""), "[]", "{}")
     braces = F.regexp_replace(F.regexp_replace(c, r'"(?:[^"\\]|\\.)*"', ""), "[^{}]+", "")
     level = F.aggregate(
         F.split(braces, ""),

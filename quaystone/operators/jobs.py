@@ -7,7 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -15,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions.transforms import apply_masking
 from ..plans.partitions import key_bounds, plan_key_ranges
 from ..sources.scans import CHECKPOINT, checkpoint_scan, chunk_checksums, dlq_scan, manifest_scan
-from ..session import delete_path
+from ..session import delete_path, hadoop_path
 from ..sources.sinks import DatabaseSink, backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write, write_letters
 from .rangehash import compare
 from .schemas import errors_of, split_bad
@@ -41,13 +40,10 @@ GROUP = 16
 UNIT, REFUSED, ERRORS = "_unit", "_refused", "_errors"
 
 
-def _read_or_empty(spark: SparkSession, schema: str | StructType, read: Callable[[], DataFrame]) -> DataFrame:
-    try:
-        return read()
-    except AnalysisException as e:  # the first run has nothing yet
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+def _read_or_empty(spark: SparkSession, schema: str | StructType, path: str, read: Callable[[], DataFrame]) -> DataFrame:
+    """What ``read`` reads from a path, an empty frame where there is none yet."""
+    fs, where = hadoop_path(spark, path)
+    return read() if fs.exists(where) else spark.createDataFrame([], schema)
 
 
 def stored_plan(source: DataFrame, root: str, operation: str, key: str, partitions: int) -> list[Row]:
@@ -57,7 +53,7 @@ def stored_plan(source: DataFrame, root: str, operation: str, key: str, partitio
     outside the stored ranges is planned anew and added, so "range p3 is Done" keeps its meaning.
     """
     spark, path = source.sparkSession, f"{root}/plan"
-    known = _read_or_empty(spark, PLAN, lambda: spark.read.schema(PLAN).json(path)).filter(F.col("operation_id") == operation).collect()  # one row for each range
+    known = _read_or_empty(spark, PLAN, path, lambda: spark.read.schema(PLAN).json(path)).filter(F.col("operation_id") == operation).collect()  # one row for each range
     if known:
         b = key_bounds(source, key).first()
         low, high = min(r["start"] for r in known), max(r["end"] for r in known)
@@ -135,7 +131,7 @@ def migrate(
     committed key are not looked for again. Returns the target as a DataFrame, empty if nothing was written.
     """
     spark, state = source.sparkSession, f"{root}/state"
-    seen = {r["partition_id"]: r for r in _read_or_empty(spark, CHECKPOINT, lambda: checkpoint_scan(spark, state, operation)).collect()}  # one row for each range
+    seen = {r["partition_id"]: r for r in _read_or_empty(spark, CHECKPOINT, state, lambda: checkpoint_scan(spark, state, operation)).collect()}  # one row for each range
     todo = slices(stored_plan(source, root, operation, key, partitions), seen, commits)
     if units is not None:
         some = list(dict.fromkeys(s.partition for s in todo))[:units]
@@ -195,7 +191,8 @@ def _move(source: DataFrame, root: str, operation: str, key: str, todo: list[Sli
 def migrated(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
     """The good rows that a migration wrote to files."""
     unit, refused, _ = free_names(schema.names)
-    return _read_or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(f"{root}/data/{refused}=false").drop(unit))
+    path = f"{root}/data/{refused}=false"
+    return _read_or_empty(spark, schema, path, lambda: spark.read.schema(schema).parquet(path).drop(unit))
 
 
 def status(spark: SparkSession, root: str, operation: str) -> DataFrame:
@@ -250,8 +247,8 @@ def _publish(spark: SparkSession, folder: str) -> None:
 def verify_backup(spark: SparkSession, root: str, operation: str) -> DataFrame:
     """Each chunk of the manifest: OK, MISSING or CORRUPT; all are missing where their folder is."""
     chunks = manifest_scan(spark, f"{root}/{operation}").filter("file is not null")
-    folder = "file string, _sha string"
-    there = _read_or_empty(spark, folder, lambda: chunk_checksums(spark, [f"{root}/{operation}/chunks"]).select("file", F.col("sha256").alias("_sha")))
+    folder = f"{root}/{operation}/chunks"
+    there = _read_or_empty(spark, "file string, _sha string", folder, lambda: chunk_checksums(spark, [folder]).select("file", F.col("sha256").alias("_sha")))
     out = chunks.join(there, "file", "left")
     return out.withColumn("verdict", F.when(F.col("_sha").isNull(), "MISSING").when(F.col("_sha") != F.col("sha256"), "CORRUPT").otherwise("OK")).select("index", "file", "row_count", "verdict")
 

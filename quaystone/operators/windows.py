@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
+from ..functions.transforms import row_text
 from ..session import token
 
 
@@ -45,9 +46,10 @@ def chunk_rows(df: DataFrame, partition: str, order: list[str], size: Column, li
 
 
 def latest_by(df: DataFrame, keys: list[str], version: list[str]) -> DataFrame:
-    """The last version of each key as one aggregation (no sort); ties go to the larger remaining columns."""
+    """The last version of each key as one aggregation (no sort), columns of any type; ties go to the larger hash of the rest."""
     rest = [c for c in df.columns if c not in keys and c not in version]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*version, *rest)).alias("_best"))
+    tie = F.xxhash64(row_text(df, rest)) if rest else F.lit(0)
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*[f"`{c}`" for c in (*version, *rest)]), F.struct(*[f"`{c}`" for c in version], tie)).alias("_best"))
     return best.select(*keys, *[F.col("_best")[c].alias(c) for c in (*version, *rest)])
 
 
@@ -108,7 +110,7 @@ def union_fields(*parts: DataFrame) -> DataFrame:
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of one side only, with the side; counts copies. One aggregation over both sides' row hashes."""
+    """Rows of one side only, with the side; counts copies. One aggregation over both sides' key columns; row hashes may be such a column."""
     both = a.select(*keys, F.lit(1).alias("_s")).unionByName(b.select(*keys, F.lit(-1).alias("_s")))
     left = both.groupBy(*keys).agg(F.sum("_s").cast("bigint").alias("n")).filter("n != 0")
     return left.select(*keys, F.when(F.col("n") > 0, "source").otherwise("target").alias("side"), F.abs("n").alias("n"))

@@ -5,6 +5,9 @@ Ranges are half open; a null bound is open. Only plans of n rows are ever built
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,63 @@ def plan_equal_size_ranges(df: DataFrame, key: str, n: int, accuracy: int = 100_
     return ends.select(F.posexplode(F.arrays_zip("s", "e")).alias("i", "x")).select(F.concat(F.lit("p"), F.col("i")).alias("partition_id"), F.col("x.s").alias("start"), F.col("x.e").alias("end"))
 
 
+#: Cells of a histogram that the driver holds at once, and the smallest range by bytes.
+CELLS, SMALLEST = 4096, 1 << 20
+
+
+def plan_byte_ranges(df: DataFrame, key: str, n: int, size: Column, error: float = 0.01, smallest: int = SMALLEST) -> DataFrame:
+    """Ranges of a whole-number key with about equally many bytes, however they are spread over keys and rows.
+
+    A range ends with the key that brings it to the next multiple of the target: the n-th part of all bytes, rounded up to whole
+    multiples of ``smallest``, so a small table has fewer ranges. The rows of a key are never parted. Both outer ends are open; n below 2, or a
+    table without bytes, gives one open range.
+
+    Cuts come from histograms of bytes over cells of the key, CELLS at most on the driver; cells with a cut are read again in finer
+    cells until they hold no more than ``error`` of the target, which is how far a cut may be off (0: exact).
+    """
+    spark = df.sparkSession
+    sized = df.select(F.col(f"`{key}`").cast("bigint").alias("k"), F.coalesce(size.cast("bigint"), F.lit(0)).alias("b")).filter("k is not null")
+    one = sized.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum(F.col("b").cast("decimal(38,0)")).alias("b")).first()
+    cuts: set[int] = set()
+    if n > 1 and one["b"]:
+        total = int(one["b"])
+        target = -(-max(smallest, -(-total // n)) // smallest) * smallest
+        # (start, width, bytes before) of the cells that are read in a round
+        cells = [(one["lo"], one["hi"] - one["lo"] + 1, 0)]
+        marks = list(range(target, total, target))
+        while cells:
+            fine = max(2, CELLS // len(cells))
+            step = max(1, -(-max(w for _, w, _ in cells) // fine))
+            inside = F.lit(False)
+            for a, w, _ in cells:
+                inside = inside | ((F.col("k") >= a) & (F.col("k") <= a + w - 1))
+            number = F.call_function("div", F.col("k").cast("decimal(20,0)") - F.lit(Decimal(one["lo"])), F.lit(Decimal(step)))
+            start = F.lit(None).cast("bigint")
+            for i, (a, w, _) in enumerate(cells):
+                start = F.when((F.col("k") >= a) & (F.col("k") <= a + w - 1), F.lit(i)).otherwise(start)
+            found = sized.filter(inside).groupBy(start.alias("i"), number.alias("c")).agg(F.sum("b").alias("b")).collect()  # CELLS rows, and two at the edges of each cell
+            again = []
+            for i, (a, w, before) in enumerate(cells):
+                running = before
+                for r in sorted((r for r in found if r["i"] == i), key=lambda r: r["c"]):
+                    first = max(a, one["lo"] + r["c"] * step)
+                    last = min(a + w - 1, one["lo"] + (r["c"] + 1) * step - 1)
+                    if _between(marks, running, running + r["b"]):
+                        if first == last or r["b"] <= error * target:
+                            cuts.add(last + 1)
+                        else:
+                            again.append((first, last - first + 1, running))
+                    running += r["b"]
+            cells = again
+    ends = sorted(c for c in cuts if c <= one["hi"])
+    rows = [(f"p{i}", a, b) for i, (a, b) in enumerate(zip([None, *ends], [*ends, None], strict=True))]
+    return spark.createDataFrame(rows, "partition_id string, start bigint, `end` bigint")
+
+
+def _between(marks: list[int], low: int, high: int) -> list[int]:
+    return marks[bisect_right(marks, low) : bisect_right(marks, high)]
+
+
 def plan_token_ranges(df: DataFrame, table: str, n: int) -> DataFrame:
     """n ranges over the whole token ring, the last one closed at its top; none for an empty table."""
     width = "decimal(20,0)"

@@ -16,7 +16,7 @@ from .operators import schemas as sc
 from .operators import windows as wn
 from .plans import partitions as pl
 from .session import scratch, table, token
-from .sources import lake, scans, sinks
+from .sources import lake, ranges, scans, sinks
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,7 +243,7 @@ BAD = "case when event_id % 50 = 0 then 'x' else cast(event_id as varchar) end"
 def _bad_events(s, d):
     """Events with the id as text, broken in every fiftieth row; coerced back."""
     e = table(s, d, "events").select("event_id", "event_type", F.when(F.expr("event_id % 50 = 0"), "x").otherwise(F.col("event_id").cast("string")).alias("n"))
-    return sc.coerce_to_schema(e, {"n": "int64"})
+    return sc.coerce_to_schema(e, {"n": "int64"}, strict=False)
 
 
 def _letters(s, d) -> str:
@@ -350,6 +350,33 @@ def range_assign_join(s, d):
     return pl.range_assign_join(o.select("o_orderkey"), pl.plan_key_ranges(o, "o_orderkey", 8), "o_orderkey", 8).select("o_orderkey", "partition_id")
 
 
+@query(
+    "select o_orderkey, case when o_orderkey < 100 then 'low' when o_orderkey >= (select max(o_orderkey) // 2 from orders) then 'high' else 'g' || (o_orderkey // 10) end as partition_id"
+    " from orders where o_orderkey < 100 or o_orderkey >= (select max(o_orderkey) // 2 from orders) or o_orderkey // 10 % 2 = 0"
+)
+def range_assign_long(s, d):
+    """A plan of many ranges with gaps and open ends, sorted together with the keys instead of broadcast."""
+    o = table(s, d, "orders").select("o_orderkey")
+    top = bounds(o, "o_orderkey")[1] // 2
+    middle = s.range(10, -(-top // 10)).filter("id % 2 = 0").select(F.concat(F.lit("g"), "id").alias("partition_id"), (F.col("id") * 10).alias("start"), F.least(F.col("id") * 10 + 10, F.lit(top)).alias("end"))
+    ends = s.createDataFrame([("low", None, 100), ("high", top, None)], "partition_id string, start bigint, `end` bigint")
+    return pl.range_assign_join(o, middle.unionByName(ends), "o_orderkey", pl.BROADCAST_PLAN + 1).select("o_orderkey", "partition_id")
+
+
+BYTES = "(select doc_id, sum(strlen(text)) as b from documents group by doc_id)"
+
+
+@query(
+    f"with k as (select doc_id, b, sum(b) over (order by doc_id) as upto from {BYTES}), t as (select ceil(greatest(4096, ceil(sum(b) / 8.0)) / 4096)::bigint * 4096 as target, sum(b) as total from {BYTES}),"
+    " c as (select distinct doc_id + 1 as cut from k, t where upto // target > (upto - b) // target and ((upto - b) // target + 1) * target < total and doc_id < (select max(doc_id) from documents)),"
+    " e as (select cut, row_number() over (order by cut) as i from c)"
+    " select 'p' || (coalesce(a.i, 0)) as partition_id, a.cut as start, b.cut as \"end\" from (select null as cut, 0 as i union all select * from e) a left join e b on b.i = a.i + 1"
+)
+def plan_byte_ranges(s, d):
+    """Exact cuts by bytes over documents of very different lengths."""
+    return pl.plan_byte_ranges(table(s, d, "documents"), "doc_id", 8, F.octet_length("text"), error=0, smallest=4096)
+
+
 # --- projections and filters
 
 
@@ -484,9 +511,22 @@ def verify_rows(s, d):
     return jn.verify_rows(o, mutated_orders(s, d), ["o_orderkey"], o.columns)
 
 
+@query("select l_orderkey, case when l_orderkey % 101 = 0 then 'missing' else 'mismatched' end as verdict from lineitem where l_orderkey % 101 = 0 or l_orderkey % 97 = 0 group by 1, 2")
+def verify_repeated_keys(s, d):
+    """Several rows of a key, compared as a multiset; the other side has them in another order."""
+    t = table(s, d, "lineitem")
+    other = t.filter("l_orderkey % 101 <> 0").withColumn("l_quantity", F.when((F.col("l_orderkey") % 97 == 0), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return jn.verify_rows(t, other.orderBy(F.desc("l_linenumber")), ["l_orderkey"], t.columns)
+
+
 # --- aggregations
 
 
+@query("select floor(min(c_acctbal))::bigint as min_key, floor(max(c_acctbal))::bigint as max_key from customer")
+def key_bounds_of_fractions(s, d):
+    return pl.key_bounds(table(s, d, "customer"), "c_acctbal")
+
+
 @query("select min(o_orderkey) as min_key, max(o_orderkey) as max_key from orders")
 def key_bounds(s, d):
     return pl.key_bounds(table(s, d, "orders"), "o_orderkey")
@@ -617,6 +657,15 @@ def checkpoint_write(s, d):
     return _scanned(s, d)
 
 
+@query(STATES)
+def fold_state(s, d):
+    """A state log folded twice says the same."""
+    path = _state(s, d)
+    sinks.fold_state(s, path)
+    sinks.checkpoint_write(scans.checkpoint_scan(s, path), path, fold_at=2)
+    return scans.checkpoint_scan(s, path, "m1").select("partition_id", "status", "last_committed", "rows_written", "error_count")
+
+
 @query("select user_id, event_id, event_type from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) r from events) where r = 1")
 def latest_checkpoint(s, d):
     """The latest version of each key on the largest keyed table, as one aggregation."""
@@ -729,11 +778,20 @@ def register_transform(s, d):
     return table(s, d, "customer").select("c_custkey", tr.transform("doubled", F.col("c_mktsegment")).alias("twice"))
 
 
-@query("select event_id, '\"' || event_type || '\"' as js, props as js_of_map from events")
+@query("select event_id, case when event_id % 3 <> 0 then event_id * 2 end as twice, event_id % 3 = 0 as failed from events")
+def register_function(s, d):
+    """A Python function as a transform, in Arrow batches: what it raises is the value's error."""
+    tr.register_function("doubled number", lambda v: v * 2 if v % 3 else [][0], "bigint")
+    r = tr.converted("doubled number", "event_id")
+    return table(s, d, "events").select("event_id", r["value"].alias("twice"), r["error"].isNotNull().alias("failed"))
+
+
+@query("select event_id, '\"' || event_type || '\"' as js, props as js_of_map, '{\"a\":\"' || event_type || '\",\"z\":\"1\"}' as js_in_order from events")
 def to_json_string(s, d):
     e = table(s, d, "events")
+    two = tr.transform("to_json_string", F.create_map(F.lit("z"), F.lit("1"), F.lit("a"), F.col("event_type")))
     back = F.to_json(F.from_json(tr.transform("to_json_string", F.from_json("props", "map<string,bigint>")), "map<string,bigint>"))
-    return e.select("event_id", tr.transform("to_json_string", F.col("event_type")).alias("js"), F.replace(back, F.lit(":"), F.lit(": ")).alias("js_of_map"))
+    return e.select("event_id", tr.transform("to_json_string", F.col("event_type")).alias("js"), F.replace(back, F.lit(":"), F.lit(": ")).alias("js_of_map"), two.alias("js_in_order"))
 
 
 @query("select event_id, (props->>'$.k')::bigint as k from events")
@@ -742,9 +800,12 @@ def from_json_string(s, d):
     return table(s, d, "events").select("event_id", F.try_variant_get(v, "$.k", "bigint").alias("k"))
 
 
-@query("select event_id, epoch_us(ts) // 1000 as ms from events")
+@query("select event_id, epoch_us(ts) // 1000 as ms, epoch_us(ts) // 1000 - 7200000 as ms_of_zoned, epoch_us(ts) // 1000 as ms_of_plain from events")
 def to_unix_ms(s, d):
-    return table(s, d, "events").select("event_id", tr.transform("to_unix_ms", F.col("ts")).alias("ms"))
+    """Times without zone, texts with an offset and texts without one."""
+    e, text = table(s, d, "events"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS")
+    e = e.withColumn("zoned", F.concat(text, F.lit("+02:00"))).withColumn("plain", text)
+    return e.select("event_id", tr.transform("to_unix_ms", F.col("ts")).alias("ms"), tr.transform("to_unix_ms", F.col("zoned")).alias("ms_of_zoned"), tr.transform("to_unix_ms", F.col("plain")).alias("ms_of_plain"))
 
 
 @query("select event_id, cast(make_timestamp(epoch_us(ts) // 1000 * 1000) as varchar) as ts_text from events")
@@ -766,9 +827,10 @@ def to_lower(s, d):
 UUID = "substr(md5({0}), 1, 8) || '-' || substr(md5({0}), 9, 4) || '-' || substr(md5({0}), 13, 4) || '-' || substr(md5({0}), 17, 4) || '-' || substr(md5({0}), 21, 12)"
 
 
-@query(f"select c_custkey, {UUID.format('c_name')} as u from customer")
+@query(f"select c_custkey, {UUID.format('c_name')} as u, {UUID.format('c_name')} as of_bytes from customer")
 def uuid_to_string(s, d):
-    return table(s, d, "customer").select("c_custkey", tr.transform("uuid_to_string", F.expr(UUID.format("c_name"))).alias("u"))
+    c = table(s, d, "customer")
+    return c.select("c_custkey", tr.transform("uuid_to_string", F.expr(UUID.format("c_name"))).alias("u"), tr.transform("uuid_to_string", F.unhex(F.md5("c_name"))).alias("of_bytes"))
 
 
 @query(f"select c_custkey, case when c_custkey % 7 <> 0 then {UUID.format('c_name')} end as u, c_custkey % 7 = 0 as failed from customer")
@@ -907,6 +969,40 @@ def coerce_to_schema(s, d):
     return _bad_events(s, d).select("event_id", "event_type", "n", F.array_join("_errors", "; ").alias("errors"))
 
 
+@query("select event_id, null::bigint as n, null::boolean as b, floor(value)::bigint as v, 'n: not int64; b: not bool' as errors from events")
+def coerce_strictly(s, d):
+    """Texts are no numbers, numbers no booleans; fractions are cut off."""
+    e = table(s, d, "events").select("event_id", F.col("event_id").cast("string").alias("n"), F.col("event_id").alias("b"), (F.floor("value") + 0.75).alias("v"))
+    out = sc.coerce_to_schema(e, {"n": "int64", "b": "bool", "v": "int64"})
+    return out.select("event_id", "n", "b", "v", F.array_join("_errors", "; ").alias("errors"))
+
+
+def _order_documents(s, d):
+    """Orders as nested documents; every fiftieth has a text for its total and no list."""
+    o, odd = table(s, d, "orders"), F.expr("o_orderkey % 50 = 0")
+    total = F.when(odd, F.lit('"none"')).otherwise(F.col("o_custkey").cast("string"))
+    lists = F.when(odd, F.lit("")).otherwise(F.concat(F.lit(', "tags": [{"p": "'), "o_orderpriority", F.lit('"}, {"p": "x"}]')))
+    doc = F.concat(F.lit('{"key": '), "o_orderkey", F.lit(', "sums": {"total": '), total, F.lit("}"), lists, F.lit("}"))
+    return o.select("o_orderkey", doc.alias("doc"))
+
+
+@query(
+    "with n as (select count(*) as a, count(*) filter (where o_orderkey % 50 <> 0) as g, count(*) filter (where o_orderkey % 50 = 0) as b from orders)"
+    " select 'key' as path, a as n, 'BIGINT' as kinds, false as conflict from n union all select 'sums', a, 'OBJECT', false from n"
+    " union all select 'sums.total', a, case when b > 0 then 'BIGINT,STRING' else 'BIGINT' end, b > 0 from n union all select 'tags', g, 'ARRAY', false from n"
+    " union all select 'tags[]', 2 * g, 'OBJECT', false from n union all select 'tags[].p', 2 * g, 'STRING', false from n"
+)
+def infer_nested_schema(s, d):
+    return sc.infer_nested_schema(_order_documents(s, d), "doc")
+
+
+@query("select o_orderkey, 'tags,tags[]' as missing, '' as extra, 'sums.total:STRING' as mistyped from orders where o_orderkey % 50 = 0")
+def type_deviation(s, d):
+    kinds = {"key": "BIGINT", "sums": "OBJECT", "sums.total": "BIGINT", "tags": "ARRAY", "tags[]": "OBJECT"}
+    docs = _order_documents(s, d)
+    return sc.type_deviation(docs.withColumn("doc", F.regexp_replace("doc", '"p": ', '"": ')), "o_orderkey", "doc", kinds | {"tags[].": "STRING"}).withColumn("missing", F.replace("missing", F.lit(",tags[]."), F.lit("")))
+
+
 @query("select count(*) filter (where event_id % 50 <> 0) as n_good, count(*) filter (where event_id % 50 = 0) as n_bad from events")
 def isolate_bad_rows(s, d):
     e = table(s, d, "events")
@@ -942,6 +1038,56 @@ def migrate(s, d):
     return _customer(jobs.migrate(c, root, "m1", "c_custkey", 8, **args))
 
 
+@query("select c_custkey, round(c_acctbal, 2) as c_acctbal from customer")
+def migrate_by_fractions(s, d):
+    """A key with fractions below zero and above, each range committed in three steps, over two runs."""
+    root, c = scratch(s), table(s, d, "customer").select("c_custkey", "c_acctbal")
+    jobs.migrate(c, root, "m3", "c_acctbal", 4, units=2, commits=3)
+    return jobs.migrate(c, root, "m3", "c_acctbal", 4, commits=3).select("c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+def _sqlite(s, columns: str) -> tuple[ranges.Connect, str]:
+    """A database in a file of this machine: queries with it run on a local master only, as those over JDBC."""
+    from tempfile import mkdtemp
+
+    connect = ranges.Connect("sqlite3", f"{mkdtemp(prefix='sqlite-')}/db", timeout=120)
+    c = connect()
+    c.execute(f"create table t ({columns})")
+    c.commit()
+    c.close()
+    return connect, scratch(s)
+
+
+@query("select s_suppkey as k, round(s_acctbal, 2) as v from supplier where s_suppkey % 7 <> 3")
+def isolate_refused_rows(s, d):
+    """A database that refuses rows: the others arrive (read back by ranges), each refused one is a letter."""
+    connect, root = _sqlite(s, "k integer primary key check (k % 7 <> 3), v real")
+    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    jobs.migrate(t, root, "m4", "k", 2, sink=sinks.DatabaseSink(connect, "t", 50))
+    low, high = bounds(t, "k")
+    back = ranges.RangeTable(s, ranges.SqlFetch(connect, "t", "k"), "k bigint, v double", "k", [ranges.KeyRange("a", None, high // 2), ranges.KeyRange("b", high // 2, None)])
+    return back.read().select("k", F.round("v", 2).alias("v"))
+
+
+@query("select 'CHECK' as reason, count(*) as n from supplier where s_suppkey % 7 = 3")
+def refused_letters(s, d):
+    connect, root = _sqlite(s, "k integer primary key check (k % 7 <> 3), v real")
+    t = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
+    jobs.migrate(t, root, "m5", "k", 2, sink=sinks.DatabaseSink(connect, "t", 50))
+    letters = s.read.schema(scans.LETTER).option("recursiveFileLookup", "true").json(f"{root}/failed")
+    return letters.groupBy(F.regexp_extract("error", "(CHECK)", 1).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("select n_nationkey as k, n_name as v from nation where n_nationkey between 5 and 9")
+def range_source(s, d):
+    """Documents behind a range source; the filter closes three of five partitions."""
+    connect, root = _sqlite(s, "k integer primary key, v text")
+    t = table(s, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
+    jobs.migrate(t, root, "m6", "k", 2, sink=sinks.DatabaseSink(connect, "t"))
+    plan = [ranges.KeyRange(f"p{i}", 5 * i, 5 * i + 5) for i in range(5)]
+    return ranges.RangeTable(s, ranges.SqlFetch(connect, "t", "k"), "k bigint, v string", "k", plan).where("k between 5 and 9")
+
+
 @query(
     "select 'p' || p as partition_id, 'Done' as status, count(*) as rows_written, 0::bigint as error_count from (select least((s_suppkey"
     " - (select min(s_suppkey) from supplier)) // greatest((select max(s_suppkey) - min(s_suppkey) from supplier) // 4, 1), 3) p from supplier)"
@@ -1028,6 +1174,15 @@ def stream_migrate(s, d):
     return _event_columns(streams.stream_target(s, target, ["event_id"], ["ts"]))
 
 
+@query(EVENTS)
+def stream_by_bytes(s, d):
+    """The same stream in batches of limited bytes, at a limited rate."""
+    path, e = _event_files(s, d)
+    target = scratch(s)
+    streams.stream_migrate(streams.file_stream(s, path, e.schema, bytes_per_trigger=1 << 20), target, scratch(s), rows_per_second=1_000_000)
+    return _event_columns(streams.stream_target(s, target, ["event_id"], ["ts"]))
+
+
 @query("select event_id % 50 = 0 as failed, count(*) as n from events group by 1")
 def stream_dlq_split(s, d):
     path, e = _event_files(s, d)

@@ -40,6 +40,11 @@ def hadoop_path(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
+def type_of_path(spark: SparkSession):
+    """The JVM's class of paths."""
+    return spark._jvm.org.apache.hadoop.fs.Path
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, if it is there."""
     fs, where = hadoop_path(spark, path)

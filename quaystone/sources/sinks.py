@@ -5,17 +5,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import hadoop_path, type_of_path
 from . import lake
-from .scans import LETTER
+from .scans import LETTER, checkpoint_scan
 
 
 def jdbc_append(df: DataFrame, options: dict[str, str], batch: int = 1000, connections: int = 16) -> None:
@@ -162,6 +164,60 @@ class DatabaseSink:
         return []
 
 
-def checkpoint_write(rows: DataFrame, path: str) -> None:
-    """Appends states; readers take the latest of each key."""
+#: Files of a state log from which on it is folded.
+FOLD_AT = 64
+
+
+def checkpoint_write(rows: DataFrame, path: str, fold_at: int = FOLD_AT) -> None:
+    """Appends states; readers take the latest of each key. A log of ``fold_at`` files is folded (``fold_state``)."""
     rows.coalesce(1).write.mode("append").json(path)
+    if len(_state_files(rows.sparkSession, path)) >= fold_at:
+        fold_state(rows.sparkSession, path)
+
+
+def _state_files(spark: SparkSession, path: str) -> list[str]:
+    fs, folder = hadoop_path(spark, path)
+    return sorted(n for n in (s.getPath().getName() for s in fs.listStatus(folder)) if n.endswith(".json") and not n.startswith(("_", ".")))
+
+
+def fold_state(spark: SparkSession, path: str, keep: DataFrame | None = None) -> None:
+    """Folds a state log into one file with the latest state of each partition.
+
+    The new file appears by a rename; what it replaces stays until the next fold, so a reader that listed files before still finds them,
+    and one that sees both takes the latest state either way. Two writers may fold at once: their files say the same. The folded
+    files' names are kept in ``_folded``. keep: operation_id of the operations whose states stay; others are deleted at
+    once, with the files that hold them.
+    """
+    fs, folder = hadoop_path(spark, path)
+    path_of = type_of_path(spark)
+    old = _state_files(spark, path)
+    if not old:
+        return
+    latest = checkpoint_scan(spark, path)
+    if keep is not None:
+        latest = latest.join(keep.select("operation_id").distinct(), "operation_id", "left_semi")
+    temporary = f"{path}/_fold-{uuid.uuid4().hex}"
+    latest.coalesce(1).write.json(temporary)
+    before = _folded(spark, path)
+    _, made = hadoop_path(spark, temporary)
+    for status in fs.listStatus(made):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), path_of(f"{path}/folded-{uuid.uuid4().hex}.json"))
+    fs.delete(made, True)
+    for name in old if keep is not None else [n for n in old if n in before]:
+        fs.delete(path_of(f"{path}/{name}"), False)
+    out = fs.create(path_of(f"{path}/_folded"), True)
+    out.write(bytearray(json.dumps(old).encode()))
+    out.close()
+
+
+def _folded(spark: SparkSession, path: str) -> set[str]:
+    """Files that the last fold has replaced."""
+    fs, where = hadoop_path(spark, f"{path}/_folded")
+    if not fs.exists(where):
+        return set()
+    stream = fs.open(where)
+    try:
+        return set(json.loads(bytes(stream.readAllBytes()).decode()))
+    finally:
+        stream.close()

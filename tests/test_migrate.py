@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quaystone.operators import jobs
 from quaystone.plans import partitions as pl
 from quaystone.session import scratch
+from quaystone.sources.ranges import Connect
 from quaystone.sources.sinks import DatabaseSink
 
 
@@ -97,21 +98,13 @@ def database(path):
     c.close()
 
 
-class Connect:
-    def __init__(self, path):
-        self.path = path
-
-    def __call__(self):
-        return sqlite3.connect(self.path, timeout=60)
-
-
 @pytest.mark.parametrize("batch", [1, 7, 1000])
 def test_refused_rows_are_letters_with_their_error(spark, tmp_path, batch):
     path = str(tmp_path / "db")
     database(path)
     rows = [(i, i % 5, None if i % 11 == 0 else "x") for i in range(100)] + [(200, 1, "a"), (200, 2, "b")]
     df, root = spark.createDataFrame(rows, "k bigint, v int, s string"), scratch(spark)
-    jobs.migrate(df, root, "op", "k", 3, checks={"few": F.col("k") != 50}, sink=DatabaseSink(Connect(path), "t", batch))
+    jobs.migrate(df, root, "op", "k", 3, checks={"few": F.col("k") != 50}, sink=DatabaseSink(Connect("sqlite3", path, timeout=60), "t", batch))
     there = {r[0] for r in sqlite3.connect(path).execute("select k from t")}
     good = {k for k, v, s in rows if v != 3 and s is not None and k != 50}
     assert there == good
@@ -120,14 +113,14 @@ def test_refused_rows_are_letters_with_their_error(spark, tmp_path, batch):
     assert found["50"] == "few" and "CHECK" in found["3"] and "NOT NULL" in found["11"] and "UNIQUE" in found["200"]
     states = jobs.status(spark, root, "op").collect()
     assert sum(r["rows_written"] for r in states) == len(good) and {r["status"] for r in states} == {"Done"}
-    jobs.migrate(df, root, "op", "k", 3, sink=DatabaseSink(Connect(path), "t"))
+    jobs.migrate(df, root, "op", "k", 3, sink=DatabaseSink(Connect("sqlite3", path, timeout=60), "t"))
     assert len(letters_of(spark, root)) == len(rows) - len(good)
 
 
 def test_a_task_that_runs_again_writes_nothing_twice(spark, tmp_path):
     path = str(tmp_path / "db")
     database(path)
-    sink = DatabaseSink(Connect(path), "t", 4)
+    sink = DatabaseSink(Connect("sqlite3", path, timeout=60), "t", 4)
     df = spark.createDataFrame([(i, i % 5, "x", [], "u") for i in range(20)], "k bigint, v int, s string, e array<string>, u string").coalesce(1)
     root = scratch(spark)
     first = sink.append(df, "k", "t", f"{root}/l", "u", "e", ["u"])
