@@ -1,14 +1,13 @@
 """HTML extraction by minimum-cut labelling of a page's blocks.
 
-A page is read into blocks (the text between the borders of block-level elements) and the elements
-around them. A linear classifier over a block's own text (words, share of linked text, closing mark,
-heading) gives its cost; what an element's kind and names say is a cost of the element, counted for each
-block below it. Costs become capacities between a node and the terminal "content" or "boilerplate".
-Smoothness edges join every node to the element around it, strongly inside elements that have a cost
-of their own and weakly elsewhere, and neighbours in page order, heavier the closer they are in the
-document tree. A maximum flow separates the two sides, and the blocks on the content side are the
-text. So no block is judged by its ancestors' names alone: a comment of many words goes because its
-section's cost reaches it over edges that its own cost doesn't outweigh, a short line of an article stays.
+A page is read into blocks (the text between the borders of block-level elements) and the elements around them. A linear
+classifier over a block's own text (words, share of linked text, closing mark, heading, separating signs) gives its cost. An
+element's kind and names are one more cost for each block below it, no larger than a long text's score, and so is how
+much of the page's text its section holds. Costs become capacities between a node and the terminal "content" or
+"boilerplate". Smoothness edges join every node to the element around it: strongly where a text-level element (a paragraph, heading,
+list or table) stands in its section or inside an element of known kind, weakly where sections meet; and
+neighbours in page order, heavier the closer they are in the document tree. A maximum flow separates the two sides, and the
+blocks on the content side are the text: a short line of an article stays with its paragraphs, a sentence of an advert doesn't.
 
 Null and empty pages give the empty text; pages of any length are read whole; repeated rows are
 treated alike; an empty table gives no rows; other columns are ignored.
@@ -50,14 +49,19 @@ BOILER_NAMES = frozenset(
 CONTENT_NAMES = frozenset("article body content entry main post story text".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
-#: Cost of a block: bias, a word (up to 60), linked share, closing mark, heading.
-BIAS, WORD, LINKED, MARK, HEADING = -0.6, 0.03, -3.0, 0.4, 0.4
-#: Cost of an element for each block below it: its kind, its names.
-IN_CONTENT, IN_BOILER, BOILER_NAME, CONTENT_NAME = 2.0, -6.0, -5.0, 0.8
-#: Edge to the element around, for each block below the inner node: inside an element with a cost, and elsewhere.
-INSIDE, LOOSE = 2.5, 0.3
-#: Edge between neighbours of one parent, and of others, divided by their tree distance.
-SAME, OTHER = 0.6, 0.4
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption".split())
+SIGNS = re.compile("[©®·•→]")
+
+#: Cost of a block: bias, a word (up to 60), linked share, closing mark, heading, separating signs.
+BIAS, WORD, LINKED, MARK, HEADING, SIGN = -0.9, 0.04, -3.0, 0.4, 0.6, -1.5
+#: Cost of an element for each block below it: its kind, its names; both together stay within a block's own range.
+IN_CONTENT, IN_BOILER, BOILER_NAME, CONTENT_NAME = 0.3, -2.6, -2.6, 0.2
+#: Cost of a section for each of its blocks: its words as a share of the longest section's, less what is even.
+SHARE, EVEN = 1.2, 0.3
+#: Edge to the element around, for each block below the inner node: inside an element of known kind, of text-level elements, between sections.
+INSIDE, TIED, LOOSE = 2.5, 1.2, 0.1
+#: Edge between text-level neighbours of one parent, and of others, divided by their tree distance.
+SAME, OTHER = 0.6, 0.1
 _EPS = 1e-12
 
 
@@ -69,32 +73,33 @@ class Block:
         self.words = text.count(" ") + 1
         self.linked = min(1.0, linked / len(text))
         self.kind, self.place = kind, place
-        self.score = BIAS + WORD * min(self.words, 60) + LINKED * self.linked + MARK * (text[-1] in ".!?:;\"'”»…)") + HEADING * (kind in HEADINGS)
+        self.score = BIAS + WORD * min(self.words, 60) + LINKED * self.linked + MARK * (text[-1] in ".!?:;\"'”»…)") + HEADING * (kind in HEADINGS) + SIGN * (SIGNS.search(text) is not None)
 
 
 def weight(tag: str, attributes: str, around: int) -> float:
     """What an element says about the blocks below it; around: 1 inside content, -1 inside boilerplate, else 0."""
     w = 0.0
     if tag in BOILER_TAGS or tag == "header" and around <= 0:
-        w += IN_BOILER
+        w = IN_BOILER
     elif tag in CONTENT_TAGS and around == 0:
         w += IN_CONTENT
     if attributes and tag not in ("html", "body"):
         parts = {p for m in NAMES.finditer(attributes) for p in PART.findall((m[1] or m[2] or m[3] or "").lower())}
         if parts & BOILER_NAMES and not (tag in CONTENT_TAGS and not parts & {"comment", "comments", "related", "reply"}):
-            w += BOILER_NAME
+            w = BOILER_NAME
         elif parts & CONTENT_NAMES and around >= 0:
             w += CONTENT_NAME
     return w
 
 
 class Page:
-    """Blocks in page order, and the elements around them: their costs and their parents by number (0: the page)."""
+    """Blocks in page order, and the elements around them: their costs, parents and kinds by number (0: the page)."""
 
     def __init__(self):
         self.blocks: list[Block] = []
         self.costs: dict[int, float] = {}
         self.parent: dict[int, int] = {}
+        self.tag: dict[int, str] = {0: ""}
 
 
 def read(page: str) -> Page:
@@ -163,7 +168,7 @@ def read(page: str) -> Page:
             links += tag == "a"
         else:
             w = weight(tag, attributes, top[2])
-            out.costs[number], out.parent[number] = w, place[-1]
+            out.costs[number], out.parent[number], out.tag[number] = w, place[-1], tag
             stack.append([tag, number, -1 if w < 0 else 1 if w > 0 else top[2]])
             place.append(number)
     if at < len(page):
@@ -182,6 +187,17 @@ def apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
     return len(a) + len(b) - 2 * k
 
 
+def sections(page: Page) -> list[tuple[int, float]]:
+    """For each block its section (the nearest element around that isn't text-level) and that section's share cost; what stands in boilerplate has no share."""
+    own = [next((x for x in reversed(b.place) if page.tag[x] not in TEXT_LEVEL), 0) for b in page.blocks]
+    words: dict[int, float] = {}
+    for x, b in zip(own, page.blocks, strict=True):
+        inside = all(page.costs[y] >= 0 for y in b.place[1:])
+        words[x] = words.get(x, 0.0) + inside * b.words * (1.0 - b.linked)
+    most = max(words.values(), default=0.0) or 1.0
+    return [(x, SHARE * (words[x] / most - EVEN)) for x in own]
+
+
 def graph_of(page: Page) -> tuple[list[float], list[dict[int, float]]]:
     """Costs of all nodes (blocks, then elements that hold some) and smoothness capacities, both ways."""
     blocks = page.blocks
@@ -191,24 +207,29 @@ def graph_of(page: Page) -> tuple[list[float], list[dict[int, float]]]:
             below[x] = below.get(x, 0) + 1
     node = {x: len(blocks) + k for k, x in enumerate(sorted(below))}
     score = [b.score for b in blocks] + [page.costs[x] * below[x] for x in sorted(below)]
+    for i, (x, cost) in enumerate(sections(page)):
+        score[node.get(x, i)] += cost
     near: list[dict[int, float]] = [{} for _ in score]
 
     def join(i: int, j: int, c: float) -> None:
         near[i][j] = near[i].get(j, 0.0) + c
         near[j][i] = near[j].get(i, 0.0) + c
 
-    strong: dict[int, bool] = {0: False}
+    known: dict[int, bool] = {0: False}
     for x in sorted(below):  # an element's number is larger than its parent's
-        strong[x] = strong[page.parent[x]] or page.costs[x] != 0
-        if page.parent[x]:
-            join(node[x], node[page.parent[x]], below[x] * (INSIDE if strong[page.parent[x]] else LOOSE))
+        up = page.parent[x]
+        known[x] = known[up] or page.costs[x] != 0
+        if up:
+            edge = LOOSE if page.costs[x] < 0 else INSIDE if known[up] else TIED if page.tag[x] in TEXT_LEVEL else LOOSE
+            join(node[x], node[up], below[x] * edge)
     for i, b in enumerate(blocks):
         x = b.place[-1]
         if x:
-            join(i, node[x], INSIDE if strong[x] else LOOSE)
+            join(i, node[x], INSIDE)
         if i:
-            before = blocks[i - 1].place
-            join(i - 1, i, (SAME if before[:-1] == b.place[:-1] else OTHER) / max(1, apart(before, b.place) - 1))
+            before = blocks[i - 1]
+            siblings = before.place[:-1] == b.place[:-1] and before.kind in TEXT_LEVEL and b.kind in TEXT_LEVEL
+            join(i - 1, i, (SAME if siblings else OTHER) / max(1, apart(before.place, b.place) - 1))
     return score, near
 
 

@@ -550,15 +550,48 @@ def test_the_cut_decides():
     assert [b.score > 0 for b in page.blocks] == [True, True] and html_text.labels(page) == [True, False]
 
 
-def test_share_of_labels_that_the_cut_changes(spark):
-    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
-    changed = total = 0
-    for r in rows:
+def surrounding(page):
+    """Each block's own cost with those of its section and of all elements around it."""
+    return [b.score + cost + sum(page.costs[x] for x in b.place[1:]) for b, (_, cost) in zip(page.blocks, html_text.sections(page))]
+
+
+def neutral(page):
+    page = re.sub(r"(?i)<(/?)(article|main|nav|aside|header|footer)\b", r"<\1div", page)
+    return re.sub(r"""(?i)\s(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", "", page)
+
+
+def test_labels_that_only_the_cut_gives(spark):
+    """Labels that differ from the sign of all costs that bear on a block, and pages without telling names and kinds."""
+    changed = total = same = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
         page = html_text.read(r["html"] or "")
         kept = html_text.labels(page)
-        changed += sum((b.score > 0) != k for b, k in zip(page.blocks, kept))
+        changed += sum((c > 0) != k for c, k in zip(surrounding(page), kept))
         total += len(kept)
-    assert changed > total / 20
+        plain = html_text.read(neutral(r["html"] or ""))
+        assert [b.text for b in plain.blocks] == [b.text for b in page.blocks]
+        same += sum(x == y for x, y in zip(html_text.labels(plain), kept))
+    assert changed > total / 50 and same > total * 0.9
+
+
+PARTS = ["<p>{}</p>", "<div>{}</div>", "<div class='ad'>{}</div>", "<ul><li>{}</li><li><a href='x'>{}</a></li></ul>", "<h2>{}</h2>", "<article>{}</article>", "<aside><p>{}</p></aside>", "{}<br>"]
+
+
+def test_cut_of_whole_pages_is_minimal():
+    """Every way to label the nodes of small pages costs at least as much as the cut."""
+    r = random.Random(4)
+    seen = 0
+    while seen < 40:
+        page = "".join(r.choice(["<div>", "<section>", "<article>", "</div>", "</article>", ""]) + r.choice(PARTS).replace("{}", " ".join(["word"] * r.randint(1, 30)) + r.choice([".", "", " |"])) for _ in range(r.randint(1, 4)))
+        score, near = html_text.graph_of(html_text.read(page))
+        n = len(score)
+        if not 2 <= n <= 11:
+            continue
+        seen += 1
+        edges = [(i, j, c) for i in range(n) for j, c in near[i].items()]
+        cost = lambda side: sum(abs(s) for s, k in zip(score, side) if (s > 0) != k) + sum(c for i, j, c in edges if side[i] and not side[j])
+        best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
+        assert cost(html_text.content_side(score, near)) == pytest.approx(best)
 
 
 def test_cut_is_minimal():
