@@ -57,7 +57,9 @@ BIAS, WORD, LINKED, MARK, HEADING, SIGN = -0.9, 0.04, -3.0, 0.4, 0.6, -1.5
 #: Cost of an element for each block below it: its kind, its names; both together stay within a block's own range.
 IN_CONTENT, IN_BOILER, BOILER_NAME, CONTENT_NAME = 0.3, -2.6, -2.6, 0.2
 #: Cost of a section for each of its blocks: its words as a share of the longest section's, less what is even.
-SHARE, EVEN = 1.2, 0.3
+SHARE, EVEN = 0.6, 0.8
+#: Cost of an element of content as a whole, which counts where it has few blocks.
+WHOLE = 1.5
 #: Edge to the element around, for each block below the inner node: inside an element of known kind, of text-level elements, between sections.
 INSIDE, TIED, LOOSE = 2.5, 1.2, 0.1
 #: Edge between text-level neighbours of one parent, and of others, divided by their tree distance.
@@ -206,7 +208,7 @@ def graph_of(page: Page) -> tuple[list[float], list[dict[int, float]]]:
         for x in b.place[1:]:
             below[x] = below.get(x, 0) + 1
     node = {x: len(blocks) + k for k, x in enumerate(sorted(below))}
-    score = [b.score for b in blocks] + [page.costs[x] * below[x] for x in sorted(below)]
+    score = [b.score for b in blocks] + [page.costs[x] * below[x] + WHOLE * (page.costs[x] > 0) for x in sorted(below)]
     for i, (x, cost) in enumerate(sections(page)):
         score[node.get(x, i)] += cost
     near: list[dict[int, float]] = [{} for _ in score]
