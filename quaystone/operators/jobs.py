@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..functions.transforms import apply_masking
 from ..plans.partitions import key_bounds, plan_key_ranges
 from ..sources.scans import CHECKPOINT, checkpoint_scan, chunk_checksums, dlq_scan, manifest_scan
-from ..session import delete_path, hadoop_path
+from ..session import delete_path, hadoop_path, publish_text
 from ..sources.sinks import DatabaseSink, backup_ndjson, backup_parquet, checkpoint_write, dead_letters, dlq_write, write_letters
 from .rangehash import compare
 from .schemas import errors_of, split_bad
@@ -208,7 +208,8 @@ def rows_per_chunk(df: DataFrame, chunk_bytes: int) -> int:
 def backup(df: DataFrame, root: str, operation: str, table: str, key: str, partitions: int = 8, rows_per_file: int | None = None, kind: str = "parquet", chunk_bytes: int = CHUNK_BYTES) -> None:
     """Chunks, then their hashes and row counts, then the manifest: where there is one the backup is whole.
 
-    A file ends after ``rows_per_file`` rows; without that number, after as many as come to ``chunk_bytes``.
+    A file ends after ``rows_per_file`` rows; without that number, after as many as come to ``chunk_bytes``. Hashes come from
+    one pass over the files' bytes; rows of Parquet chunks from their footers, of JSON chunks from a count.
     """
     spark, path = df.sparkSession, f"{root}/{operation}/chunks"
     rows = rows_per_file or rows_per_chunk(df, chunk_bytes)
@@ -218,30 +219,19 @@ def backup(df: DataFrame, root: str, operation: str, table: str, key: str, parti
     else:
         backup_ndjson(df, path, key, partitions, rows)
         back = spark.read.schema(df.schema).json(path)
-    counts = back.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("row_count"))
-    rows = counts.join(chunk_checksums(spark, [path]), "file").orderBy("file").collect()  # one row for each chunk file
+    counts = {r["file"]: r["n"] for r in back.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n")).collect()}  # one row for each chunk file
+    chunks = sorted(chunk_checksums(spark, [path]).select("file", "length", "sha256").collect())
     manifest = {
         "version": 1,
         "operation_id": operation,
         "source": {"type": kind, "db": "", "table": table},
         "created_at": _now().isoformat(),
-        "row_count": sum(r["row_count"] for r in rows),
-        "chunk_size_bytes": max((r["length"] for r in rows), default=0),
-        "chunks": [{"index": i, "file": r["file"], "row_count": r["row_count"], "sha256": r["sha256"]} for i, r in enumerate(rows)],
+        "row_count": sum(counts.values()),
+        "chunk_size_bytes": max((r["length"] for r in chunks), default=0),
+        "chunks": [{"index": i, "file": r["file"], "row_count": counts.get(r["file"], 0), "sha256": r["sha256"]} for i, r in enumerate(chunks)],
         "schema_snapshot": df.schema.json(),
     }
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{root}/{operation}/_manifest")
-    _publish(spark, f"{root}/{operation}")
-
-
-def _publish(spark: SparkSession, folder: str) -> None:
-    """Renames the one text file to manifest.json, which a reader either sees whole or not at all."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/_manifest")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    part = next(s.getPath() for s in fs.listStatus(path) if s.getPath().getName().startswith("part-"))
-    fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest.json"))
-    fs.delete(path, True)
+    publish_text(spark, f"{root}/{operation}/manifest.json", json.dumps(manifest))
 
 
 def verify_backup(spark: SparkSession, root: str, operation: str) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
@@ -22,25 +24,40 @@ def batch_rows(df: DataFrame, partition: str, order: list[str], size: int) -> Da
 def chunk_rows(df: DataFrame, partition: str, order: list[str], size: Column, limit: int) -> DataFrame:
     """Numbers chunks inside a partition: a chunk closes with the row that brings it to ``limit``, the next begins at nought.
 
-    A sum that starts anew is no window function: rows are dealt out by partition, sorted, and numbered
-    in one pass over Arrow batches that remembers one number and one sum. A null size counts as nought.
+    A sum that starts anew is no window function: rows are dealt out by partition, sorted, and numbered in one pass
+    over Arrow batches, a step for each chunk, that remembers one number and one sum. A null or negative size counts as nought.
     """
-    sized = df.withColumn("_size", F.coalesce(size.cast("bigint"), F.lit(0))).withColumn("_group", F.xxhash64(partition))
+    sized = df.withColumn("_size", F.greatest(size.cast("bigint"), F.lit(0))).withColumn("_group", F.xxhash64(partition))
     dealt = sized.repartition(partition).sortWithinPartitions("_group", partition, *order)
     schema, columns = StructType([*df.schema.fields]).add("chunk_id", LongType()), df.columns
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, running, chunk = None, 0, 0
         for batch in batches:
-            out = []
-            for group, value, rows in zip(batch.column("_group").to_pylist(), batch.column(partition).to_pylist(), batch.column("_size").to_pylist(), strict=True):
-                if last != (group, value):
-                    last, running, chunk = (group, value), 0, 0
-                out.append(chunk)
-                running += rows
-                if running >= limit:
-                    running, chunk = 0, chunk + 1
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.int64())], names=[*columns, "chunk_id"])
+            n = batch.num_rows
+            if not n:
+                continue
+            out = np.empty(n, np.int64)
+            group, value = batch.column("_group").to_numpy(zero_copy_only=False), batch.column(partition)
+            # values of one hash follow each other, so a border is where either changes
+            same = pc.fill_null(pc.equal(value.slice(1), value.slice(0, n - 1)), False).to_numpy(zero_copy_only=False) | (pc.is_null(value.slice(1)).to_numpy(zero_copy_only=False) & pc.is_null(value.slice(0, n - 1)).to_numpy(zero_copy_only=False))
+            borders = [0, *(np.flatnonzero((group[1:] != group[:-1]) | ~same) + 1).tolist(), n]
+            sizes = batch.column("_size").to_numpy(zero_copy_only=False)
+            for a, b in zip(borders[:-1], borders[1:], strict=True):
+                key = (group[a], value[a].as_py())
+                if key != last:
+                    last, running, chunk = key, 0, 0
+                upto = np.cumsum(sizes[a:b])
+                row = 0
+                while row < b - a:  # a step for each chunk: the row that brings it to the limit
+                    before = upto[row - 1] if row else 0
+                    end = int(np.searchsorted(upto, before + limit - running))
+                    out[a + row : a + min(end + 1, b - a)] = chunk
+                    if end >= b - a:
+                        running += int(upto[-1] - before)
+                        break
+                    running, chunk, row = 0, chunk + 1, end + 1
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out)], names=[*columns, "chunk_id"])
 
     return dealt.mapInArrow(numbered, schema)
 

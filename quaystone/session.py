@@ -51,6 +51,17 @@ def delete_path(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file that a reader sees whole or not at all: it is written under another name and renamed."""
+    fs, where = hadoop_path(spark, path)
+    _, temporary = hadoop_path(spark, f"{where.getParent()}/_{uuid.uuid4().hex}")
+    out = fs.create(temporary, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(where, False)
+    fs.rename(temporary, where)
+
+
 def token(*keys: str | Column) -> Column:
     """60-bit token of a key, the same in other engines: the first 15 hex digits of its MD5."""
     text = F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])

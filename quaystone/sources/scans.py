@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.windows import latest_by
 from ..plans.partitions import range_filter
-from ..session import token
+from ..session import hadoop_path, token
 from . import lake
 
 CHECKPOINT = "operation_id string, partition_id string, status string, last_committed bigint, rows_written bigint, error_count bigint, updated_at timestamp_ntz"
@@ -108,16 +108,28 @@ WHOLE_FILE = 256 << 20
 def chunk_checksums(spark: SparkSession, files: list[str], whole: int = WHOLE_FILE) -> DataFrame:
     """path, file, length, SHA-256 of files (or of the files in folders).
 
-    Files up to ``whole`` bytes are hashed as one value; larger ones aren't read by that scan (the filter on
+    Files up to ``whole`` bytes are hashed as one value; larger ones, where a listing shows any, aren't read by that scan (the filter on
     length reaches it) but by tasks that hold 8 MB at a time, through Arrow's file systems (local, HDFS, S3, GCS).
     """
     scan = spark.read.format("binaryFile").load(files)
     name = F.regexp_extract("path", r"([^/]+)$", 1).alias("file")
     small = scan.filter(F.col("length") <= whole).select("path", name, "length", F.sha2("content", 256).alias("sha256"))
+    if largest_file(spark, files) <= whole:
+        return small
     large = scan.filter(F.col("length") > whole).select("path", name, "length")
     return small.unionByName(large.repartition("path").mapInArrow(_hashed, "path string, file string, length bigint, sha256 string"))
 
 
+def largest_file(spark: SparkSession, files: list[str]) -> int:
+    """Bytes of the largest of some files, or of the files in folders, by a listing."""
+    most = 0
+    for path in files:
+        fs, where = hadoop_path(spark, path)
+        for status in fs.listStatus(where) if fs.exists(where) else ():
+            most = max(most, status.getLen())
+    return most
+
+
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
