@@ -82,7 +82,8 @@ class DatabaseSink:
     A batch is one transaction. Where it is refused it is halved until single rows are left, inside savepoints, so every
     good row is written and each bad one is a letter with the database's own error. The transaction also notes the batch and its letters in
     ``ledger`` (made if it isn't there), so a task that is run again after a crash skips what was committed and still
-    returns its letters. Rows are sorted by key inside a partition, for batches to be the same ones again.
+    returns its letters. A batch is known by its place and a digest of its rows, which are sorted by key inside a partition; where
+    a later run deals rows otherwise no batch is taken for another one, and the table's own key tells what is there.
 
     connect: makes a connection; it is sent to the tasks. mark: the driver's placeholder.
     """
@@ -127,7 +128,7 @@ class DatabaseSink:
     def _make_ledger(self) -> None:
         connection = self.connect()
         try:
-            connection.cursor().execute(f"create table if not exists {self.ledger} (run char(64), part integer, number integer, refused text, primary key (run, part, number))")
+            connection.cursor().execute(f"create table if not exists {self.ledger} (run char(64), part integer, number integer, digest char(64), refused text, primary key (run, part, number, digest))")
             connection.commit()
         finally:
             connection.close()
@@ -135,7 +136,8 @@ class DatabaseSink:
     def _commit(self, connection, run: str, part: int, number: int, rows: list[dict], columns: list[str], errors: str) -> list[tuple[int, str]]:
         """(row number, error) of the rows that weren't written."""
         cursor, m = connection.cursor(), self.mark
-        cursor.execute(f"select refused from {self.ledger} where run = {m} and part = {m} and number = {m}", (run, part, number))
+        batch = (run, part, number, hashlib.sha256(json.dumps(rows, default=_json).encode()).hexdigest())
+        cursor.execute(f"select refused from {self.ledger} where run = {m} and part = {m} and number = {m} and digest = {m}", batch)
         if (known := cursor.fetchone()) is not None:
             connection.rollback()
             return [tuple(x) for x in json.loads(known[0])]
@@ -143,7 +145,7 @@ class DatabaseSink:
         insert = f"insert into {self.table} ({names}) values ({', '.join([m] * len(columns))})"
         found = [(i, "; ".join(r[errors])) for i, r in enumerate(rows) if r[errors]]
         found += self._insert(cursor, insert, [(i, tuple(r[c] for c in columns)) for i, r in enumerate(rows) if not r[errors]])
-        cursor.execute(f"insert into {self.ledger} values ({m}, {m}, {m}, {m})", (run, part, number, json.dumps(found)))
+        cursor.execute(f"insert into {self.ledger} values ({m}, {m}, {m}, {m}, {m})", (*batch, json.dumps(found)))
         connection.commit()
         return found
 

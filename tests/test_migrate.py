@@ -127,3 +127,15 @@ def test_a_task_that_runs_again_writes_nothing_twice(spark, tmp_path):
     again = sink.append(df, "k", "t", f"{root}/l", "u", "e", ["u"])  # the same batches of the same run
     assert first == again == ([20], [4])
     assert sqlite3.connect(path).execute("select count(*) from t").fetchone() == (16,)
+
+
+def test_other_batches_of_the_same_place_are_written(spark, tmp_path):
+    path = str(tmp_path / "db")
+    database(path)
+    sink = DatabaseSink(Connect("sqlite3", path, timeout=60), "t", 4)
+    rows = [(i, 0, "x", [], "u") for i in range(8)]
+    kinds = "k bigint, v int, s string, e array<string>, u string"
+    root = scratch(spark)
+    sink.append(spark.createDataFrame(rows[:4], kinds).coalesce(1), "k", "t", f"{root}/l", "u", "e", ["u"])
+    assert sink.append(spark.createDataFrame(rows[4:], kinds).coalesce(1), "k", "t", f"{root}/l", "u", "e", ["u"]) == ([4], [0])
+    assert sqlite3.connect(path).execute("select count(*) from t").fetchone() == (8,)
