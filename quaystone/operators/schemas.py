@@ -10,17 +10,42 @@ from ..functions.transforms import json_depth
 # The canonical type of each source type; unlisted ones are strings.
 FROM_SOURCE = {
     "postgres": {
-        "int64": "integer bigint smallint int int2 int4 int8",
-        "bool": "boolean",
-        "float64": "double precision;numeric;real;float4;float8",
-        "timestamp": "timestamp with time zone;timestamp without time zone;timestamptz;date",
-        "map": "jsonb json",
-        "array": "ARRAY",
-        "blob": "bytea",
+        "int64": ["integer", "bigint", "smallint", "int", "int2", "int4", "int8"],
+        "bool": ["boolean"],
+        "float64": ["double precision", "numeric", "real", "float4", "float8"],
+        "timestamp": ["timestamp with time zone", "timestamp without time zone", "timestamptz", "date"],
+        "map": ["jsonb", "json"],
+        "array": ["ARRAY"],
+        "blob": ["bytea"],
+    },
+    "mongo": {
+        "int64": ["int32", "int64"],
+        "bool": ["bool"],
+        "float64": ["float64", "Decimal128"],
+        "timestamp": ["DateTime"],
+        "map": ["bson.M", "bson.D"],
+        "array": ["bson.A"],
+        "blob": ["[]byte"],
+        "null": ["nil"],
+    },
+    "cassandra": {
+        "int64": ["int", "bigint", "smallint", "tinyint"],
+        "bool": ["boolean"],
+        "float64": ["float", "double", "decimal"],
+        "timestamp": ["timestamp"],
+        "map": ["map"],
+        "array": ["list", "set"],
+        "blob": ["blob"],
+    },
+    "iceberg": {
+        "int64": ["int", "long"],
+        "bool": ["boolean"],
+        "float64": ["float", "double", "decimal"],
+        "timestamp": ["date", "time", "timestamp", "timestamptz"],
+        "map": ["struct", "map"],
+        "array": ["list"],
+        "blob": ["binary", "fixed"],
     },
-    "mongo": {"int64": "int32 int64", "bool": "bool", "float64": "float64 Decimal128", "timestamp": "DateTime", "map": "bson.M bson.D", "array": "bson.A", "blob": "[]byte", "null": "nil"},
-    "cassandra": {"int64": "int bigint smallint tinyint", "bool": "boolean", "float64": "float double decimal", "timestamp": "timestamp", "map": "map", "array": "list set", "blob": "blob"},
-    "iceberg": {"int64": "int long", "bool": "boolean", "float64": "float double decimal", "timestamp": "date time timestamp timestamptz", "map": "struct map", "array": "list", "blob": "binary fixed"},
 }
 # The target type of each canonical type; others are text or string.
 TO_TARGET = {
@@ -38,8 +63,8 @@ def _map(spark: SparkSession, pairs: list[tuple[str, str]], names: str) -> DataF
 
 
 def canonical_types(columns: DataFrame, engine: str, source_type: str = "type") -> DataFrame:
-    """Column definitions with their canonical type; lists with ';' hold types of several words."""
-    pairs = [(t, c) for c, ts in FROM_SOURCE[engine].items() for t in (ts.split(";") if ";" in ts else ts.split())]
+    """Column definitions with their canonical type."""
+    pairs = [(t, c) for c, ts in FROM_SOURCE[engine].items() for t in ts]
     m = _map(columns.sparkSession, pairs, "_t string, _c string")
     plain = F.regexp_extract(source_type, r"^([^(<]*[^(<\s])", 1)  # decimal(10,2) is a decimal, list<int> a list
     return columns.join(m, plain == m["_t"], "left").withColumn("canonical", F.coalesce("_c", F.lit("string"))).drop("_t", "_c")
