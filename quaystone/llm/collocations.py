@@ -211,18 +211,17 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 def count_candidates(docs: DataFrame, whole: np.ndarray, support: int) -> DataFrame:
     """lang, phrase, words, f: exact counts of all phrases that occur ``support`` times or more."""
     sent = docs.sparkSession.sparkContext.broadcast(whole)
-    wide, chunk = len(whole).bit_length() + 2, CHUNK
+    wide, chunk = len(whole).bit_length() + 2, CHUNK // 2  # a phrase is held with its text
 
     def counted(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """held: lower-case bytes, starts, ends, word count, first words, hashes that passed."""
-        g = np.concatenate([h[-1] for h in held])
-        u, first, c = np.unique(g, return_index=True, return_counts=True)
-        begin = np.cumsum([0] + [len(h[-1]) for h in held])
-        for k, (data, s, e, n, at, _) in enumerate(held):
-            pick = (first >= begin[k]) & (first < begin[k + 1])
-            word = at[first[pick] - begin[k]]
-            texts = _phrases(data, s, e, word, n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(word), pa.string()), texts.cast(pa.string()), pa.array(np.full(len(word), n), pa.int32()), pa.array(c[pick], pa.int64())], names=["lang", "phrase", "words", "f"])
+        """held: word count, hashes, counts and texts of the distinct phrases of a block."""
+        for n in range(1, LONGEST + 1):
+            blocks_ = [h for h in held if h[0] == n and len(h[1])]
+            if blocks_:
+                u, first, at = np.unique(np.concatenate([h[1] for h in blocks_]), return_index=True, return_inverse=True)
+                c = np.bincount(at, np.concatenate([h[2] for h in blocks_]), len(u)).astype(np.int64)
+                texts = pa.chunked_array([h[3] for h in blocks_]).take(pa.array(first)).cast(pa.string()).combine_chunks()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u), pa.string()), texts, pa.array(np.full(len(u), n), pa.int32()), pa.array(c)], names=["lang", "phrase", "words", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
@@ -237,9 +236,9 @@ def count_candidates(docs: DataFrame, whole: np.ndarray, support: int) -> DataFr
                     for n, (g, at) in enumerate(phrase_hashes(span_hashes(lower, s, e), piece, seed), 1):
                         bit = g >> np.uint64(64 - wide)
                         hit = np.flatnonzero(known[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8)) & 1)
-                        held.setdefault(lang, []).append((lower, s, e, n, at[hit], g[hit]))
-                        size += len(hit)
-                    size += len(lower) // 8
+                        u, first, c = np.unique(g[hit], return_index=True, return_counts=True)
+                        held.setdefault(lang, []).append((n, u, c, _phrases(lower, s, e, at[hit[first]], n)))
+                        size += len(u)
                     if size >= chunk:
                         for key, parts in held.items():
                             yield from counted(key, parts)
