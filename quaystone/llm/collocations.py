@@ -211,7 +211,7 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 def count_candidates(docs: DataFrame, whole: np.ndarray, support: int) -> DataFrame:
     """lang, phrase, words, f: exact counts of all phrases that occur ``support`` times or more."""
     sent = docs.sparkSession.sparkContext.broadcast(whole)
-    wide, chunk = len(whole).bit_length() + 2, CHUNK // 2  # a phrase is held with its text
+    wide, chunk = len(whole).bit_length() + 2, CHUNK // 16  # phrases are held with their texts; Spark adds a task's counts up as well
 
     def counted(lang: str, held: list[tuple]) -> Iterator[pa.RecordBatch]:
         """held: word count, hashes, counts and texts of the distinct phrases of a block."""
