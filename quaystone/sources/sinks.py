@@ -79,9 +79,10 @@ def _json(value: object) -> str:
 class DatabaseSink:
     """Appends to a table over DB-API connections, one for each task; what the database refuses becomes dead letters.
 
-    A batch is one transaction. Where it is refused it is halved until single rows are left, inside savepoints, so every
-    good row is written and each bad one is a letter with the database's own error. The transaction also notes the batch and its letters in
-    ``ledger`` (made if it isn't there), so a task that is run again after a crash skips what was committed and still
+    A batch is one transaction, begun by its note in ``ledger`` (a savepoint by itself would be a transaction of its own, with a
+    commit for each piece, on databases that begin none before it). Where it is refused it is halved until single rows are left, inside
+    savepoints, so every good row is written and each bad one is a letter with the database's own error. The transaction also notes the
+    letters in ``ledger`` (made if it isn't there), so a task that is run again after a crash skips what was committed and still
     returns its letters. A batch is known by its place and a digest of its rows, which are sorted by key inside a partition; where
     a later run deals rows otherwise no batch is taken for another one, and the table's own key tells what is there.
 
@@ -143,9 +144,11 @@ class DatabaseSink:
             return [tuple(x) for x in json.loads(known[0])]
         names = ", ".join(f'"{c}"' for c in columns)
         insert = f"insert into {self.table} ({names}) values ({', '.join([m] * len(columns))})"
+        cursor.execute(f"insert into {self.ledger} values ({m}, {m}, {m}, {m}, {m})", (*batch, "[]"))
         found = [(i, "; ".join(r[errors])) for i, r in enumerate(rows) if r[errors]]
         found += self._insert(cursor, insert, [(i, tuple(r[c] for c in columns)) for i, r in enumerate(rows) if not r[errors]])
-        cursor.execute(f"insert into {self.ledger} values ({m}, {m}, {m}, {m}, {m})", (*batch, json.dumps(found)))
+        if found:
+            cursor.execute(f"update {self.ledger} set refused = {m} where run = {m} and part = {m} and number = {m} and digest = {m}", (json.dumps(found), *batch))
         connection.commit()
         return found
 

@@ -139,3 +139,49 @@ def test_other_batches_of_the_same_place_are_written(spark, tmp_path):
     sink.append(spark.createDataFrame(rows[:4], kinds).coalesce(1), "k", "t", f"{root}/l", "u", "e", ["u"])
     assert sink.append(spark.createDataFrame(rows[4:], kinds).coalesce(1), "k", "t", f"{root}/l", "u", "e", ["u"]) == ([4], [0])
     assert sqlite3.connect(path).execute("select count(*) from t").fetchone() == (8,)
+
+
+class Counted:
+    """A connection that counts its commits, also those of an outermost savepoint."""
+
+    def __init__(self, path):
+        self.inner, self.commits = sqlite3.connect(path), 0
+
+    def cursor(self):
+        outer, cursor = self, self.inner.cursor()
+
+        class Cursor:
+            def execute(self, sql, values=()):
+                was = outer.inner.in_transaction
+                cursor.execute(sql, values)
+                outer.commits += was and not outer.inner.in_transaction
+                return self
+
+            executemany, fetchone = cursor.executemany, cursor.fetchone
+
+        return Cursor()
+
+    def commit(self):
+        self.commits += self.inner.in_transaction
+        self.inner.commit()
+
+    rollback = property(lambda self: self.inner.rollback)
+
+
+def test_a_batch_is_one_transaction(tmp_path):
+    path = str(tmp_path / "db")
+    database(path)
+    sink = DatabaseSink(Connect("sqlite3", path), "t", 20)
+    sink._make_ledger()
+    connection = Counted(path)
+    rows = [{"k": i, "v": i % 5, "s": "x", "e": []} for i in range(20)]
+    found = sink._commit(connection, "run", 0, 0, rows, ["k", "v", "s"], "e")
+    assert [i for i, _ in found] == [3, 8, 13, 18] and connection.commits == 1
+    assert sink._commit(connection, "run", 0, 0, rows, ["k", "v", "s"], "e") == found  # from the ledger
+    assert connection.inner.execute("select count(*) from t").fetchone() == (16,)
+    # where the batch can't be noted no row of it stays
+    connection.inner.execute("create trigger never before update on quaystone_batches begin select raise(abort, 'full'); end")
+    with pytest.raises(sqlite3.Error, match="full"):
+        sink._commit(connection, "run", 0, 1, [{**r, "k": r["k"] + 100} for r in rows], ["k", "v", "s"], "e")
+    connection.inner.rollback()
+    assert connection.inner.execute("select count(*) from t").fetchone() == (16,)
