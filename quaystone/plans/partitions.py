@@ -178,26 +178,55 @@ def range_assign_join(df: DataFrame, plan: DataFrame, key: str, plan_rows: int |
     return _sorted_assign(df, plan, key)
 
 
+#: Rows and ranges of one stretch of a sorted assignment, about; stretches at most, and rows of the sample that cuts them.
+STRETCH, STRETCHES, CUT_SAMPLE = 1 << 19, 1024, 1 << 16
+
+
+def _cuts(keys: DataFrame, rows: int) -> list:
+    """Keys at which to cut a column into stretches of about STRETCH rows, from a sample by hash that the driver holds.
+
+    They only decide who sorts what; the result is the same with any cuts.
+    """
+    n = min(STRETCHES, rows // STRETCH + 1)
+    if n == 1:
+        return []
+    share = max(1, rows // (CUT_SAMPLE // 2))
+    some = keys.filter((F.pmod(F.xxhash64("_at"), F.lit(share)) == 0) & F.col("_at").isNotNull()).distinct().orderBy("_at").limit(CUT_SAMPLE).collect()
+    return [some[i * len(some) // n]["_at"] for i in range(1, n)] if len(some) >= n else []
+
+
+def _stretch(at: Column, cuts: list, first: int = 0) -> Column:
+    """How many cuts lie at or below a key, by halving; 0 for an open start."""
+    if not cuts:
+        return F.lit(first)
+    k = len(cuts) // 2
+    return F.when(at >= F.lit(cuts[k]), _stretch(at, cuts[k + 1 :], first + k + 1)).otherwise(_stretch(at, cuts[:k], first))
+
+
 def _sorted_assign(df: DataFrame, plan: DataFrame, key: str) -> DataFrame:
-    """A range begins at or before its rows: starts and keys are sorted together over range partitions, and each row
-    takes the last start so far. What a partition begins with comes from the last start of the partitions before it.
+    """A range begins at or before its rows: starts and keys are sorted together in stretches of the key, and each row
+    takes the last start so far. What a stretch begins with is the last start of the stretches before it.
 
-    Neither a wide range nor a dense plan makes more rows: the shuffle moves every row and every range once.
+    A row's stretch follows from its key alone and never from the partition it lies in: Spark plans, and its adaptive execution
+    coalesces, the branches below one by one, so partitions of two branches need not be the same. Neither a wide range nor a dense
+    plan makes more rows: the shuffle moves every row and every range once.
     """
     names = [c for c in plan.columns if c not in ("start", "end")]
+    kind = df.select(F.col(f"`{key}`").alias("_at")).schema["_at"].dataType
     ranges = plan.filter(F.col("start").isNull() | F.col("end").isNull() | (F.col("start") < F.col("end")))
     # an open start is before every key; the flag puts a range before the rows that begin with it
-    ranges = ranges.select(F.col("start").alias("_at"), F.lit(0).alias("_row"), F.struct("start", "end", *names).alias("_range"), F.lit(None).cast(df.select(F.struct("*")).schema[0].dataType).alias("_data"))
+    ranges = ranges.select(F.col("start").cast(kind).alias("_at"), F.lit(0).alias("_row"), F.struct("start", "end", *names).alias("_range"), F.lit(None).cast(df.select(F.struct("*")).schema[0].dataType).alias("_data"))
     rows = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("_at"), F.lit(1).alias("_row"), F.lit(None).cast(ranges.schema["_range"].dataType).alias("_range"), F.struct("*").alias("_data"))
-    kind = rows.schema["_at"].dataType.simpleString()
-    both = ranges.withColumn("_at", F.col("_at").cast(kind)).unionByName(rows).repartitionByRange("_at", "_row").sortWithinPartitions("_at", "_row")
-    numbered = both.withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id())
-    inside = Window.partitionBy("_part").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = numbered.withColumn("_range", F.coalesce("_range", F.last("_range", ignorenulls=True).over(inside)))
-    ends = numbered.filter("_row = 0").groupBy("_part").agg(F.max_by("_range", "_n").alias("_last"))  # a row for each partition
-    after = ends.alias("a").join(ends.select(F.col("_part").alias("_p")).unionByName(numbered.select(F.col("_part").alias("_p")).distinct()).distinct(), F.col("a._part") < F.col("_p"))
-    carried = after.groupBy("_p").agg(F.max_by("_last", "a._part").alias("_before"))
-    found = local.filter("_row = 1").join(carried, local["_part"] == carried["_p"], "left").withColumn("_range", F.coalesce("_range", "_before"))
+    keys = ranges.select("_at").unionByName(rows.select("_at"))
+    cuts = _cuts(keys, keys.count())
+    part = _stretch(F.col("_at"), cuts).alias("_part")
+    inside = Window.partitionBy("_part").orderBy("_at", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranges.unionByName(rows).select(part, "*").withColumn("_range", F.coalesce("_range", F.last("_range", ignorenulls=True).over(inside)))
+    # the last start before each stretch: of as many rows as there are stretches
+    ends = ranges.select(part, "_at", "_range").groupBy("_part").agg(F.max_by("_range", F.struct(F.col("_at").isNotNull(), "_at")).alias("_last"))
+    numbers = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("_p"))
+    carried = ends.join(F.broadcast(numbers), F.col("_part") < F.col("_p")).groupBy("_p").agg(F.max_by("_last", "_part").alias("_before"))
+    found = local.filter("_row = 1").join(F.broadcast(carried), F.col("_part") == F.col("_p"), "left").withColumn("_range", F.coalesce("_range", "_before"))
     found = found.filter(F.col("_range").isNotNull() & (F.col("_range.end").isNull() | (F.col("_at") < F.col("_range.end"))))
     return found.select("_data.*", "_range.start", "_range.end", *[f"_range.`{c}`" for c in names]).select(*[f"`{c}`" for c in (*df.columns, *plan.columns)])
 

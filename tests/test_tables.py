@@ -350,3 +350,20 @@ def test_stream_repeats_a_batch_without_harm(spark):
     df.withColumn("k", F.col("k") + 100).repartition(4).write.parquet(other)
     streams.stream_migrate(streams.file_stream(spark, other, df.schema), target, scratch(spark))
     assert streams.stream_target(spark, target, ["k"], ["v"]).count() == 200
+
+
+def test_sorted_assignment_does_not_hang_on_partitions(spark, monkeypatch):
+    # wide rows: adaptive execution coalesces the branches that read no payload, and only those
+    df = spark.range(3000).select(F.col("id").alias("k"), F.concat_ws("", *[F.sha2(F.concat("id", F.lit(f"-{i}")), 256) for i in range(20)]).alias("pad"))
+    plan = spark.createDataFrame([("low", None, 40), ("a", 40, 1500), ("b", 1600, 2900), ("c", 2950, None)], "partition_id string, start bigint, `end` bigint")
+    monkeypatch.setattr(pl, "STRETCH", 200, raising=False)
+    settings = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200000"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r["k"]: r["partition_id"] for r in pl.range_assign_join(df, plan, "k", pl.BROADCAST_PLAN + 1).select("k", "partition_id", F.length("pad")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: "low" if k < 40 else "a" if k < 1500 else "b" if k < 2900 else "c" for k in range(3000) if not (1500 <= k < 1600 or 2900 <= k < 2950)}
