@@ -25,6 +25,31 @@ def jdbc_append(df: DataFrame, options: dict[str, str], batch: int = 1000, conne
     df.write.format("jdbc").options(**options, batchsize=batch, numPartitions=connections).mode("append").save()
 
 
+def database_append(df: DataFrame, connect: Callable[[], object], table: str, batch: int = 1000, connections: int = 16, mark: str = "?") -> int:
+    """Appends over DB-API connections, where tasks reach the database that way; one transaction a task, returns the rows.
+
+    A duplicate key is the database's error, and the task's rows are rolled back.
+    """
+    names = ", ".join(f'"{c}"' for c in df.columns)
+    insert = f"insert into {table} ({names}) values ({', '.join([mark] * len(df.columns))})"
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        connection, n = connect(), 0
+        try:
+            cursor = connection.cursor()
+            for whole in batches:
+                for start in range(0, whole.num_rows, batch):
+                    rows = list(zip(*(c.to_pylist() for c in whole.slice(start, batch).columns), strict=True))
+                    cursor.executemany(insert, rows)
+                    n += len(rows)
+            connection.commit()
+        finally:
+            connection.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.coalesce(connections).mapInArrow(put, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
 def document_append(df: DataFrame, options: dict[str, str]) -> None:
     """Replace-or-insert by id through the MongoDB connector, where its jar is present."""
     df.write.format("mongodb").options(**options, operationType="replace", upsertDocument="true").mode("append").save()
