@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StringType, StructType, _parse_datatype_string
 
 
 def epoch_ms(c: Column) -> Column:
@@ -223,18 +224,38 @@ def record_id(*keys: str) -> Column:
     return F.concat_ws(":", *[F.col(k).cast("string") for k in keys])
 
 
-def canonical_text(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> list[Column]:
+@arrow_udf(StringType())
+def _shortest(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else repr(v) for v in x.to_pylist()], pa.string())
+
+
+@arrow_udf(StringType())
+def _shortest_float(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else repr(float(str(np.float32(v)))) for v in x.to_pylist()], pa.string())
+
+
+def number_text(x: Column, kind: str) -> Column:
+    """A double or float in its shortest digits, as SQL engines write it: 0.0001, 1e-05, 10000000.0, 1e+16, -0.0, nan, inf.
+
+    Spark writes 1.0E-4, 1.0E7 and Infinity instead, and where Java has a digit more (2e+23 as 1.9999999999999998E23).
+    """
+    return (_shortest if kind == "double" else _shortest_float)(x)
+
+
+def canonical_text(df: DataFrame, columns: list[str] | None = None, cents: bool = False, plain: bool = False) -> list[Column]:
     """Columns by name as text, null as null.
 
     Values that differ have different texts: doubles with all their digits (NaN is NaN, -0.0 is 0.0), times with
     microseconds, bytes in hex, nested values as JSON with maps in key order. cents: doubles rounded to
-    hundredths and times cut to seconds, for engines that write them otherwise.
+    hundredths and times cut to seconds, for engines that write them otherwise. plain: doubles by ``number_text``.
     """
     kinds = dict(df.dtypes)
     out = []
     for c in sorted(columns or df.columns):
         x, kind = F.col(f"`{c}`"), kinds[c]
-        if kind in ("double", "float"):
+        if plain and kind in ("double", "float"):
+            x = number_text(x, kind)
+        elif kind in ("double", "float"):
             x = F.when(~F.isnan(x) & (F.abs(x) < 9e16), F.round(x * 100).cast("bigint").cast("string")).otherwise(x.cast("string")) if cents else (x + 0.0).cast("string")
         elif kind.startswith("timestamp"):
             x = F.date_format(x, "yyyy-MM-dd HH:mm:ss") if cents else x.cast("string")
@@ -248,9 +269,9 @@ def canonical_text(df: DataFrame, columns: list[str] | None = None, cents: bool
     return out
 
 
-def row_text(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> Column:
+def row_text(df: DataFrame, columns: list[str] | None = None, cents: bool = False, plain: bool = False) -> Column:
     """A row as one text that no other row has: each value behind its length, null as N."""
-    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("N")) for x in canonical_text(df, columns, cents)]
+    parts = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("N")) for x in canonical_text(df, columns, cents, plain)]
     return F.concat_ws("|", *parts)
 
 

@@ -36,9 +36,10 @@ def find_duplicates(df: DataFrame, *keys: str) -> DataFrame:
 def table_checksum(df: DataFrame, columns: list[str] | None = None, cents: bool = False) -> DataFrame:
     """Fingerprint of a table that doesn't depend on the order of its rows: sum of row tokens and row count.
 
-    A row's token is taken from ``row_text``, so any change of any value shows. Every row counts, copies too.
+    A row's token is taken from ``row_text`` with fractions as other engines write them (``number_text``), so any change of any
+    value shows, also the sign of a zero. Every row counts, copies too.
     """
-    row = token(row_text(df, columns, cents))
+    row = token(row_text(df, columns, cents, plain=not cents))
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias("checksum"))
 
 

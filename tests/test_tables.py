@@ -2,9 +2,11 @@
 
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quaystone import queries
 from quaystone.functions import transforms as tr
 from quaystone.operators import aggregates, joins, schemas, windows
 from quaystone.operators import jobs
@@ -367,3 +369,13 @@ def test_sorted_assignment_does_not_hang_on_partitions(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got == {k: "low" if k < 40 else "a" if k < 1500 else "b" if k < 2900 else "c" for k in range(3000) if not (1500 <= k < 1600 or 2900 <= k < 2950)}
+
+
+def test_checksum_writes_fractions_as_sql_does(spark, tmp_path):
+    values = [-0.0, 0.0, 0.29, 0.0001, 0.00001, -0.0009, 1e7, 123456789.25, 2e23, 1e15, 1e16, -1.5e22, 5e-324, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v, v) for i, v in enumerate(values)], "i int, d double, f float")
+    path = str(tmp_path / "t")
+    df.write.parquet(path)
+    for c in ("d", "f"):
+        sql = f"select cast(sum({queries.TOKEN.format('(' + queries.row_text_sql('i', c) + ')')}::hugeint) as varchar) from '{path}/*.parquet'"
+        assert aggregates.table_checksum(df, ["i", c]).first()["checksum"] == duckdb.execute(sql).fetchall()[0][0], c
