@@ -343,12 +343,16 @@ def set_prints(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     return map_batches(row_key(docs), lambda it: _filed(shingle, similarity, sent.value, it), "doc_id bigint, text_hash bigint, sid bigint, n int, prefix binary, sketch binary")
 
 
-def set_roots(docs: DataFrame, prints: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(sid, root) of every set that is linked to another one; ``prints`` is what ``set_prints`` gives, written."""
+def set_roots(docs: DataFrame, prints: DataFrame, shingle: int, similarity: float, suggested: DataFrame | None = None) -> DataFrame:
+    """(sid, root) of every set that is linked to another one; ``prints`` is what ``set_prints`` gives, written.
+
+    suggested: pairs (u, v), u < v, that another method found likely; they are checked with the first round's.
+    """
     dealt = map_batches(prints.select("sid", "n", "prefix").filter("n > 0").dropDuplicates(["sid"]), _dealt, "g bigint, sid bigint, n int, place int")
     sorted_ = dealt.repartition("g").sortWithinPartitions("g", "n")
     shared = written(map_batches(sorted_, lambda it: _shared(similarity, it), "g bigint, sid bigint, n int, place int, head bigint"))
-    near = shared.filter("head is not null").select(F.least("sid", "head").alias("u"), F.greatest("sid", "head").alias("v")).distinct()
+    near = shared.filter("head is not null").select(F.least("sid", "head").alias("u"), F.greatest("sid", "head").alias("v"))
+    near = (near if suggested is None else near.unionByName(suggested)).distinct()
     sketch = prints.select("sid", "n", "sketch").filter("n > 0").dropDuplicates(["sid"])
     of = lambda x: sketch.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     near = written(map_batches(near.join(of("u"), "u").join(of("v"), "v"), lambda it: _plausible(similarity, it), "u bigint, v bigint"))

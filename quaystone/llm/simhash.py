@@ -15,8 +15,9 @@ Null and empty texts have fingerprint zero and link like any other; a null doc_i
 gives no component number; repeated rows and ids share a component; texts of any length are read whole; an empty
 table gives no rows; other columns are ignored.
 
-``keep_one`` drops near copies by their shingle sets (see jaccard): fingerprints of texts with a
-similarity of 0.8 lie 5 to 11 bits apart in the small tables, and no radius is sure to find all of them.
+``keep_one`` drops near copies: what these links suggest, over fingerprints of five-word shingles, is checked by
+whole shingle sets and joined first. Fingerprints of texts with a similarity of 0.8 lie 5 to 11 bits apart in the small tables,
+and no radius is sure to find all of them, so links between different groups that are still missing come from jaccard.
 """
 
 from __future__ import annotations
@@ -62,17 +63,17 @@ def fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(set_).view(">i8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fingerprints(shingle: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offs = text_bytes(batch.column("text"))
         whole = data.tobytes()
-        fp = [fingerprint(whole[a:b]) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
+        fp = [fingerprint(whole[a:b], shingle) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(fp, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash and fp (signed 64-bit) of every row; one map over the scan."""
-    return map_batches(row_key(docs), _fingerprints, "doc_id bigint, text_hash bigint, fp bigint")
+    return map_batches(row_key(docs), lambda it: _fingerprints(shingle, it), "doc_id bigint, text_hash bigint, fp bigint")
 
 
 #: Pairs that are held before they are reduced to one for each row.
@@ -185,14 +186,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.select("doc_id", "fp").join(members, "fp")
 
 
+def suggested(prints: DataFrame, fps: DataFrame) -> DataFrame:
+    """Pairs (u, v) of set ids whose texts have equal or linked fingerprints: as many as connect them, not all.
+
+    prints: of ``set_prints``; fps: of ``fingerprints``, of the same rows.
+    """
+    named = prints.filter("n > 0").select("text_hash", "sid").distinct().join(fps.select("text_hash", "fp").distinct(), "text_hash").select("sid", "fp").distinct()
+    first = named.groupBy("fp").agg(F.min("sid").alias("first"))
+    equal = named.join(first, "fp").select(F.col("sid").alias("a"), F.col("first").alias("b"))
+    of = lambda x, y: first.select(F.col("fp").alias(x), F.col("first").alias(y))
+    linked = links(first.select("fp")).join(of("u", "a"), "u").join(of("v", "b"), "v").select("a", "b")
+    return equal.unionByName(linked).filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
 def keep_one(docs: DataFrame, shingle: int = KEEP_SHINGLE, similarity: float = KEEP_SIMILARITY) -> DataFrame:
     """``docs``, all columns, with one row of each component: that of the smallest doc_id (nulls last).
 
     Rows link when their sets of ``shingle`` words have a Jaccard similarity of ``similarity`` at least;
-    null and empty texts link to each other.
+    null and empty texts link to each other. SimHash links come first, each checked by the sets.
     """
     prints = written(set_prints(docs, shingle, similarity))
-    roots = set_roots(docs, prints, shingle, similarity)
+    near = written(suggested(prints, written(fingerprints(docs, shingle))))
+    roots = set_roots(docs, prints, shingle, similarity, near)
     rows = prints.join(roots, "sid", "left").select("doc_id", "text_hash", F.coalesce("root", "sid").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     keepers = rows.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("k_doc"), F.col("k.text_hash").alias("k_hash"))

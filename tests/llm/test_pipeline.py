@@ -62,3 +62,21 @@ def test_stages_on_odd_documents(spark, small, rows):
     for name, stage in cp.STAGES:
         docs = written(stage(spark, docs, small))
     assert "piece_ids" in docs.columns and docs.count() <= len(rows)
+
+
+def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
+    from quaystone.llm import simhash
+
+    words = [f"w{i * 7919 % 1009}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "more"]), " ".join(words[::-1]), " ".join(words).upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    seen = []
+    real = simhash.set_roots
+
+    def watched(docs, prints, shingle, similarity, suggested):
+        seen.extend((r["u"], r["v"]) for r in suggested.collect())
+        return real(docs, prints, shingle, similarity, suggested)
+
+    monkeypatch.setattr(simhash, "set_roots", watched)
+    assert [r["doc_id"] for r in simhash.keep_one(docs).orderBy("doc_id").collect()] == [0, 2]
+    assert len(seen) == 1 and seen[0][0] < seen[0][1]  # the longer text; the one in capitals has the same set
